@@ -76,25 +76,34 @@ def segment_prefix(lines: DataFrame, order: LineOrder, summaries: dict[str, Colu
     )
 
 
-def _join_prefix(lines: DataFrame, prefix: DataFrame, order: LineOrder) -> DataFrame:
-    # Same keys as the window below it, so the large side is shuffled and sorted once.
-    return lines.join(prefix, order.keys, "left")
+def join_segments(lines: DataFrame, per_segment: DataFrame, order: LineOrder) -> DataFrame:
+    """Bring a per-segment table to the lines.
 
+    Same keys as the windows over segments, so the lines are shuffled and sorted once for both.
+    """
+    return lines.join(per_segment, order.keys, "left")
 
-def forward_fill(lines: DataFrame, value: str = "ts", out: str = "rec_ts",
-                 order: LineOrder = DEFAULT_ORDER) -> DataFrame:
-    """Give each line the latest non-null ``value`` at or before it in its source."""
+
+def fill_steps(lines: DataFrame, value: str, order: LineOrder
+               ) -> tuple[DataFrame, DataFrame, Column]:
+    """The pieces of a forward fill: lines filled inside their segment, the table of what each
+    segment inherits, and the filled value once both are joined (drop ``_here, _carry``)."""
     stamped = F.when(F.col(value).isNotNull(), order.place())
-    prefix = segment_prefix(
+    inherited = segment_prefix(
         lines, order,
         {"_end": F.max_by(F.col(value), stamped)},
         {"_carry": lambda w: F.last("_end", ignorenulls=True).over(w)},
     ).drop("segment_no")
-    inner = lines.withColumn("_here", F.last(value, ignorenulls=True).over(order.up_to_here()))
-    return (
-        _join_prefix(inner, prefix, order)
-        .withColumn(out, F.coalesce("_here", "_carry"))
-        .drop("_here", "_carry")
+    inside = lines.withColumn("_here", F.last(value, ignorenulls=True).over(order.up_to_here()))
+    return inside, inherited, F.coalesce("_here", "_carry")
+
+
+def forward_fill(lines: DataFrame, value: str = "ts", out: str = "rec_ts",
+                 order: LineOrder = DEFAULT_ORDER) -> DataFrame:
+    """Give each line the latest non-null ``value`` at or before it in its source."""
+    inside, inherited, filled = fill_steps(lines, value, order)
+    return join_segments(inside, inherited, order).withColumn(out, filled).drop(
+        "_here", "_carry"
     )
 
 
@@ -108,7 +117,7 @@ def running_sum(lines: DataFrame, value: str, out: str,
     ).drop("segment_no")
     inner = lines.withColumn("_here", F.sum(value).over(order.up_to_here()))
     return (
-        _join_prefix(inner, prefix, order)
+        join_segments(inner, prefix, order)
         .withColumn(out, F.coalesce("_here", F.lit(0)) + F.coalesce("_carry", F.lit(0)))
         .drop("_here", "_carry")
     )
@@ -130,7 +139,7 @@ def flag_disorder(lines: DataFrame, ts: str = "ts",
     late = F.coalesce(F.col(ts) < latest, F.lit(False))
     seconds = F.expr(f"cast(cast(_latest - `{ts}` as interval second) as decimal(20,6))")
     return (
-        _join_prefix(inner, prefix, order)
+        join_segments(inner, prefix, order)
         .withColumn("_latest", latest)
         .withColumn("is_out_of_order", late)
         .withColumn("lateness_us", F.when(late, seconds * 1_000_000).cast("bigint"))
@@ -152,7 +161,7 @@ def number_runs(lines: DataFrame, value: str = "rec_ts", out: str = "run_id",
     before = F.when(F.col("_inner"), F.col("_here")).otherwise(F.col("_carry"))
     follows = F.col("_inner") | (F.col("segment_no") > 0)
     starts = F.when(follows & before.eqNullSafe(F.col(value)), 0).otherwise(1)
-    marked = _join_prefix(inner, prefix, order).withColumn("_starts", starts)
+    marked = join_segments(inner, prefix, order).withColumn("_starts", starts)
     marked = marked.drop("_here", "_inner", "_carry", "segment_no")
     return running_sum(marked, "_starts", out, order).drop("_starts")
 

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.formats import FormatRegistry
 from timeloom.functions.text import indent_continuation, rtrim_ws, strip_sgr
-from timeloom.operators.order import DEFAULT_ORDER, LineOrder, forward_fill, with_segments
+from timeloom.operators.order import (
+    DEFAULT_ORDER,
+    LineOrder,
+    fill_steps,
+    join_segments,
+    with_segments,
+)
 
 # A cell of one source at one timestamp is one string up to this many bytes; beyond it the
 # cell continues in further parts, so that no group has to fit in one task.
@@ -105,69 +111,88 @@ def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
 
 
 def _long_cells(filled: DataFrame, order: LineOrder, limit: int) -> DataFrame:
-    """Which part each segment of an over-long cell belongs to; no rows for normal cells.
+    """Per segment, the over-long cells it takes part in: ``(cell_ts, part)`` pairs.
 
-    Works on byte counts only: they are summed inside the segments first, and one narrow row
-    per segment and cell is compared per cell.
+    Works on byte counts only.  They are summed inside the segments, then one narrow row per
+    segment and cell is compared per cell.  Normally no row remains.
     """
-    cell = [order.file, "rec_ts"]
-    sizes = filled.groupBy(*order.keys, "rec_ts").agg(
-        F.sum(F.octet_length("body") + 1).alias("_bytes")
+    cell = Window.partitionBy(order.file, "rec_ts").orderBy(*order.segments)
+    sizes = filled.groupBy(*order.keys, "rec_ts").agg(F.sum("_bytes").alias("_bytes"))
+    measured = sizes.withColumn(
+        "_before", F.sum("_bytes").over(cell.rowsBetween(Window.unboundedPreceding, -1))
+    ).withColumn(
+        "_total",
+        F.sum("_bytes").over(
+            cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ),
     )
-    everything = Window.partitionBy(*cell)
-    earlier = everything.orderBy(*order.segments).rowsBetween(Window.unboundedPreceding, -1)
-    measured = sizes.withColumn("_total", F.sum("_bytes").over(everything)).withColumn(
-        "_before", F.coalesce(F.sum("_bytes").over(earlier), F.lit(0))
-    )
-    return measured.where(F.col("_total") > limit).select(
-        *order.keys,
-        F.col("rec_ts").alias("_cell_ts"),
-        F.floor(F.col("_before") / limit).cast("int").alias("_part"),
+    part = F.floor(F.coalesce("_before", F.lit(0)) / limit).cast("int")
+    return (
+        measured.where(F.col("_total") > limit)
+        .groupBy(*order.keys)
+        .agg(F.collect_list(F.struct(F.col("rec_ts").alias("cell_ts"), part.alias("part")))
+             .alias("_long"))
     )
 
 
-def split_long_cells(filled: DataFrame, order: LineOrder = DEFAULT_ORDER,
-                     limit: int | None = MAX_CELL_BYTES) -> DataFrame:
-    """Add ``part``: 0, or the running number of the piece of an over-long cell.
+def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
+                 order: LineOrder = DEFAULT_ORDER, limit: int | None = MAX_CELL_BYTES,
+                 key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines with ``rec_ts``, the time of the record they belong to, and ``part``.
 
-    Pieces are whole segments in line order, so joining the parts of a cell gives the cell.
+    ``part`` is 0, or the running number of the piece of an over-long cell.  Pieces are whole
+    segments in line order, so the parts of a cell put together give the cell.
     """
-    if limit is None:
-        return filled.withColumn("part", F.lit(0))
-    parts = _long_cells(filled, order, limit).withColumnsRenamed(
-        {k: f"_k_{k}" for k in order.keys}
-    )
-    same = [F.col(k) == F.col(f"_k_{k}") for k in order.keys]
-    return (
-        filled.join(parts, [*same, F.col("rec_ts").eqNullSafe(F.col("_cell_ts"))], "left")
-        .withColumn("part", F.coalesce("_part", F.lit(0)))
-        .drop("_part", "_cell_ts", *[f"_k_{k}" for k in order.keys])
+    if order == DEFAULT_ORDER and "segment" not in lines.columns:
+        lines = with_segments(lines)
+    lines = lines.withColumn("_bytes", F.octet_length("body") + 1)
+    if ignore_untimestamped:
+        inside = lines.where(F.col("ts").isNotNull())
+        inherited, rec_ts = None, F.col("ts")
+    else:
+        inside, inherited, rec_ts = fill_steps(lines, "ts", order)
+    if key is not None:
+        rec_ts = key(rec_ts)
+
+    def filled(per_segment: DataFrame | None) -> DataFrame:
+        joined = inside if per_segment is None else join_segments(inside, per_segment, order)
+        return joined.withColumn("rec_ts", rec_ts)
+
+    part = F.lit(0)
+    per_segment = inherited
+    if limit is not None:
+        long_cells = _long_cells(filled(inherited), order, limit)
+        per_segment = long_cells if inherited is None else inherited.join(
+            long_cells, order.keys, "left"
+        )
+        mine = F.filter("_long", lambda c: c["cell_ts"].eqNullSafe(F.col("rec_ts")))
+        part = F.coalesce(F.get(mine, F.lit(0))["part"], F.lit(0))
+    return filled(per_segment).withColumn("part", part).drop(
+        "_here", "_carry", "_long", "_bytes"
     )
 
 
-def collapse_filled(filled: DataFrame, order: LineOrder = DEFAULT_ORDER,
-                    limit: int | None = MAX_CELL_BYTES,
-                    key: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row per source and timestamp from lines that know their record (``rec_ts``).
+def collapse_filled(filled: DataFrame, order: LineOrder = DEFAULT_ORDER) -> DataFrame:
+    """One row per source, time and part from lines with ``rec_ts`` and ``part``.
 
     Gathers the lines of multi-line records and of repeated timestamps in line order.  Rows
     are placed by ``(ts, part)``, which also serves the merge over sources that follows.
     """
-    if key is not None:
-        filled = filled.withColumn("rec_ts", key(F.col("rec_ts")))
-    position = ", ".join(f"`{c}`" for c in order.position)
+    # Own names: the position may use the line's own time.
+    position = {f"_p{i}": c for i, c in enumerate(order.position)}
+    first = F.struct(*[F.col(p).alias(c) for p, c in position.items()])
+    in_order = f"listagg(body, '\\n') within group (order by {', '.join(position)})"
     return (
-        split_long_cells(filled, order, limit)
-        .select(
+        filled.select(
             F.col(order.file).alias("file"), F.col("rec_ts").alias("ts"), "part", "body",
-            *order.position,
+            *[F.col(c).alias(p) for p, c in position.items()],
         )
         .repartition("ts", "part")
         .groupBy("ts", "part", "file")
         .agg(
-            F.min(F.struct(*order.position)).alias("first_line"),
+            F.min(first).alias("first_line"),
             F.count("*").cast("int").alias("n_lines"),
-            F.expr(f"listagg(body, '\n') within group (order by {position})").alias("body"),
+            F.expr(in_order).alias("body"),
         )
         .select("file", "ts", "part", "first_line", "n_lines", "body")
     )
@@ -184,14 +209,4 @@ def collapse_records(lines: DataFrame, ignore_untimestamped: bool = False,
     ``ts`` is NULL for what stands before the first timestamp of a source.  ``key`` merges on
     a coarser time, e.g. ``lambda ts: floor_ts(ts, 'second')``.
     """
-    return collapse_filled(fill_records(lines, ignore_untimestamped, order), order, limit, key)
-
-
-def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
-                 order: LineOrder = DEFAULT_ORDER) -> DataFrame:
-    """Lines with ``rec_ts``, the timestamp of the record they belong to."""
-    if order == DEFAULT_ORDER and "segment" not in lines.columns:
-        lines = with_segments(lines)
-    if ignore_untimestamped:
-        return lines.where(F.col("ts").isNotNull()).withColumn("rec_ts", F.col("ts"))
-    return forward_fill(lines, order=order)
+    return collapse_filled(fill_records(lines, ignore_untimestamped, order, limit, key), order)

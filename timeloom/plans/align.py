@@ -64,10 +64,10 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
         used = [r.fmt for r in formats.select("fmt").distinct().collect() if r.fmt]
     parsed = parse_timestamps(raw, formats, registry, reference_date, strict, used)
     lines = stage(with_segments(parsed), "lines")
-    filled = fill_records(lines, ignore_untimestamped)
+    filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes)
     if autoclip_to_first:
         first = lines.where(F.col("file") == files[0]).select(F.col("ts").alias("rec_ts"))
         filled = autoclip(filled, first, "rec_ts")
     else:
         filled = clip(filled, start, end, now, ts="rec_ts")
-    return Alignment(collapse_filled(filled, limit=max_cell_bytes), files)
+    return Alignment(collapse_filled(filled), files)

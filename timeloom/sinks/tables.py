@@ -28,7 +28,10 @@ def _text(name: str) -> Column:
 def write_csv(rows: DataFrame, path: str) -> None:
     """All cells quoted, header in each part file; read back with ``multiLine``."""
     ordered = in_time_order(rows, "file_no").select(*[F.col(f"`{c}`") for c in _shown(rows)])
-    ordered.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    ordered.write.options(
+        header=True, quoteAll=True, escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def markdown_row(names: Sequence[str]) -> Column:
