@@ -15,11 +15,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timeloom.functions.text import SPACE
+from timeloom.functions.text import SPACE, WHITESPACE, rtrim_ws
 
 # Text of the timestamp, and the date that completes partial timestamps.
 Parser = Callable[[Column, Column], Column]
 
+# The timestamp, then the separator that is dropped with it.
+_LEADING = "(({stamp}){sep})"
+
 # (?d): only \n ends a line, so "." also crosses \r and the Unicode separators.
 _FLAGS = "(?d)"
 
@@ -48,8 +51,11 @@ def parse_local(text: Column, _: Column) -> Column:
 
 
 def parse_zoned(text: Column, _: Column) -> Column:
-    tidy = F.regexp_replace(F.translate(text, ",", "."), SPACE + "+(?=[Z+-])", "")
-    return _instant(F.regexp_replace(tidy, r"([+-]\d{4})Z$", "$1"))
+    # Behind the date only white space before the offset is dropped and a comma replaced.
+    time = F.translate(F.substring(text, 12, 40), "," + WHITESPACE, ".")
+    after_offset = F.substring(time, -6, 1).isin("+", "-") & F.endswith(time, F.lit("Z"))
+    time = F.when(after_offset, F.left(time, F.length(time) - 1)).otherwise(time)
+    return _instant(F.concat(F.substring(text, 1, 10), F.lit("T"), time))
 
 
 def parse_month_day(text: Column, reference_date: Column) -> Column:
@@ -131,7 +137,7 @@ class TimestampFormat:
     name: str
     stamp: str
     parse: Parser
-    template: str = "(({stamp}){sep})"
+    template: str = _LEADING
     stamp_group: int = 2
     lead_group: int = 0
     custom: bool = False
@@ -149,6 +155,8 @@ class TimestampFormat:
         return F.regexp_extract(line, self.regex(strict), 0)
 
     def stamp_text(self, prefix: Column, strict: bool = False) -> Column:
+        if self.template == _LEADING:
+            return rtrim_ws(prefix)
         return F.regexp_extract(prefix, self.regex(strict), self.stamp_group)
 
     def lead(self, prefix: Column, strict: bool = False) -> Column:

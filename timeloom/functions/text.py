@@ -31,7 +31,8 @@ def trim_ws(c: Column) -> Column:
 
 
 def strip_sgr(c: Column) -> Column:
-    return F.regexp_replace(c, SGR_SEQUENCE, "")
+    # Few lines have colours; a plain search for the escape character spares the others.
+    return F.when(F.contains(c, F.lit("\x1b")), F.regexp_replace(c, SGR_SEQUENCE, "")).otherwise(c)
 
 
 def indent_continuation(c: Column) -> Column:

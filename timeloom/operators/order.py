@@ -7,7 +7,7 @@ segment; what a segment hands on is one row, and only those rows meet per source
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -202,7 +202,7 @@ def clock_prefix(per_second: DataFrame, fold: Callable[[WindowSpec], Column],
     )
 
 
-def number_rows(rows: DataFrame, keys: Sequence[str] = ("ts", "part"),
+def number_rows(rows: DataFrame, keys: tuple[str, str] = ("ts", "part"),
                 out: str = "line") -> DataFrame:
     """Number timestamps from 1 in time order, without a global window.
 
@@ -211,10 +211,15 @@ def number_rows(rows: DataFrame, keys: Sequence[str] = ("ts", "part"),
     its offset; the rank inside a second has at most a million distinct timestamps.  Only
     the narrow keys are numbered, then joined to the rows.
     """
-    ts = keys[0]
+    ts, part = keys
     narrow = with_clock(rows.select(*keys).distinct(), ts)
-    first_parts = narrow.where(F.col(keys[1]) == 0) if len(keys) > 1 else narrow
-    per_second = first_parts.groupBy("_day", "_second").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy("_day", "_second").orderBy(ts, part).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    # Counting first parts gives the rank of the timestamp; the counts per second are read
+    # off the same shuffled rows.
+    ranked = narrow.withColumn("_rank", F.sum((F.col(part) == 0).cast("bigint")).over(inside))
+    per_second = ranked.groupBy("_day", "_second").agg(F.max("_rank").alias("_n"))
     offsets = clock_prefix(
         per_second,
         fold=lambda w: F.sum("_n").over(w),
@@ -222,10 +227,8 @@ def number_rows(rows: DataFrame, keys: Sequence[str] = ("ts", "part"),
         merge=lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
         value="_n", out="_offset",
     )
-    rank = F.dense_rank().over(Window.partitionBy("_day", "_second").orderBy(ts))
     numbered = (
-        narrow.withColumn("_rank", rank)
-        .join(offsets, ["_day", "_second"])
+        ranked.join(offsets, ["_day", "_second"])
         .select(*keys, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(out))
     )
     # Rows without a timestamp are the first merged row: they need no partner here.

@@ -121,6 +121,11 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_long(event_entries(spark, sf_dir), EVENT_FILES)
 
 
+def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once: a question takes several looks at the table."""
+    return stage(event_rows(spark, sf_dir), "rows")
+
+
 # --- timestamp formats ----------------------------------------------------------------
 
 def _at(pattern: str) -> Callable[[Column], Column]:
@@ -318,7 +323,8 @@ def q_merge_wide_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_merge_wide_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read as text, detect, assemble and merge on the second."""
-    lines = parse_timestamps(rendered_events(spark, sf_dir, "iso_space_comma"), "iso_space_comma")
+    raw = rendered_events(spark, sf_dir, "iso_space_comma")
+    lines = stage(with_segments(parse_timestamps(raw, "iso_space_comma")), "lines")
     keyed = collapse_records(lines, key=lambda ts: tx.floor_ts(ts, "second"))
     return merge_wide(keyed, EVENT_FILES).drop("part")
 
@@ -405,7 +411,7 @@ def _row(rows: DataFrame) -> DataFrame:
 
 
 def _row_query(pick: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: _row(pick(event_rows(spark, sf_dir)))
+    return lambda spark, sf_dir: _row(pick(kept_rows(spark, sf_dir)))
 
 
 def q_asof(direction: str) -> Query:

@@ -58,50 +58,60 @@ def _column(df: DataFrame, name: str) -> Column:
 
 def format_packets(packets: DataFrame) -> DataFrame:
     """Add ``timestamp`` (text), ``proto`` and ``message``; packets without IP are left out."""
-    ip = packets.where(F.col("src").isNotNull())
-    layer = F.col("layer")
-    source = F.concat_ws(":", "src", F.col("sport").cast("string"))
-    target = F.concat_ws(":", "dst", F.col("dport").cast("string"))
-    there = F.concat(source, F.lit(" -> "), target)
-    back = F.concat(target, F.lit(" <- "), source)
-    numbers = F.format_string(" seq:%d ack:%d ", F.col("seq"), F.col("ack"))
-
-    status = _column(packets, "nfs_status")
-    procedure = nfs_procedure(F.col("nfs_proc"))
-    name = F.coalesce(_column(packets, "nfs_name"), F.lit(""))
-    answered = status.isNotNull()
-    status_text = F.when(answered, nfs_status(status)).otherwise(F.lit(""))
-    call = F.when(name != "", F.concat(procedure, F.lit(" "), quoted(name), F.lit(" ")))
-    nfs_content = F.concat(F.coalesce(call, F.concat(procedure, F.lit(" "))), status_text)
-    nfs = F.concat(layer, F.lit(" "), F.when(answered, back).otherwise(there), numbers,
-                   nfs_content)
-
-    chat = F.col("http_chat")
-    # The decoder writes the line end as the four characters \r\n.
-    chat = rtrim_ws(
-        F.when(F.endswith(chat, F.lit("\\r\\n")), F.left(chat, F.length(chat) - 4)).otherwise(chat)
-    )
-    http_layer = F.when(layer == "HTTP", F.lit("HTTP")).otherwise(F.concat(F.lit("HTTP/"), layer))
-    http = F.concat(http_layer, F.lit(" "), there, numbers, quoted(chat))
+    layer, chat, payload = F.col("layer"), F.col("http_chat"), F.col("payload")
+    status, name = _column(packets, "nfs_status"), _column(packets, "nfs_name")
+    is_tcp = F.col("sport").isNotNull() & F.col("flags").isNotNull()
+    is_nfs = is_tcp & F.col("nfs_proc").isNotNull()
+    is_http = is_tcp & F.col("nfs_proc").isNull() & chat.isNotNull()
+    is_reply = is_nfs & status.isNotNull()
 
-    payload = F.col("payload")
+    def endpoint(host: str, port: str) -> Column:
+        return F.concat_ws(":", host, F.when(is_tcp, F.col(port).cast("string")))
+
+    # The decoder writes the line end as the four characters \r\n.
+    said = F.when(F.endswith(chat, F.lit("\\r\\n")), F.left(chat, F.length(chat) - 4))
     dots = F.when(F.col("len") > PAYLOAD_DOTS, F.lit("...")).otherwise(F.lit(""))
     data = F.concat(F.lit(" "), F.substring(payload, 1, PAYLOAD_SHOWN), dots)
-    tcp = F.concat(layer, F.lit(" "), there, numbers, tcp_flags(F.col("flags")),
-                   F.when(payload.isNotNull(), data).otherwise(F.lit("")))
-
-    other = F.concat(layer, F.lit(" "), F.col("src"), F.lit(" -> "), F.col("dst"), F.lit(" "))
+    # What a packet is about: one text to quote, words before it and words behind it.
+    quotes = F.when(is_nfs, F.nullif(name, F.lit(""))).when(
+        is_http, rtrim_ws(F.coalesce(said, chat))
+    )
+    before = F.when(is_nfs, F.concat(nfs_procedure(F.col("nfs_proc")), F.lit(" ")))
+    behind = (
+        F.when(is_reply, nfs_status(status))
+        .when(is_tcp & ~is_nfs & ~is_http,
+              F.concat(tcp_flags(F.col("flags")), F.coalesce(data, F.lit(""))))
+    )
+    label = F.when(is_http & (layer != "HTTP"), F.concat(F.lit("HTTP/"), layer)).otherwise(layer)
+    numbers = F.when(
+        is_tcp, F.concat(F.lit(" seq:"), F.col("seq"), F.lit(" ack:"), F.col("ack"))
+    )
 
-    is_tcp = F.col("sport").isNotNull() & F.col("flags").isNotNull()
-    is_nfs, is_http = F.col("nfs_proc").isNotNull(), F.col("http_chat").isNotNull()
-    message = (
-        F.when(~is_tcp, other).when(is_nfs, nfs).when(is_http, http).otherwise(tcp)
+    def shown(c: Column) -> Column:
+        return F.coalesce(c, F.lit(""))
+
+    # In steps, so that no expression is written out twice in the generated code.
+    steps = (
+        packets.where(F.col("src").isNotNull())
+        .withColumn("_source", endpoint("src", "sport"))
+        .withColumn("_target", endpoint("dst", "dport"))
+        .withColumn("_quotes", quotes)
+        .withColumn("_before", shown(before))
+        .withColumn("_behind", shown(behind))
+    )
+    message = F.concat(
+        label, F.lit(" "),
+        F.when(is_reply, F.col("_target")).otherwise(F.col("_source")),
+        F.when(is_reply, F.lit(" <- ")).otherwise(F.lit(" -> ")),
+        F.when(is_reply, F.col("_source")).otherwise(F.col("_target")),
+        shown(numbers), F.lit(" "), F.col("_before"), shown(quoted(F.col("_quotes"))),
+        F.when(is_nfs & F.col("_quotes").isNotNull(), F.lit(" ")).otherwise(F.lit("")),
+        F.col("_behind"),
     )
-    proto = F.when(is_tcp & ~is_nfs & is_http, F.lit("HTTP")).otherwise(layer)
-    return ip.select(
-        "*",
+    return steps.select(
+        *packets.columns,
         F.date_format("ts", DISPLAY_FORMAT).alias("timestamp"),
-        proto.alias("proto"),
+        F.when(is_http, F.lit("HTTP")).otherwise(layer).alias("proto"),
         message.alias("message"),
     )
 
