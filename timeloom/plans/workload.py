@@ -9,7 +9,7 @@ Three logs are made from the tables: ``event_lines`` (one source per event type)
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -590,14 +590,14 @@ def q_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.write.parquet(f"{root}/in")
     end.write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(lines.schema).parquet(f"{root}/in")
-    merged = merge_stream(stream, EVENT_FILES, delay="1 day", window="1 hour")
+    merged = merge_stream(stream, EVENT_FILES, delay="1 day", window=timedelta(hours=1))
     query = (
         merged.writeStream.format("parquet").outputMode("append")
         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(merged.schema).parquet(f"{root}/out")
+    return spark.read.schema(merged.schema).parquet(f"{root}/out").drop("part")
 
 
 def queries() -> dict[str, Query]:

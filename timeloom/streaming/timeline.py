@@ -3,34 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def merge_stream(entries: DataFrame, files: Sequence[str], delay: str = "1 minute",
-                 window: str | None = None) -> DataFrame:
-    """Wide rows per timestamp (or per tumbling ``window``) of a stream of entries.
+                 window: timedelta | None = None, slices: int = 1) -> DataFrame:
+    """Wide rows ``(ts, part, <files>)`` per timestamp, or per tumbling ``window``.
 
     ``entries`` has ``file, ts, seq, body``.  A row is final once the watermark, ``delay``
-    behind the newest entry, has passed it; later entries are dropped.  Watermarks need an
-    instant, so ``ts`` is read in the session time zone and shown in it again.
+    behind the newest entry, has passed it; later entries are dropped.  A busy window can be
+    cut into ``slices`` of equal length: each is a row of its own, ``part`` tells its place.
+    Watermarks need an instant, so ``ts`` is read in the session time zone and shown in it.
     """
     instant = F.col("ts").cast("timestamp")
     timed = entries.withColumn("at", instant).withWatermark("at", delay)
-    key = F.window("at", window) if window else F.col("at")
-
-    def cell(name: str):
+    key = F.col("at")
+    if window is not None:
+        whole = window // timedelta(microseconds=1)
+        length = whole // slices
+        if length * slices != whole:
+            raise ValueError("the window must be a multiple of its slices")
+        key = F.window("at", f"{length} microseconds")
+
+    def cell(name: str) -> Column:
         lines = F.collect_list(
             F.when(F.col("file") == name, F.struct(F.col("ts"), F.col("seq"), F.col("body")))
         )
-        return F.array_join(
-            F.transform(F.array_sort(lines), lambda line: line["body"]), "\n"
-        ).alias(name)
+        text = F.transform(F.array_sort(lines), lambda line: line["body"])
+        return F.array_join(text, "\n").alias(name)
 
     names = list(dict.fromkeys(files))
     merged = timed.where(F.col("file").isin(names)).groupBy(key.alias("key")).agg(
         *[cell(n) for n in names]
     )
-    start = F.col("key.start") if window else F.col("key")
-    return merged.select(start.cast("timestamp_ntz").alias("ts"), *[F.col(f"`{n}`") for n in names])
+    start, part = F.col("key"), F.lit(0)
+    if window is not None:
+        micros = F.unix_micros("key.start")
+        into = F.pmod(micros, F.lit(whole))
+        start = F.timestamp_micros(micros - into)
+        part = F.floor(into / length).cast("int")
+    return merged.select(
+        start.cast("timestamp_ntz").alias("ts"), part.alias("part"),
+        *[F.col(f"`{n}`") for n in names],
+    )
