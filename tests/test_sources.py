@@ -194,12 +194,33 @@ def test_quote_state_of_a_line(spark):
 def test_csv_hot_file(spark, write, small_splits):
     """One long quoted cell over most of the file still comes out whole."""
     cell = "\n".join(f"row {i}, part" for i in range(3000))
+    assert len(cell) < 131072
     text = f'time,body,end\nt1,"{cell}",z\nt2,short,z\n'
     path = write("a.csv", text)
     small_splits(2000)
     assert raw_lines(read_csv_lines(spark, [path])) == python_csv(text)
 
 
+def test_csv_quote_that_never_closes(spark, write, small_splits):
+    """The marker row takes the place of the bad record; no other line is lost."""
+    bad = 't1,"never closed,x'
+    rows = [f"t{i},row {i},{'y' * 90}" for i in range(2, 4000)]
+    path = write("a.csv", "\n".join(["time,h1,h2", "t0,a,b", bad, *rows]) + "\n")
+    small_splits(20_000)
+    got = raw_lines(read_csv_lines(spark, [path]))
+    assert got[0] == "t0 h1=a h2=b"
+    assert got[1] == (">>> csv error: h1=field larger than field limit (131072): "
+                      f"{bad} h2=<<<")
+    assert got[2:] == [f"t{i} h1=row {i} h2={'y' * 90}" for i in range(2, 4000)]
+
+
+def test_csv_two_long_cells_are_no_error(spark, write):
+    long = "\n".join(["z" * 99] * 1200)
+    text = f'time,h1,h2\nt1,"{long}","{long}"\nt2,a,b\n'
+    csv.field_size_limit(10**7)
+    assert raw_lines(read_csv_lines(spark, [write("a.csv", text)])) == python_csv(text)
+
+
 # --- packets ------------------------------------------------------------------------------
 
 PACKET = ("ts timestamp_ntz, layer string, src string, sport int, dst string, dport int, "

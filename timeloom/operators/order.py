@@ -7,8 +7,9 @@ segment; what a segment hands on is one row, and only those rows meet per source
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -84,27 +85,46 @@ def join_segments(lines: DataFrame, per_segment: DataFrame, order: LineOrder) ->
     return lines.join(per_segment, order.keys, "left")
 
 
-def fill_steps(lines: DataFrame, value: str, order: LineOrder
-               ) -> tuple[DataFrame, DataFrame, Column]:
+def fill_steps(lines: DataFrame, values: Sequence[str], order: LineOrder
+               ) -> tuple[DataFrame, DataFrame, list[Column]]:
     """The pieces of a forward fill: lines filled inside their segment, the table of what each
-    segment inherits, and the filled value once both are joined (drop ``_here, _carry``)."""
-    stamped = F.when(F.col(value).isNotNull(), order.place())
-    inherited = segment_prefix(
-        lines, order,
-        {"_end": F.max_by(F.col(value), stamped)},
-        {"_carry": lambda w: F.last("_end", ignorenulls=True).over(w)},
-    ).drop("segment_no")
-    inside = lines.withColumn("_here", F.last(value, ignorenulls=True).over(order.up_to_here()))
-    return inside, inherited, F.coalesce("_here", "_carry")
+    segment inherits, and the filled values once both are joined (then drop ``fill_columns``)."""
+    summaries, prefixes, filled = {}, {}, []
+    inside = lines
+    for i, value in enumerate(values):
+        present = F.when(F.col(value).isNotNull(), order.place())
+        summaries[f"_end{i}"] = F.max_by(F.col(value), present)
+        prefixes[f"_carry{i}"] = partial(_last_of, f"_end{i}")
+        inside = inside.withColumn(
+            f"_here{i}", F.last(value, ignorenulls=True).over(order.up_to_here())
+        )
+        filled.append(F.coalesce(f"_here{i}", f"_carry{i}"))
+    inherited = segment_prefix(lines, order, summaries, prefixes).drop("segment_no")
+    return inside, inherited, filled
+
+
+def _last_of(name: str, window: WindowSpec) -> Column:
+    return F.last(name, ignorenulls=True).over(window)
+
+
+def fill_columns(count: int = 1) -> list[str]:
+    """Helper columns of :func:`fill_steps`, to be dropped."""
+    return [f"{kind}{i}" for i in range(count) for kind in ("_here", "_carry")]
+
+
+def forward_fill_all(lines: DataFrame, values: dict[str, str],
+                     order: LineOrder = DEFAULT_ORDER) -> DataFrame:
+    """Forward fill several columns in one pass; ``values`` maps column to result."""
+    inside, inherited, filled = fill_steps(lines, list(values), order)
+    return join_segments(inside, inherited, order).withColumns(
+        dict(zip(values.values(), filled, strict=True))
+    ).drop(*fill_columns(len(values)))
 
 
 def forward_fill(lines: DataFrame, value: str = "ts", out: str = "rec_ts",
                  order: LineOrder = DEFAULT_ORDER) -> DataFrame:
     """Give each line the latest non-null ``value`` at or before it in its source."""
-    inside, inherited, filled = fill_steps(lines, value, order)
-    return join_segments(inside, inherited, order).withColumn(out, filled).drop(
-        "_here", "_carry"
-    )
+    return forward_fill_all(lines, {value: out}, order)
 
 
 def running_sum(lines: DataFrame, value: str, out: str,

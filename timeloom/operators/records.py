@@ -12,6 +12,7 @@ from timeloom.functions.text import indent_continuation, rtrim_ws, strip_sgr
 from timeloom.operators.order import (
     DEFAULT_ORDER,
     LineOrder,
+    fill_columns,
     fill_steps,
     join_segments,
     with_segments,
@@ -150,7 +151,7 @@ def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
         inside = lines.where(F.col("ts").isNotNull())
         inherited, rec_ts = None, F.col("ts")
     else:
-        inside, inherited, rec_ts = fill_steps(lines, "ts", order)
+        inside, inherited, (rec_ts,) = fill_steps(lines, ["ts"], order)
     if key is not None:
         rec_ts = key(rec_ts)
 
@@ -168,7 +169,7 @@ def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
         mine = F.filter("_long", lambda c: c["cell_ts"].eqNullSafe(F.col("rec_ts")))
         part = F.coalesce(F.get(mine, F.lit(0))["part"], F.lit(0))
     return filled(per_segment).withColumn("part", part).drop(
-        "_here", "_carry", "_long", "_bytes"
+        *fill_columns(), "_long", "_bytes"
     )
 
 

@@ -13,7 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeloom.operators.order import LineOrder, forward_fill, with_segments
+from timeloom.operators.order import (
+    LineOrder,
+    forward_fill_all,
+    join_segments,
+    with_segments,
+)
 from timeloom.plans.session import small_side, stage
 from timeloom.sources.files import read_text
 
@@ -23,6 +28,12 @@ _CELL = rf'(?s)({_QUOTED}[^,]*+|[^,]*+),'
 _OPEN_FROM_CLOSED = rf'(?s)^(?:{_QUOTED}[^,]*+,|(?!")[^,]*+,)*+"(?:[^"]++|"")*+$'
 _CLOSING = r'(?s)^(?:[^"]++|"")*+"[^,]*+(?:,|$)'
 
+# A quoted cell may hold this many characters, and what stands for one that
+# does not end within them (the line that opened it is quoted in the message).
+FIELD_LIMIT = 131072
+_ERROR_CELLS = (">>> csv error:", "<<<")
+_ERROR_TEXT = f"field larger than field limit ({FIELD_LIMIT}): "
+
 _ORDER = LineOrder(file="path")
 
 
@@ -66,6 +77,9 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     Each line closes, opens, keeps or swaps the quote state.  With ``swaps`` counting the
     swaps so far, the state is the last closing or opening seen through the swaps since then.
     The same holds for whole segments, so their few rows carry the state from one to the next.
+
+    A quote that is not closed within the field limit swallows no more lines: its record
+    becomes an error marker, and the lines after it are records of their own.
     """
     lines = with_segments(lines)
     here = order.up_to_here()
@@ -96,16 +110,27 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
         "_after", F.coalesce("_set", "_entry").bitwiseXOR(F.col("_swaps"))
     )
     before = F.coalesce(F.lag("_after").over(order.inside()), F.col("_entry"))
-    stated = stated.withColumn("_before", before).withColumn(
-        "_first", F.when(F.col("_before") == 0, F.struct("block_start", "seq"))
-    )
-    placed = forward_fill(
-        stated.drop("_closed", "_open", "_swaps", "_set", "_entry", "_after", "_before"),
-        "_first", "_record", order,
+    here_is = F.struct("block_start", "seq")
+    stays_inside = (F.col("_before") == 1) & ~F.col("raw").rlike(_CLOSING)
+    stated = (
+        stated.withColumn("_before", before)
+        .withColumn("_first", F.when(F.col("_before") == 0, here_is))
+        .withColumn("_inside", F.when(stays_inside, F.length("raw") + 1).otherwise(0))
+        .withColumn("_opens", F.when(~stays_inside, here_is))
+        .drop("_closed", "_open", "_swaps", "_set", "_entry", "_after", "_before")
     )
+    placed = forward_fill_all(stated, {"_first": "_record", "_opens": "_cell"}, order)
+    runaway = join_segments(placed, _runaway_records(placed, order), order)
+    given_up = F.coalesce(F.array_contains("_bad", F.col("_record")), F.lit(False))
+    message = F.concat(F.lit(_ERROR_TEXT), F.replace("raw", F.lit('"'), F.lit('""')))
+    marker = F.concat(F.lit(_ERROR_CELLS[0] + ',"'), message, F.lit('",' + _ERROR_CELLS[1]))
+    lone = runaway.withColumn("_given_up", given_up).withColumn(
+        "raw", F.when(F.col("_given_up") & F.col("_first").isNotNull(), marker)
+        .otherwise(F.col("raw"))
+    ).withColumn("_record", F.when(F.col("_given_up"), here_is).otherwise(F.col("_record")))
     position = ", ".join(order.position)
     return (
-        placed.groupBy(order.file, "_record")
+        lone.groupBy(order.file, "_record")
         .agg(
             F.expr(f"listagg(raw, '\\n') within group (order by {position})").alias("raw"),
             F.first("file_date").alias("file_date"),
@@ -119,6 +144,24 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     )
 
 
+def _runaway_records(lines: DataFrame, order: LineOrder) -> DataFrame:
+    """Per segment, the records with a quoted cell beyond the field limit.
+
+    Such a quote was never meant to open a cell.  Only the narrow sizes are compared: per
+    cell first, then per record, so that all segments of the record learn of it.
+    """
+    sizes = lines.groupBy(*order.keys, "_record", "_cell").agg(F.sum("_inside").alias("_size"))
+    cell = Window.partitionBy(order.file, "_cell")
+    record = Window.partitionBy(order.file, "_record")
+    return (
+        sizes.withColumn("_size", F.sum("_size").over(cell))
+        .withColumn("_size", F.max("_size").over(record))
+        .where(F.col("_size") > FIELD_LIMIT)
+        .groupBy(*order.keys)
+        .agg(F.collect_set("_record").alias("_bad"))
+    )
+
+
 def csv_to_lines(records: DataFrame, source: str = "path") -> DataFrame:
     """Records with their header row to raw lines; the header row itself goes away."""
     opening = records.where(F.col("block_start") == 0)
