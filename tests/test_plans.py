@@ -64,6 +64,10 @@ def test_text_is_shuffled_twice_for_a_wide_merge(lines, fixed_plan):
     shuffles = [x for x in path_to_body(plan_of(wide)) if "Exchange" in x]
     assert len(shuffles) == 2
     assert "hashpartitioning(ts" in shuffles[1] or "hashpartitioning(ts" in shuffles[0]
+    # The same where cells are cut into parts, and numbering adds none.
+    cut = merge_wide(collapse_records(lines, limit=50), ["a", "b"])
+    assert len([x for x in path_to_body(plan_of(cut)) if "Exchange" in x]) == 2
+    assert "part" in "".join(plan_of(cut))
     numbered = number_rows(wide)
     assert len([x for x in path_to_body(plan_of(numbered)) if "Exchange" in x]) == 2
 

@@ -234,7 +234,9 @@ def test_filled_lines_keep_their_columns(spark):
     df = spark.createDataFrame(many_lines(1, 20), SCHEMA).withColumn("extra", F.col("seq"))
     filled = fill_records(df)
     assert set(filled.columns) == {"file", "block_start", "seq", "ts", "body", "extra", "segment",
-                                   "rec_ts", "part"}
+                                   "rec_ts"}
+    cut = fill_records(df, limit=3)
+    assert "part" in cut.columns
 
 
 def test_splits_do_not_matter(spark, write, small_splits):

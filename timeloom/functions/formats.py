@@ -271,8 +271,12 @@ class FormatRegistry:
     def names(self) -> list[str]:
         return list(self._formats)
 
-    def detect(self, line: Column) -> Column:
-        """Name of the first format that matches a whole raw line, NULL when none does."""
+    def detect_index(self, line: Column) -> Column:
+        """Number of the first format that matches a whole raw line, NULL when none does."""
         # The end of the line counts as the separator here, hence the line feed.
         sample = F.concat(line, F.lit("\n"))
-        return F.coalesce(*[F.when(f.matches(sample), F.lit(f.name)) for f in self])
+        return F.coalesce(*[F.when(f.matches(sample), F.lit(i)) for i, f in enumerate(self)])
+
+    def detect(self, line: Column) -> Column:
+        """Name of that format."""
+        return F.get(F.array(*[F.lit(n) for n in self.names()]), self.detect_index(line))

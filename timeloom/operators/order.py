@@ -35,7 +35,8 @@ class LineOrder:
 
     @property
     def position(self) -> list[str]:
-        return [*self.segments, *self.by]
+        """What orders the lines of a source; ``segment`` only repeats the high bits of ``seq``."""
+        return [*(s for s in self.segments if s != "segment"), *self.by]
 
     def inside(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.by)

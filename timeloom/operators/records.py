@@ -17,6 +17,7 @@ from timeloom.operators.order import (
     join_segments,
     with_segments,
 )
+from timeloom.plans.session import small_side
 
 # A cell of one source at one timestamp is one string up to this many bytes; beyond it the
 # cell continues in further parts, so that no group has to fit in one task.
@@ -34,14 +35,31 @@ def detect_formats(lines: DataFrame, registry: FormatRegistry | None = None,
     opening = lines
     if "block_start" in lines.columns:
         opening = lines.where(F.col("block_start") == 0)
-    if scan == "first_line":
-        first = opening.groupBy("file").agg(F.min_by("raw", "seq").alias("_raw"))
-        return first.select("file", registry.detect(F.col("_raw")).alias("fmt"))
-    if scan != "first_match":
+    names = F.array(*[F.lit(n) for n in registry.names()])
+    # The formats are tried only where a line becomes the smallest so far: once or twice per
+    # source and task.  A number as the result keeps the aggregate free of sorting.
+    place = F.col("seq")
+    which = registry.detect_index(F.col("raw"))
+    if scan == "first_match":
+        place = F.when(which.isNotNull(), place)
+    elif scan != "first_line":
         raise ValueError(f"unknown scan {scan!r}")
-    named = opening.withColumn("fmt", registry.detect(F.col("raw")))
-    place = F.when(F.col("fmt").isNotNull(), F.col("seq"))
-    return named.groupBy("file").agg(F.min_by("fmt", place).alias("fmt"))
+    first = opening.groupBy("file").agg(F.min_by(which, place).alias("_which"))
+    return first.select("file", F.get(names, F.col("_which")).alias("fmt"))
+
+
+def first_lines(lines: DataFrame, source: str = "file") -> DataFrame:
+    """``(source, raw)``: the first raw line of each source.
+
+    First its hash is found -- numbers only, so no sorting -- then the line with that hash.
+    """
+    opening = lines
+    if "block_start" in lines.columns:
+        opening = lines.where(F.col("block_start") == 0)
+    marked = opening.withColumn("_hash", F.xxhash64("raw"))
+    wanted = marked.groupBy(source).agg(F.min_by("_hash", "seq").alias("_hash"))
+    same = marked.join(small_side(wanted)[0], [source, "_hash"])
+    return same.groupBy(source).agg(F.min_by("raw", "seq").alias("raw"))
 
 
 def _by_format(names: Sequence[str | None], build) -> Column:
@@ -99,7 +117,7 @@ def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
     split = split.withColumn("ts", F.when(found, ts.cast("timestamp_ntz")))
 
     lead = _by_format(names, lambda n: registry[n].lead(F.col("_prefix"), strict))
-    rest = F.substring(F.col("_line"), F.length("_prefix") + 1, F.length("_line"))
+    rest = F.substr(F.col("_line"), F.length("_prefix") + 1)
     kept = F.concat(F.coalesce(lead.cast("string"), F.lit("")), rest)
     stamped = F.col("ts").isNotNull()
     body = F.when(stamped, kept).otherwise(indent_continuation(F.col("_line")))
@@ -111,11 +129,52 @@ def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
     )
 
 
+def _crowded_sources(lines: DataFrame, order: LineOrder, limit: int,
+                     key: Callable[[Column], Column], inherits: bool) -> DataFrame:
+    """``(file)``: sources that may have a cell beyond the limit.
+
+    A cell lies in segments whose time span holds its time, so it is no larger than those
+    segments together.  Per segment only span and size are needed; a sweep over the spans of
+    a source finds the largest sum.  In a log that is roughly in time order that is the size
+    of a few segments, and nothing more needs to be looked at.
+    """
+    keys = order.keys
+    spans = lines.groupBy(*keys).agg(
+        F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.sum("_bytes").alias("_size"),
+        F.max_by("ts", F.when(F.col("ts").isNotNull(), order.place())).alias("_end"),
+    )
+    if inherits:
+        # Lines at the start of a segment may belong to a record that began before it.
+        earlier = Window.partitionBy(order.file).orderBy(*order.segments).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        carry = F.last("_end", ignorenulls=True).over(earlier)
+        spans = spans.withColumn("_carry", carry)
+        # NULL is the time of what precedes all timestamps, and sorts first.
+        spans = spans.withColumn(
+            "_lo", F.when(F.col("_carry").isNotNull(), F.least("_lo", "_carry"))
+        ).withColumn("_hi", F.greatest("_hi", "_carry"))
+    def edge(at: str, kind: int, change: Column) -> Column:
+        return F.struct(key(F.col(at)).alias("_at"), F.lit(kind).alias("_kind"),
+                        change.alias("_change"))
+
+    edges = spans.select(
+        order.file,
+        F.inline(F.array(edge("_lo", 0, F.col("_size")), edge("_hi", 1, -F.col("_size")))),
+    )
+    sweep = Window.partitionBy(order.file).orderBy(F.col("_at").asc_nulls_first(), "_kind")
+    so_far = F.sum("_change").over(sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        edges.withColumn("_sum", so_far).groupBy(order.file)
+        .agg(F.max("_sum").alias("_sum")).where(F.col("_sum") > limit).select(order.file)
+    )
+
+
 def _long_cells(filled: DataFrame, order: LineOrder, limit: int) -> DataFrame:
     """Per segment, the over-long cells it takes part in: ``(cell_ts, part)`` pairs.
 
     Works on byte counts only.  They are summed inside the segments, then one narrow row per
-    segment and cell is compared per cell.  Normally no row remains.
+    segment and cell is compared per cell.
     """
     cell = Window.partitionBy(order.file, "rec_ts").orderBy(*order.segments)
     sizes = filled.groupBy(*order.keys, "rec_ts").agg(F.sum("_bytes").alias("_bytes"))
@@ -139,63 +198,74 @@ def _long_cells(filled: DataFrame, order: LineOrder, limit: int) -> DataFrame:
 def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
                  order: LineOrder = DEFAULT_ORDER, limit: int | None = MAX_CELL_BYTES,
                  key: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Lines with ``rec_ts``, the time of the record they belong to, and ``part``.
+    """Lines with ``rec_ts``, the time of the record they belong to.
 
-    ``part`` is 0, or the running number of the piece of an over-long cell.  Pieces are whole
-    segments in line order, so the parts of a cell put together give the cell.
+    Where over-long cells occur there is also ``part``, the running number of a cell's piece.
+    Pieces are whole segments in line order, so the parts of a cell put together give the
+    cell.  Whether any source can have such cells is checked first, by a small job over times
+    and sizes; usually none can.  ``key`` must not decrease with time.
     """
     if order == DEFAULT_ORDER and "segment" not in lines.columns:
         lines = with_segments(lines)
+    key = key or (lambda ts: ts)
     lines = lines.withColumn("_bytes", F.octet_length("body") + 1)
     if ignore_untimestamped:
-        inside = lines.where(F.col("ts").isNotNull())
-        inherited, rec_ts = None, F.col("ts")
-    else:
-        inside, inherited, (rec_ts,) = fill_steps(lines, ["ts"], order)
-    if key is not None:
-        rec_ts = key(rec_ts)
+        lines = lines.where(F.col("ts").isNotNull())
 
-    def filled(per_segment: DataFrame | None) -> DataFrame:
-        joined = inside if per_segment is None else join_segments(inside, per_segment, order)
-        return joined.withColumn("rec_ts", rec_ts)
+    def steps(some: DataFrame) -> tuple[DataFrame, DataFrame | None, Column]:
+        if ignore_untimestamped:
+            return some, None, key(F.col("ts"))
+        inside, inherited, (rec_ts,) = fill_steps(some, ["ts"], order)
+        return inside, inherited, key(rec_ts)
 
-    part = F.lit(0)
-    per_segment = inherited
+    inside, per_segment, rec_ts = steps(lines)
+    part = None
     if limit is not None:
-        long_cells = _long_cells(filled(inherited), order, limit)
-        per_segment = long_cells if inherited is None else inherited.join(
-            long_cells, order.keys, "left"
-        )
-        mine = F.filter("_long", lambda c: c["cell_ts"].eqNullSafe(F.col("rec_ts")))
-        part = F.coalesce(F.get(mine, F.lit(0))["part"], F.lit(0))
-    return filled(per_segment).withColumn("part", part).drop(
-        *fill_columns(), "_long", "_bytes"
-    )
+        crowded = _crowded_sources(lines, order, limit, key, not ignore_untimestamped)
+        crowded, few = small_side(crowded)
+        if not few or not crowded.isEmpty():
+            some, inherited, some_ts = steps(lines.join(crowded, order.file, "left_semi"))
+            if inherited is not None:
+                some = join_segments(some, inherited, order)
+            long_cells = _long_cells(some.withColumn("rec_ts", some_ts), order, limit)
+            per_segment = long_cells if per_segment is None else per_segment.join(
+                long_cells, order.keys, "left"
+            )
+            mine = F.filter("_long", lambda c: c["cell_ts"].eqNullSafe(F.col("rec_ts")))
+            part = F.coalesce(F.get(mine, F.lit(0))["part"], F.lit(0))
+    joined = inside if per_segment is None else join_segments(inside, per_segment, order)
+    joined = joined.withColumn("rec_ts", rec_ts)
+    if part is not None:
+        joined = joined.withColumn("part", part)
+    return joined.drop(*fill_columns(), "_long", "_bytes")
 
 
 def collapse_filled(filled: DataFrame, order: LineOrder = DEFAULT_ORDER) -> DataFrame:
-    """One row per source, time and part from lines with ``rec_ts`` and ``part``.
+    """One row per source, time and part from lines with ``rec_ts``.
 
     Gathers the lines of multi-line records and of repeated timestamps in line order.  Rows
     are placed by ``(ts, part)``, which also serves the merge over sources that follows.
     """
     # Own names: the position may use the line's own time.
     position = {f"_p{i}": c for i, c in enumerate(order.position)}
-    first = F.struct(*[F.col(p).alias(c) for p, c in position.items()])
-    in_order = f"listagg(body, '\\n') within group (order by {', '.join(position)})"
+    lines = F.sort_array(F.collect_list(F.struct(*position, "body")))
+    # A constant must not become a partitioning key: no grouping would match it.
+    cell = ["ts", "part"] if "part" in filled.columns else ["ts"]
     return (
         filled.select(
-            F.col(order.file).alias("file"), F.col("rec_ts").alias("ts"), "part", "body",
+            F.col(order.file).alias("file"), F.col("rec_ts").alias("ts"), *cell[1:], "body",
             *[F.col(c).alias(p) for p, c in position.items()],
         )
-        .repartition("ts", "part")
-        .groupBy("ts", "part", "file")
-        .agg(
-            F.min(first).alias("first_line"),
-            F.count("*").cast("int").alias("n_lines"),
-            F.expr(in_order).alias("body"),
+        .repartition(*cell)
+        .groupBy(*cell, "file")
+        .agg(lines.alias("_lines"))
+        .select(
+            "file", "ts", (F.col("part") if len(cell) > 1 else F.lit(0)).alias("part"),
+            F.struct(*[F.col("_lines")[0][p].alias(c) for p, c in position.items()])
+            .alias("first_line"),
+            F.size("_lines").alias("n_lines"),
+            F.array_join(F.col("_lines.body"), "\n").alias("body"),
         )
-        .select("file", "ts", "part", "first_line", "n_lines", "body")
     )
 
 

@@ -61,7 +61,10 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     formats, small = small_side(detect_formats(raw, registry, detect))
     used = None
     if small:
-        used = [r.fmt for r in formats.select("fmt").distinct().collect() if r.fmt]
+        found = [r.fmt for r in formats.select("fmt").distinct().collect()]
+        used = [name for name in found if name]
+        if len(found) == 1 and used:
+            formats = found[0]  # one format for all: no lookup per line
     parsed = parse_timestamps(raw, formats, registry, reference_date, strict, used)
     lines = stage(with_segments(parsed), "lines")
     filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes)

@@ -164,11 +164,14 @@ def _runaway_records(lines: DataFrame, order: LineOrder) -> DataFrame:
 
 def csv_to_lines(records: DataFrame, source: str = "path") -> DataFrame:
     """Records with their header row to raw lines; the header row itself goes away."""
+    # The records are staged: their line numbers are the same in each pass.
     opening = records.where(F.col("block_start") == 0)
-    headers = opening.groupBy(source).agg(F.min(F.struct("seq", "raw")).alias("_h")).select(
-        source,
-        split_cells(F.col("_h.raw")).alias("_headers"),
-        F.col("_h.seq").alias("_header_seq"),
+    starts = opening.groupBy(source).agg(F.min("seq").alias("_header_seq"))
+    starts, _ = small_side(starts)
+    headers = (
+        opening.join(starts, source)
+        .where(F.col("seq") == F.col("_header_seq"))
+        .select(source, split_cells(F.col("raw")).alias("_headers"), "_header_seq")
     )
     headers, _ = small_side(headers)
     joined = records.join(headers, source)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.functions.formats import FormatRegistry
+from timeloom.operators.records import first_lines
 from timeloom.plans.session import small_side
 from timeloom.sources.files import read_text
 
@@ -27,10 +28,7 @@ def time_keys(lines: DataFrame, source: str = "file",
               registry: FormatRegistry | None = None) -> DataFrame:
     """``(source, time_key)``: the first key in a source's first row that holds a time."""
     registry = registry or FormatRegistry()
-    opening = lines
-    if "block_start" in lines.columns:
-        opening = lines.where(F.col("block_start") == 0)
-    first = opening.groupBy(source).agg(F.min_by("raw", "seq").alias("raw"))
+    first = first_lines(lines, source)
     pairs = first.select(source, F.posexplode(_fields(F.col("raw"))).alias("at", "pair"))
     shown = F.coalesce(F.col("pair.value"), F.lit("None"))
     known = F.when(registry.detect(shown).isNotNull(), F.col("at"))

@@ -88,7 +88,7 @@ class RecordAssembler:
 
     def _markers(self, lines: DataFrame) -> DataFrame:
         """Of a record already written only its time and next piece number remain."""
-        place = F.struct(*STREAM_ORDER.position)
+        place = F.struct(*STREAM_ORDER.segments, *STREAM_ORDER.by)
         return (
             lines.groupBy("file")
             .agg(
@@ -100,7 +100,7 @@ class RecordAssembler:
         )
 
     def _advance(self, lines: DataFrame, batch_id: int) -> None:
-        place = F.struct(*STREAM_ORDER.position)
+        place = F.struct(*STREAM_ORDER.segments, *STREAM_ORDER.by)
         # One row per source: where its last record starts, and how large that record is.
         heads = lines.where(F.col("ts").isNotNull()).groupBy("file").agg(
             F.max(place).alias("_head")
