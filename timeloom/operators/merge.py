@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.text import display_ts, trim_ws
 from timeloom.operators.order import number_rows
+from timeloom.plans.session import lookup
 
 # One column per source is for people to read; beyond this use merge_long.
 MAX_WIDE_FILES = 1000
@@ -56,13 +57,10 @@ def merge_long(entries: DataFrame, files: Sequence[str] | None = None,
     """
     rows = entries
     if files is not None:
-        ordinal = F.create_map(
-            *[x for i, f in enumerate(dict.fromkeys(files)) for x in (F.lit(f), F.lit(i))]
-        )
-        rows = rows.withColumn("file_no", F.try_element_at(ordinal, F.col("file")))
-        rows = rows.where(F.col("file_no").isNotNull())
+        names = [(f, i) for i, f in enumerate(dict.fromkeys(files))]
+        rows = rows.join(lookup(rows.sparkSession, names, "file string, file_no int"), "file")
     if line_numbers:
-        rows = number_rows(rows)
+        rows = number_rows(rows, spread="file")
     kept = rows.where(trim_ws(F.col("body")) != "")
     return kept.select(
         *(["line"] if line_numbers else []),

@@ -14,8 +14,9 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# 2**17 lines per segment: some ten to twenty MB of log text.
-SEGMENT_BITS = 17
+# 2**15 lines per segment: a few MB of log text, and some ten million segments in a source
+# of tens of TB.
+SEGMENT_BITS = 15
 
 
 @dataclass(frozen=True)
@@ -224,13 +225,14 @@ def clock_prefix(per_second: DataFrame, fold: Callable[[WindowSpec], Column],
 
 
 def number_rows(rows: DataFrame, keys: tuple[str, str] = ("ts", "part"),
-                out: str = "line") -> DataFrame:
+                out: str = "line", spread: str | None = None) -> DataFrame:
     """Number timestamps from 1 in time order, without a global window.
 
     ``keys`` are the timestamp, then the part of an over-long row (part 0 is always there).
     All rows of one timestamp share its number.  Counts per second and per day give each second
     its offset; the rank inside a second has at most a million distinct timestamps.  Only
-    the narrow keys are numbered, then joined to the rows.
+    the narrow keys are numbered, then joined to the rows.  Rows without a timestamp match
+    nothing in that join; ``spread`` names a column that keeps them from meeting in one task.
     """
     ts, part = keys
     narrow = with_clock(rows.select(*keys).distinct(), ts)
@@ -254,6 +256,12 @@ def number_rows(rows: DataFrame, keys: tuple[str, str] = ("ts", "part"),
     )
     # Rows without a timestamp are the first merged row: they need no partner here.
     known = numbered.where(F.col(ts).isNotNull())
-    return rows.join(known, list(keys), "left").withColumn(
+    on = list(keys)
+    if spread is not None:
+        lost = F.col(ts).isNull()
+        rows = rows.withColumn("_spread", F.when(lost, F.xxhash64(spread)).otherwise(F.lit(0)))
+        known = known.withColumn("_spread", F.lit(0).cast("bigint"))
+        on.append("_spread")
+    return rows.join(known, on, "left").drop("_spread").withColumn(
         out, F.coalesce(out, F.lit(1).cast("bigint"))
     )

@@ -17,13 +17,18 @@ from timeloom.operators.order import (
     join_segments,
     with_segments,
 )
-from timeloom.plans.session import small_side
+from timeloom.plans.session import lookup, small_side
 
 # A cell of one source at one timestamp is one string up to this many bytes; beyond it the
 # cell continues in further parts, so that no group has to fit in one task.
 MAX_CELL_BYTES = 64 * 1024 * 1024
 
 
+def cell_limit(files: int) -> int:
+    """Cell size for so many sources side by side: their cells meet in one row."""
+    return max(MAX_CELL_BYTES // max(files, 1), 1024 * 1024)
+
+
 def detect_formats(lines: DataFrame, registry: FormatRegistry | None = None,
                    scan: str = "first_line") -> DataFrame:
     """``(file, fmt)``: the format of each source, NULL when none fits.
@@ -101,7 +106,7 @@ def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
     else:
         if isinstance(fmt, Mapping):
             used = used or sorted({n for n in fmt.values() if n})
-            fmt = F.broadcast(spark.createDataFrame(list(fmt.items()), "file string, fmt string"))
+            fmt = lookup(spark, list(fmt.items()), "file string, fmt string")
         names = [*(used if used is not None else registry.names()), None]
         tagged = lines.join(fmt, "file", "left")
 
@@ -240,24 +245,27 @@ def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
     return joined.drop(*fill_columns(), "_long", "_bytes")
 
 
-def collapse_filled(filled: DataFrame, order: LineOrder = DEFAULT_ORDER) -> DataFrame:
+def collapse_filled(filled: DataFrame, order: LineOrder = DEFAULT_ORDER,
+                    together: bool = True) -> DataFrame:
     """One row per source, time and part from lines with ``rec_ts``.
 
-    Gathers the lines of multi-line records and of repeated timestamps in line order.  Rows
-    are placed by ``(ts, part)``, which also serves the merge over sources that follows.
+    Gathers the lines of multi-line records and of repeated timestamps in line order.
+    ``together`` places the rows by ``(ts, part)``, which serves the merge over sources that
+    follows without another shuffle; otherwise each source goes its own way.
     """
     # Own names: the position may use the line's own time.
     position = {f"_p{i}": c for i, c in enumerate(order.position)}
     lines = F.sort_array(F.collect_list(F.struct(*position, "body")))
     # A constant must not become a partitioning key: no grouping would match it.
     cell = ["ts", "part"] if "part" in filled.columns else ["ts"]
+    chosen = filled.select(
+        F.col(order.file).alias("file"), F.col("rec_ts").alias("ts"), *cell[1:], "body",
+        *[F.col(c).alias(p) for p, c in position.items()],
+    )
+    if together:
+        chosen = chosen.repartition(*cell)
     return (
-        filled.select(
-            F.col(order.file).alias("file"), F.col("rec_ts").alias("ts"), *cell[1:], "body",
-            *[F.col(c).alias(p) for p, c in position.items()],
-        )
-        .repartition(*cell)
-        .groupBy(*cell, "file")
+        chosen.groupBy(*cell, "file")
         .agg(lines.alias("_lines"))
         .select(
             "file", "ts", (F.col("part") if len(cell) > 1 else F.lit(0)).alias("part"),

@@ -15,7 +15,7 @@ from timeloom.operators.explore import file_stats
 from timeloom.operators.merge import merge_long, merge_wide, present
 from timeloom.operators.order import with_segments
 from timeloom.operators.records import (
-    MAX_CELL_BYTES,
+    cell_limit,
     collapse_filled,
     detect_formats,
     fill_records,
@@ -27,15 +27,23 @@ from timeloom.sources.files import read_logs
 
 @dataclass(frozen=True)
 class Alignment:
-    """Entries of several sources, and the views on them."""
+    """Lines of several sources that know their record, and the views on them."""
 
-    entries: DataFrame
+    filled: DataFrame
     files: Sequence[str]
 
+    @property
+    def entries(self) -> DataFrame:
+        """One row per source and time."""
+        return collapse_filled(self.filled, together=False)
+
     def wide(self, line_numbers: bool = False) -> DataFrame:
-        return present(merge_wide(self.entries, self.files), self.files, line_numbers)
+        """One row per time, the sources side by side."""
+        merged = merge_wide(collapse_filled(self.filled), self.files)
+        return present(merged, self.files, line_numbers)
 
     def long(self, line_numbers: bool = False) -> DataFrame:
+        """One row per source and time, for any number of sources."""
         return merge_long(self.entries, self.files, line_numbers)
 
     def stats(self) -> DataFrame:
@@ -48,7 +56,7 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
           ignore_untimestamped: bool = False, reference_date: str | None = None,
           strict: bool = False, detect: str = "first_line", now: datetime | None = None,
           registry: FormatRegistry | None = None,
-          max_cell_bytes: int | None = MAX_CELL_BYTES) -> Alignment:
+          max_cell_bytes: int | None = None) -> Alignment:
     """Read, detect, parse, assemble, clip and key the given log files.
 
     The parsed lines are written once to the shared folder.  Everything after that reads the
@@ -67,10 +75,10 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
             formats = found[0]  # one format for all: no lookup per line
     parsed = parse_timestamps(raw, formats, registry, reference_date, strict, used)
     lines = stage(with_segments(parsed), "lines")
-    filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes)
+    filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes or cell_limit(len(files)))
     if autoclip_to_first:
         first = lines.where(F.col("file") == files[0]).select(F.col("ts").alias("rec_ts"))
         filled = autoclip(filled, first, "rec_ts")
     else:
         filled = clip(filled, start, end, now, ts="rec_ts")
-    return Alignment(collapse_filled(filled), files)
+    return Alignment(filled, files)

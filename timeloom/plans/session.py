@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Lookup tables up to this many rows (one per source) are broadcast.
+MAX_LOOKUP_ROWS = 100_000
+
 _local_scratch: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def build_session(name: str = "timeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,11 +57,29 @@ def stage(df: DataFrame, label: str = "stage", path: str | None = None) -> DataF
     cheap, gives every pass the same line keys, and survives the loss of executors.
     """
     target = path or fresh_path(df.sparkSession, label)
+    _staged.append(target)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
+def release_staged(spark: SparkSession) -> int:
+    """Delete the tables this process staged, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
+def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table from driver-side rows, marked for broadcast while it is small."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MAX_LOOKUP_ROWS else df
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> tuple[DataFrame, bool]:
     """A lookup table ready to be joined, and whether it is proven small.
 
     Up to ``max_rows`` rows it becomes a local relation marked for broadcast; a larger one

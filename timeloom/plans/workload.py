@@ -25,6 +25,7 @@ from timeloom.operators.explore import (
     find_previous,
     goto_line,
     goto_timestamp,
+    info_table,
     jump,
     search,
 )
@@ -379,6 +380,10 @@ def q_clip_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_times(clip(event_lines(spark, sf_dir), start="2024-01-10"))
 
 
+def q_clip_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_times(clip(event_lines(spark, sf_dir), end="2024-01-10T00:00:00"))
+
+
 def q_clip_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = datetime(2024, 1, 20, 12)
     return _event_times(clip(event_lines(spark, sf_dir), "10d", "36h", now=now))
@@ -402,6 +407,10 @@ def q_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stats(event_entries(spark, sf_dir), EVENT_FILES)
 
 
+def q_info_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return info_table(file_stats(event_entries(spark, sf_dir), EVENT_FILES))
+
+
 def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(event_rows(spark, sf_dir), '"K": 7').select("line", "timestamp", "file", "log")
 
@@ -645,10 +654,12 @@ def queries() -> dict[str, Query]:
         "number_rows": q_number_rows,
         "clip_absolute": q_clip_absolute,
         "clip_start_only": q_clip_start,
+        "clip_end_only": q_clip_end,
         "clip_relative": q_clip_relative,
         "clip_multiline": q_clip_records,
         "autoclip": q_autoclip,
         "file_stats": q_file_stats,
+        "info_table": q_info_table,
         "search": q_search,
         "find_next": _row_query(lambda rows: find_next(rows, '"k": 69', 500)),
         "find_prev": _row_query(lambda rows: find_previous(rows, '"k": 69', 500)),

@@ -232,6 +232,8 @@ def oracle_sql() -> dict[str, str]:
                          "TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-20 12:00:00.5'",
         "clip_start_only": f"WITH {EVENTS} SELECT seq AS event_id, ts, file FROM e "
                            "WHERE ts >= TIMESTAMP '2024-01-10'",
+        "clip_end_only": f"WITH {EVENTS} SELECT seq AS event_id, ts, file FROM e "
+                         "WHERE ts <= TIMESTAMP '2024-01-10'",
         "clip_relative": f"WITH {EVENTS} SELECT seq AS event_id, ts, file FROM e WHERE ts BETWEEN "
                          "TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-19 00:00:00'",
         "clip_multiline": f"WITH {CONVERSATIONS} SELECT file AS conv_id, seq AS turn, rec_ts "
@@ -244,6 +246,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT file, count(DISTINCT ts) AS n_entries, min(ts) AS first_ts, max(ts) AS last_ts
           FROM e GROUP BY file UNION ALL
           SELECT 'Overall (merged)', count(DISTINCT ts), min(ts), max(ts) FROM e""",
+        "info_table": f"""WITH {EVENTS}, s AS (
+            SELECT file, count(DISTINCT ts) AS n, min(ts) AS lo, max(ts) AS hi FROM e
+            GROUP BY file UNION ALL
+            SELECT 'Overall (merged)', count(DISTINCT ts), min(ts), max(ts) FROM e)
+          SELECT file, '| ' || file || ' | ' || format('{{:,}}', n) || ' | ' ||
+            strftime(lo, '%Y-%m-%d %H:%M:%S.%g') || ' ' ||
+            strftime(hi, '%Y-%m-%d %H:%M:%S.%g') || ' |' AS row FROM s""",
         "search": f"WITH {EVENTS}, {ROWS} SELECT line, timestamp, file, log FROM r "
                   "WHERE contains(lower(log), '\"k\": 7')",
         "find_next": f"WITH {EVENTS}, {ROWS} SELECT line, timestamp, file, log FROM r WHERE "

@@ -119,6 +119,8 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
         .withColumn("_opens", F.when(~stays_inside, here_is))
         .drop("_closed", "_open", "_swaps", "_set", "_entry", "_after", "_before")
     )
+    # Kept once: what follows passes over these columns several times.
+    stated = stage(stated, "csv-state")
     placed = forward_fill_all(stated, {"_first": "_record", "_opens": "_cell"}, order)
     runaway = join_segments(placed, _runaway_records(placed, order), order)
     given_up = F.coalesce(F.array_contains("_bad", F.col("_record")), F.lit(False))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from timeloom.plans.session import lookup
+
 # Character sets the JVM decode function takes; others go through an Arrow UDF.
 JVM_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16le", "utf-16be"}
 # Charsets whose line feed takes several bytes.
@@ -156,7 +158,5 @@ def read_logs(spark: SparkSession, paths: Iterable[str],
     if lines is None:
         raise ValueError("no files given")
     # The table of names is as long as the argument list, which the driver holds already.
-    names = spark.createDataFrame([(p, n) for n, p in files], "path string, file string")
-    if len(files) <= 100_000:
-        names = F.broadcast(names)
+    names = lookup(spark, [(p, n) for n, p in files], "path string, file string")
     return lines.join(names, "path").drop("path"), [n for n, _ in files]
