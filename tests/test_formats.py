@@ -102,6 +102,27 @@ def test_impossible_time_is_flagged_and_kept(spark):
     assert (row.ts, row.parse_error, row.body) == (None, True, " 2023-13-41 08:00:01 x")
 
 
+def test_instants_where_clocks_are_set_back(spark, zone):
+    """01:30 happens twice; the wall clock is the same, the instant is not."""
+    zone(ZONE)
+    lines = ["2023-11-05T01:30:00-0500 x", "2023-11-05T01:30:00-0600 x"]
+    rows = parse(spark, lines, "iso_t_whole_zone", keep_instant=True)
+    assert [r.ts for r in rows] == [datetime(2023, 11, 5, 1, 30)] * 2
+    seconds = [r.instant.timestamp() for r in rows]
+    assert seconds[1] - seconds[0] == 3600
+    plain = parse(spark, ["2023-11-05T01:30:00 x"], "iso_t_whole", keep_instant=True)
+    assert plain[0].instant is None
+
+
+def test_no_time_is_lost_where_clocks_are_set_forward(spark, zone):
+    """02:30 does not exist in this zone that day, but it may stand in a log."""
+    zone(ZONE)
+    for fmt, line in (("iso_space_whole", "2024-03-10 02:30:00 x"), ("syslog", "Mar 10 02:30:00 x"),
+                      ("http_server", "h - - [10/Mar/2024 02:30:00] x")):
+        row, = parse(spark, [line], fmt, reference_date="2024-01-01")
+        assert row.ts == datetime(2024, 3, 10, 2, 30)
+
+
 def test_strict_needs_a_separator_behind_the_time(spark):
     lines = ["2023-07-14 08:00:01  ", "2023-07-14 08:00:01 x"]
     loose = parse(spark, lines, "iso_space_whole")

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from timeloom.operators.merge import merge_wide
 from timeloom.operators.order import flag_disorder, forward_fill, number_rows, with_segments
 from timeloom.operators.records import collapse_records, parse_timestamps
-from timeloom.plans.session import scratch_dir, small_side, stage
+from timeloom.plans.session import release_staged, scratch_dir, small_side, stage
 
 LINES = "file string, block_start bigint, seq bigint, ts timestamp_ntz, body string"
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def lines(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("file"),
@@ -118,6 +118,14 @@ def test_lookup_tables_are_broadcast_only_when_small(spark):
     assert "ResolvedHint" not in probe._jdf.queryExecution().analyzed().toString()
 
 
+def test_staged_tables_can_be_released(spark):
+    release_staged(spark)
+    one, two = stage(spark.range(3).toDF("id")), stage(spark.range(4).toDF("id"))
+    assert one.count() + two.count() == 7
+    assert release_staged(spark) == 2
+    assert release_staged(spark) == 0
+
+
 def test_scratch_folder_is_the_session_setting(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:

@@ -53,13 +53,26 @@ def test_names_folders_and_globs(spark, write, tmp_path):
     lines, names = read_logs(spark, [a, b, a])
     assert names == [a, b]
     assert {(r.file, r.raw) for r in lines.collect()} == {(a, TEN[0]), (b, TEN[1])}
-    assert [n.rsplit("/", 1)[1] for n, _ in expand_paths(spark, [str(tmp_path)])] == [
+    assert [f.name.rsplit("/", 1)[1] for f in expand_paths(spark, [str(tmp_path)])] == [
         "a.log", "b.log"]
     assert len(expand_paths(spark, [str(tmp_path / "*.log")])) == 2
+    # One file under two names is two sources.
+    lines, names = read_logs(spark, [a, f"file:{a}"])
+    assert {r.file for r in lines.collect()} == set(names) == {a, f"file:{a}"}
     with pytest.raises(FileNotFoundError):
         read_logs(spark, [str(tmp_path / "nothing.log")])
 
 
+def test_odd_file_names(spark, write):
+    paths = [write("my log.txt", TEN[:1]), write("100%20é.log", TEN[1:2]),
+             write("a+b#c.jsonl", JSON_ROWS[:1])]
+    merged = align(spark, paths)
+    assert list(merged.files) == paths
+    rows = merged.wide().orderBy("ts").collect()
+    assert [bool(rows[0][p]) for p in paths] == [True, False, True]
+    assert [bool(rows[1][p]) for p in paths] == [False, True, False]
+
+
 def test_unreadable_suffixes(spark, write):
     for name in ("x.zip", "x.pcap"):
         with pytest.raises(ValueError, match=name):

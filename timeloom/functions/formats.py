@@ -2,7 +2,7 @@
 
 A :class:`TimestampFormat` says what a timestamp looks like (a Java regex), how it sits
 in the line (a layout) and how its text becomes a ``TIMESTAMP_NTZ`` wall clock in the
-session time zone.  Everything compiles to built-in expressions, so parsing stays inside
+session time zone (and an instant, where zone or epoch fix one).  Everything compiles to built-in expressions, so parsing stays inside
 whole-stage code generation and a bad value gives NULL instead of failing the job.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.text import SPACE, WHITESPACE, rtrim_ws
 
-# Text of the timestamp, and the date that completes partial timestamps.
+# From the text of the timestamp, and the date that completes partial ones, to a wall clock
+# (TIMESTAMP_NTZ) or, where zone or epoch fix it, an instant (TIMESTAMP).
 Parser = Callable[[Column, Column], Column]
 
 # The timestamp, then the separator that is dropped with it.
@@ -42,8 +43,8 @@ def _wall_clock(text: Column) -> Column:
 
 
 def _instant(text: Column) -> Column:
-    """Text with an offset, shown as wall clock in the session time zone."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
+    """Text with an offset."""
+    return text.try_cast("timestamp")
 
 
 def parse_local(text: Column, _: Column) -> Column:
@@ -94,7 +95,7 @@ def parse_access_log(text: Column, _: Column) -> Column:
 
 
 def _epoch(seconds: Column, micros: Column) -> Column:
-    return F.timestamp_micros(seconds * 1_000_000 + micros).cast("timestamp_ntz")
+    return F.timestamp_micros(seconds * 1_000_000 + micros)
 
 
 def parse_epoch_float(text: Column, _: Column) -> Column:
@@ -106,8 +107,7 @@ def parse_epoch_float(text: Column, _: Column) -> Column:
 
 
 def parse_epoch_millis(text: Column, _: Column) -> Column:
-    value = text.try_cast("bigint")
-    return F.timestamp_millis(value).cast("timestamp_ntz")
+    return F.timestamp_millis(text.try_cast("bigint"))
 
 
 def parse_epoch_seconds(text: Column, _: Column) -> Column:
@@ -131,7 +131,8 @@ class TimestampFormat:
 
     ``template`` places the timestamp (``{stamp}``) and the separator (``{sep}``) in the
     line; ``stamp_group`` is the group holding the timestamp text and ``lead_group`` the
-    group kept in front of the body (0: nothing is kept).
+    group kept in front of the body (0: nothing is kept).  A ``fixed`` format names an
+    instant, not only a wall clock.
     """
 
     name: str
@@ -141,6 +142,7 @@ class TimestampFormat:
     stamp_group: int = 2
     lead_group: int = 0
     custom: bool = False
+    fixed: bool = False
 
     def regex(self, strict: bool = False) -> str:
         sep = SPACE if strict else f"(?:{SPACE}|$)"
@@ -159,6 +161,15 @@ class TimestampFormat:
             return rtrim_ws(prefix)
         return F.regexp_extract(prefix, self.regex(strict), self.stamp_group)
 
+    def wall_clock(self, stamp: Column, reference_date: Column) -> Column:
+        """Time of day and date as shown in the session time zone."""
+        return self.parse(stamp, reference_date).cast("timestamp_ntz")
+
+    def instant(self, stamp: Column, reference_date: Column) -> Column:
+        if self.fixed:
+            return self.parse(stamp, reference_date)
+        return F.lit(None).cast("timestamp")
+
     def lead(self, prefix: Column, strict: bool = False) -> Column:
         if not self.lead_group:
             return F.lit("")
@@ -186,6 +197,7 @@ def _iso_formats() -> list[TimestampFormat]:
                         name=f"iso_{sep_name}_{frac_name}" + ("_zone" if zoned else ""),
                         stamp=_DATE + sep + _TIME + frac + (zone if zoned else ""),
                         parse=parse_zoned if zoned else parse_local,
+                        fixed=zoned,
                     )
                 )
     return found
@@ -202,11 +214,11 @@ BUILTIN_FORMATS: tuple[TimestampFormat, ...] = (
     ),
     TimestampFormat(
         "access_log", rf"\d{{2}}/\w+/\d{{4}}:{_TIME} [+-]\d{{4}}", parse_access_log,
-        _BRACKETED, 3, 1,
+        _BRACKETED, 3, 1, fixed=True,
     ),
-    TimestampFormat("epoch_float", r"\d{10}\.\d+", parse_epoch_float),
-    TimestampFormat("epoch_millis", r"\d{13}", parse_epoch_millis),
-    TimestampFormat("epoch_seconds", r"\d{10}", parse_epoch_seconds),
+    TimestampFormat("epoch_float", r"\d{10}\.\d+", parse_epoch_float, fixed=True),
+    TimestampFormat("epoch_millis", r"\d{13}", parse_epoch_millis, fixed=True),
+    TimestampFormat("epoch_seconds", r"\d{10}", parse_epoch_seconds, fixed=True),
     TimestampFormat(
         "apache_error", rf"\[\w{{3}} \w{{3}} \d{{2}} {_TIME}\.\d{{0,6}} \d{{4}}\]",
         parse_apache_error,

@@ -84,13 +84,16 @@ def _by_format(names: Sequence[str | None], build) -> Column:
 def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
                      registry: FormatRegistry | None = None,
                      reference_date: Column | str | None = None,
-                     strict: bool = False, used: Sequence[str] | None = None) -> DataFrame:
+                     strict: bool = False, used: Sequence[str] | None = None,
+                     keep_instant: bool = False) -> DataFrame:
     """Split ``raw`` into ``ts`` and ``body``; adds ``parse_error``.
 
     ``fmt`` is one format name for all lines, or ``(file, fmt)`` as a table or mapping.
     Lines without a timestamp get a NULL ``ts`` and one leading space.  ``reference_date``
     completes partial timestamps (default: the ``file_date`` column if there is one, else
     today).  ``used`` names the formats that can occur, to keep the expression short.
+    ``keep_instant`` adds ``instant`` for zoned and epoch formats: where clocks are set back,
+    two instants share a wall clock.
     """
     registry = registry or FormatRegistry()
     spark = lines.sparkSession
@@ -117,9 +120,12 @@ def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
     )
     stamp = _by_format(names, lambda n: registry[n].stamp_text(F.col("_prefix"), strict))
     split = split.withColumn("_stamp", stamp.cast("string"))
-    ts = _by_format(names, lambda n: registry[n].parse(F.col("_stamp"), reference_date))
+    ts = _by_format(names, lambda n: registry[n].wall_clock(F.col("_stamp"), reference_date))
     found = F.col("_prefix") != ""
     split = split.withColumn("ts", F.when(found, ts.cast("timestamp_ntz")))
+    if keep_instant:
+        instant = _by_format(names, lambda n: registry[n].instant(F.col("_stamp"), reference_date))
+        split = split.withColumn("instant", F.when(found, instant.cast("timestamp")))
 
     lead = _by_format(names, lambda n: registry[n].lead(F.col("_prefix"), strict))
     rest = F.substr(F.col("_line"), F.length("_prefix") + 1)

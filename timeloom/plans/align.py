@@ -74,7 +74,8 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
         if len(found) == 1 and used:
             formats = found[0]  # one format for all: no lookup per line
     parsed = parse_timestamps(raw, formats, registry, reference_date, strict, used)
-    lines = stage(with_segments(parsed), "lines")
+    kept = ("file", "block_start", "seq", "ts", "body", "parse_error")
+    lines = with_segments(stage(parsed.select(*kept), "lines"))
     filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes or cell_limit(len(files)))
     if autoclip_to_first:
         first = lines.where(F.col("file") == files[0]).select(F.col("ts").alias("rec_ts"))

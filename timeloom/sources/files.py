@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import codecs
+import re
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -19,6 +21,9 @@ _LINE_FEEDS = {"utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be
 _PYTHON_TO_JVM = {"ascii": "us-ascii", "iso8859-1": "iso-8859-1", "utf-16-le": "utf-16le",
                   "utf-16-be": "utf-16be", "utf-32-le": "utf-32le", "utf-32-be": "utf-32be"}
 
+# An address without a host is written with one slash or with three.
+_NO_HOST = re.compile("^([A-Za-z][A-Za-z0-9+.-]*):///")
+
 Reader = Callable[[SparkSession, Sequence[str], str], DataFrame]
 
 _readers: dict[str, Reader] = {}
@@ -45,11 +50,20 @@ def _decode_column(value: Column, charset: str) -> Column:
     return decode_batch(value.cast("binary"))
 
 
-def expand_paths(spark: SparkSession, paths: Iterable[str]) -> list[tuple[str, str]]:
-    """``(name as given, qualified file path)`` for files, folders and globs, in order."""
+@dataclass(frozen=True)
+class LogFile:
+    """A file by the name given for it, its path, and its address in the metadata column."""
+
+    name: str
+    path: str
+    address: str
+
+
+def expand_paths(spark: SparkSession, paths: Iterable[str]) -> list[LogFile]:
+    """Files for names, folders and globs, in order."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found: list[tuple[str, str]] = []
+    found: list[LogFile] = []
     for name in dict.fromkeys(paths):
         pattern = jvm.org.apache.hadoop.fs.Path(name)
         fs = pattern.getFileSystem(conf)
@@ -59,15 +73,12 @@ def expand_paths(spark: SparkSession, paths: Iterable[str]) -> list[tuple[str, s
         files = []
         for status in hits:
             if status.isDirectory():
-                inner = fs.listStatus(status.getPath())
-                files += [
-                    s.getPath().toString() for s in inner
-                    if s.isFile() and not s.getPath().getName().startswith(("_", "."))
-                ]
+                inner = [s.getPath() for s in fs.listStatus(status.getPath()) if s.isFile()]
+                files += [p for p in inner if not p.getName().startswith(("_", "."))]
             else:
-                files.append(status.getPath().toString())
-        single = len(files) == 1
-        found += [(name if single else f, f) for f in sorted(files)]
+                files.append(status.getPath())
+        known = sorted((f.toString(), _NO_HOST.sub(r"\1:/", f.toUri().toString())) for f in files)
+        found += [LogFile(name if len(known) == 1 else p, p, uri) for p, uri in known]
     return list(dict.fromkeys(found))
 
 
@@ -147,16 +158,21 @@ def read_logs(spark: SparkSession, paths: Iterable[str],
     (the full path where a folder or glob stands for several files).
     """
     files = expand_paths(spark, paths)
-    groups: dict[str, tuple[Reader, list[str]]] = {}
-    for _, path in files:
-        suffix, reader = _suffix_reader(path)
-        groups.setdefault(suffix, (reader, []))[1].append(path)
+    groups: dict[str, tuple[Reader, dict[str, None]]] = {}
+    for file in files:
+        suffix, reader = _suffix_reader(file.path)
+        groups.setdefault(suffix, (reader, {}))[1][file.path] = None
     lines = None
     for reader, members in groups.values():
-        part = reader(spark, members, encoding)
+        part = reader(spark, list(members), encoding)
         lines = part if lines is None else lines.unionByName(part)
     if lines is None:
         raise ValueError("no files given")
     # The table of names is as long as the argument list, which the driver holds already.
-    names = lookup(spark, [(p, n) for n, p in files], "path string, file string")
-    return lines.join(names, "path").drop("path"), [n for n, _ in files]
+    names = lookup(spark, [(f.address, f.name) for f in files], "path string, file string")
+    address = F.regexp_replace("path", _NO_HOST.pattern, "$1:/")
+    named = lines.withColumn("path", address).join(names, "path", "left")
+    # Losing lines silently would be worse than failing.
+    unknown = F.raise_error(F.concat(F.lit("no name for file "), F.col("path"))).cast("string")
+    named = named.withColumn("file", F.coalesce("file", unknown)).drop("path")
+    return named, [f.name for f in files]
