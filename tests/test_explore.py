@@ -99,7 +99,8 @@ def test_jump_needs_a_time(rows):
 def test_statistics(spark):
     entries = spark.createDataFrame(
         [("a", None, 0, " x"), ("a", BASE, 0, "y"), ("a", BASE, 1, "y2"),
-         ("b", BASE, 0, "z"), ("b", BASE + timedelta(1), 0, ""), ("b", BASE + timedelta(2), 0, "w")],
+         ("b", BASE, 0, "z"), ("b", BASE + timedelta(1), 0, ""),
+         ("b", BASE + timedelta(2), 0, "w")],
         "file string, ts timestamp_ntz, part int, body string")
     got = {r.file: (r.n_entries, r.first_ts, r.last_ts)
            for r in file_stats(entries, ["b", "a", "c"]).collect()}

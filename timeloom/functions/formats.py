@@ -1,9 +1,10 @@
 """Timestamp formats as Column expressions.
 
-A :class:`TimestampFormat` says what a timestamp looks like (a Java regex), how it sits
-in the line (a layout) and how its text becomes a ``TIMESTAMP_NTZ`` wall clock in the
-session time zone (and an instant, where zone or epoch fix one).  Everything compiles to built-in expressions, so parsing stays inside
-whole-stage code generation and a bad value gives NULL instead of failing the job.
+A :class:`TimestampFormat` says what a timestamp looks like (a Java regex), how it sits in
+the line (a layout) and how its text becomes a ``TIMESTAMP_NTZ`` wall clock in the session
+time zone (and an instant, where zone or epoch fix one).  Everything compiles to built-in
+expressions, so parsing stays inside whole-stage code generation and a bad value gives NULL
+instead of failing the job.
 """
 
 from __future__ import annotations

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # The characters Python's str.rstrip() and \s treat as white space.
 WHITESPACE = (
-    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 "
-    "           "
-    "    　"
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The same set as a Java character class.
-SPACE = r"[\s\x1C-\x1F\x85\xA0  -     　]"
+SPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 # Fixed value: terminal colour sequences (ESC [ n ; n ... m).
 SGR_SEQUENCE = r"\x1b\[\d+(?:;\d+)*m"

@@ -76,7 +76,8 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     parsed = parse_timestamps(raw, formats, registry, reference_date, strict, used)
     kept = ("file", "block_start", "seq", "ts", "body", "parse_error")
     lines = with_segments(stage(parsed.select(*kept), "lines"))
-    filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes or cell_limit(len(files)))
+    limit = max_cell_bytes or cell_limit(len(files))
+    filled = fill_records(lines, ignore_untimestamped, limit=limit)
     if autoclip_to_first:
         first = lines.where(F.col("file") == files[0]).select(F.col("ts").alias("rec_ts"))
         filled = autoclip(filled, first, "rec_ts")

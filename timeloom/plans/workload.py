@@ -86,7 +86,9 @@ def shipping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    at = base + F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"), F.col("turn").cast("int"))
+    at = base + F.make_dt_interval(
+        F.lit(0), F.col("conv_id").cast("int"), F.col("turn").cast("int")
+    )
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("file"),
         F.lit(0).cast("bigint").alias("block_start"),
@@ -259,8 +261,9 @@ def q_ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rtrim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blanks = F.lit(" \t\r\n\u2003\u3000 ")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", tx.rtrim_ws(F.concat("text", F.lit(" \t\r\n 　 "))).alias("text")
+        "doc_id", tx.rtrim_ws(F.concat("text", blanks)).alias("text")
     )
 
 
@@ -457,7 +460,9 @@ def q_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("time"),
         F.col("c_name").alias("name"),
         F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")).alias("nation"),
-        F.concat(F.lit('segment "'), F.col("c_mktsegment"), F.lit('", key '), F.col("c_custkey")).alias("segment"),
+        F.concat(
+            F.lit('segment "'), F.col("c_mktsegment"), F.lit('", key '), F.col("c_custkey")
+        ).alias("segment"),
     ).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
     return csv_records.read_csv_lines(spark, [folder]).select("raw")
 

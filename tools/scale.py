@@ -34,7 +34,8 @@ def stage_skew(spark) -> None:
             print(f"  stage {s.stageId()}: {len(times)} tasks, sum {sum(times):.1f}s, median "
                   f"{statistics.median(times):.2f}s, max {max(times):.2f}s, "
                   f"read {(s.inputBytes() + s.shuffleReadBytes()) / 1e6:.0f} MB, shuffle write "
-                  f"{s.shuffleWriteBytes() / 1e6:.0f} MB, spill {s.diskBytesSpilled() / 1e6:.0f} MB")
+                  f"{s.shuffleWriteBytes() / 1e6:.0f} MB, "
+                  f"spill {s.diskBytesSpilled() / 1e6:.0f} MB")
 
 
 def _items(seq):
