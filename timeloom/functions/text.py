@@ -22,8 +22,20 @@ DISPLAY_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 
 
 def rtrim_ws(c: Column) -> Column:
-    """Drop all trailing white space, not only spaces."""
-    return F.rtrim(c, F.lit(WHITESPACE))
+    """Drop all trailing white space, not only spaces.
+
+    Trimming by a set of characters walks the whole text; most texts end in a visible ASCII
+    character and are left alone after a look at their last byte.
+    """
+    last = F.substring(c.cast("binary"), -1, 1)
+    visible = last.between(F.lit(bytearray(b"\x21")), F.lit(bytearray(b"\x7f")))
+    return F.when(visible, c).otherwise(F.rtrim(c, F.lit(WHITESPACE)))
+
+
+def after_prefix(c: Column, prefix: Column) -> Column:
+    """What follows ``prefix``, a known start of the text; cut by bytes, not characters."""
+    rest = F.substring(c.cast("binary"), F.octet_length(prefix) + 1, F.octet_length(c))
+    return rest.cast("string")
 
 
 def trim_ws(c: Column) -> Column:

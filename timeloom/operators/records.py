@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions.formats import FormatRegistry
-from timeloom.functions.text import indent_continuation, rtrim_ws, strip_sgr
+from timeloom.functions.text import after_prefix, indent_continuation, rtrim_ws, strip_sgr
 from timeloom.operators.order import (
     DEFAULT_ORDER,
     LineOrder,
@@ -128,13 +128,15 @@ def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
         split = split.withColumn("instant", F.when(found, instant.cast("timestamp")))
 
     lead = _by_format(names, lambda n: registry[n].lead(F.col("_prefix"), strict))
-    rest = F.substr(F.col("_line"), F.length("_prefix") + 1)
+    rest = after_prefix(F.col("_line"), F.col("_prefix"))
     kept = F.concat(F.coalesce(lead.cast("string"), F.lit("")), rest)
     stamped = F.col("ts").isNotNull()
     body = F.when(stamped, kept).otherwise(indent_continuation(F.col("_line")))
     dropped = ["raw", "_line", "_prefix", "_stamp"]
     return (
-        split.withColumn("body", rtrim_ws(strip_sgr(body)))
+        split.withColumn("body", body)
+        .withColumn("body", strip_sgr(F.col("body")))
+        .withColumn("body", rtrim_ws(F.col("body")))
         .withColumn("parse_error", found & ~stamped)
         .drop(*dropped, *([] if isinstance(fmt, str) else ["fmt"]))
     )
