@@ -17,7 +17,7 @@ from timeloom.operators.order import (
     join_segments,
     with_segments,
 )
-from timeloom.plans.session import lookup, small_side
+from timeloom.plans.session import collect_small, lookup, small_side
 
 # A cell of one source at one timestamp is one string up to this many bytes; beyond it the
 # cell continues in further parts, so that no group has to fit in one task.
@@ -81,7 +81,7 @@ def _by_format(names: Sequence[str | None], build) -> Column:
     return chain
 
 
-def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str] | DataFrame,
+def parse_timestamps(lines: DataFrame, fmt: str | Mapping[str, str | None] | DataFrame,
                      registry: FormatRegistry | None = None,
                      reference_date: Column | str | None = None,
                      strict: bool = False, used: Sequence[str] | None = None,
@@ -151,22 +151,24 @@ def _crowded_sources(lines: DataFrame, order: LineOrder, limit: int,
     a source finds the largest sum.  In a log that is roughly in time order that is the size
     of a few segments, and nothing more needs to be looked at.
     """
-    keys = order.keys
-    spans = lines.groupBy(*keys).agg(
-        F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.sum("_bytes").alias("_size"),
-        F.max_by("ts", F.when(F.col("ts").isNotNull(), order.place())).alias("_end"),
+    spans = lines.groupBy(*order.keys).agg(
+        F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.sum("_bytes").alias("_size")
     )
     if inherits:
-        # Lines at the start of a segment may belong to a record that began before it.
+        # The first lines of a segment may belong to a record of the last segment before it
+        # that has any time; so its span counts for this one too.
         earlier = Window.partitionBy(order.file).orderBy(*order.segments).rowsBetween(
             Window.unboundedPreceding, -1
         )
-        carry = F.last("_end", ignorenulls=True).over(earlier)
-        spans = spans.withColumn("_carry", carry)
-        # NULL is the time of what precedes all timestamps, and sorts first.
-        spans = spans.withColumn(
-            "_lo", F.when(F.col("_carry").isNotNull(), F.least("_lo", "_carry"))
-        ).withColumn("_hi", F.greatest("_hi", "_carry"))
+        spans = spans.withColumns({
+            f"{edge}_before": F.last(edge, ignorenulls=True).over(earlier)
+            for edge in ("_lo", "_hi")
+        }).withColumns({
+            # NULL is the time of what precedes all timestamps, and sorts first.
+            "_lo": F.when(F.col("_lo_before").isNotNull(), F.least("_lo", "_lo_before")),
+            "_hi": F.greatest("_hi", "_hi_before"),
+        })
+
     def edge(at: str, kind: int, change: Column) -> Column:
         return F.struct(key(F.col(at)).alias("_at"), F.lit(kind).alias("_kind"),
                         change.alias("_change"))
@@ -235,8 +237,9 @@ def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
     part = None
     if limit is not None:
         crowded = _crowded_sources(lines, order, limit, key, not ignore_untimestamped)
-        crowded, few = small_side(crowded)
-        if not few or not crowded.isEmpty():
+        names = collect_small(crowded)
+        if names is None or names:
+            crowded = lookup(lines.sparkSession, names, crowded.schema) if names else crowded
             some, inherited, some_ts = steps(lines.join(crowded, order.file, "left_semi"))
             if inherited is not None:
                 some = join_segments(some, inherited, order)

@@ -21,7 +21,7 @@ from timeloom.operators.records import (
     fill_records,
     parse_timestamps,
 )
-from timeloom.plans.session import small_side, stage
+from timeloom.plans.session import collect_small, stage
 from timeloom.sources.files import read_logs
 
 
@@ -66,14 +66,16 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     for template in timestamp_formats:
         registry.add_template(template)
     raw, files = read_logs(spark, paths, encoding)
-    formats, small = small_side(detect_formats(raw, registry, detect))
-    used = None
-    if small:
-        found = [r.fmt for r in formats.select("fmt").distinct().collect()]
-        used = [name for name in found if name]
-        if len(found) == 1 and used:
-            formats = found[0]  # one format for all: no lookup per line
-    parsed = parse_timestamps(raw, formats, registry, reference_date, strict, used)
+    formats = detect_formats(raw, registry, detect)
+    known = collect_small(formats)
+    if known is not None:
+        formats = {r.file: r.fmt for r in known}
+        names = set(formats.values())
+        if len(names) == 1 and None not in names:
+            formats = names.pop()  # one format for all: no lookup per line
+    else:
+        formats = stage(formats, "formats")
+    parsed = parse_timestamps(raw, formats, registry, reference_date, strict)
     kept = ("file", "block_start", "seq", "ts", "body", "parse_error")
     lines = with_segments(stage(parsed.select(*kept), "lines"))
     limit = max_cell_bytes or cell_limit(len(files))

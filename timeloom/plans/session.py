@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # Lookup tables up to this many rows (one per source) are broadcast.
@@ -79,6 +79,13 @@ def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return F.broadcast(df) if len(rows) <= MAX_LOOKUP_ROWS else df
 
 
+def collect_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> list[Row] | None:
+    """The rows of a table of per-source facts, or None when it has more than ``max_rows``."""
+    rows = F.collect_list(F.struct(*df.columns)).alias("rows")
+    found = df.limit(max_rows + 1).agg(rows).first()["rows"]
+    return found if len(found) <= max_rows else None
+
+
 def small_side(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> tuple[DataFrame, bool]:
     """A lookup table ready to be joined, and whether it is proven small.
 
@@ -86,8 +93,7 @@ def small_side(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> tuple[DataFram
     is written to the shared folder and joined by shuffle.  Only for per-source facts (one
     row per file), never for lines.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
-        local = df.sparkSession.createDataFrame(head, df.schema)
-        return F.broadcast(local), True
-    return stage(df, "lookup"), False
+    found = collect_small(df, max_rows)
+    if found is None:
+        return stage(df, "lookup"), False
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)), True

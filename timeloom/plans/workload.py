@@ -44,7 +44,7 @@ from timeloom.operators.records import (
     fill_records,
     parse_timestamps,
 )
-from timeloom.plans.session import fresh_path, small_side, stage
+from timeloom.plans.session import collect_small, fresh_path, stage
 from timeloom.sinks.tables import column_widths, markdown_rows, text_rows, write_csv
 from timeloom.sources import csv_records, jsonl, packets, synthetic
 from timeloom.sources.files import read_text
@@ -208,11 +208,8 @@ def _template_query(template: str, raw: Callable[[Column, Column], Column]) -> Q
         lines = event_lines(spark, sf_dir).select(
             "file", "block_start", "seq", raw(F.col("ts"), F.col("body")).alias("raw")
         )
-        formats, _ = small_side(detect_formats(lines, registry))
-        used = [r.fmt for r in formats.select("fmt").distinct().collect() if r.fmt]
-        return _parsed(
-            parse_timestamps(lines, formats, registry, REFERENCE_DATE, used=used)
-        )
+        formats = dict(collect_small(detect_formats(lines, registry)))
+        return _parsed(parse_timestamps(lines, formats, registry, REFERENCE_DATE))
     return run
 
 
@@ -239,9 +236,8 @@ def q_detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_parse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _mixed_formats(spark, sf_dir)
-    formats, _ = small_side(detect_formats(lines))
-    used = [r.fmt for r in formats.select("fmt").distinct().collect()]
-    return _parsed(parse_timestamps(lines, formats, reference_date=REFERENCE_DATE, used=used))
+    formats = dict(collect_small(detect_formats(lines)))
+    return _parsed(parse_timestamps(lines, formats, reference_date=REFERENCE_DATE))
 
 
 # --- lines and records ------------------------------------------------------------------
