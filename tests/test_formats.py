@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -102,6 +103,33 @@ def test_impossible_time_is_flagged_and_kept(spark):
     assert (row.ts, row.parse_error, row.body) == (None, True, " 2023-13-41 08:00:01 x")
 
 
+RENDER = {
+    "iso_space_comma": "%Y-%m-%d %H:%M:%S,%f", "iso_space_dot": "%Y-%m-%d %H:%M:%S.%f",
+    "iso_t_comma": "%Y-%m-%dT%H:%M:%S,%f", "iso_t_dot": "%Y-%m-%dT%H:%M:%S.%f",
+    "iso_space_whole": "%Y-%m-%d %H:%M:%S", "iso_t_whole": "%Y-%m-%dT%H:%M:%S",
+    "syslog": "%b %e %H:%M:%S", "http_server": "h - - [%d/%b/%Y %H:%M:%S]",
+    "access_log": "h - - [%d/%b/%Y:%H:%M:%S +0000]", "iso_t_dot_zone": "%Y-%m-%dT%H:%M:%S.%f+0000",
+    "apache_error": "[%a %b %d %H:%M:%S.%f %Y]", "time_of_day": "%H:%M:%S.%f",
+}
+
+
+@pytest.mark.parametrize("name", RENDER)
+def test_written_times_read_back(spark, name):
+    rng = random.Random(name)
+    times = [datetime(2024, 1, 1) + timedelta(microseconds=rng.randrange(366 * 86400 * 10**6))
+             for _ in range(300)]
+    shape = RENDER[name]
+    rows = parse(spark, [t.strftime(shape) + " text of the line" for t in times], name,
+                 reference_date="2024-03-04")
+
+    def kept(t: datetime) -> datetime:
+        t = t if "%f" in shape else t.replace(microsecond=0)
+        return t if "%d" in shape or "%e" in shape else t.replace(month=3, day=4)
+
+    assert [r.ts for r in rows] == [kept(t) for t in times]
+    assert {r.body for r in rows} <= {"text of the line", "h - text of the line"}
+
+
 def test_instants_where_clocks_are_set_back(spark, zone):
     """01:30 happens twice; the wall clock is the same, the instant is not."""
     zone(ZONE)
