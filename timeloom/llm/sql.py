@@ -69,11 +69,11 @@ places AS (
   SELECT DISTINCT doc_id, {split.format('line')} AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)
 ), matches AS (
   SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / len(tokens) AS share,
-    len(list_intersect(list_distinct(b), tokens)) AS both, ceil({threshold} * len(tokens) - 1e-9) AS need
+    len(list_intersect(list_distinct(b), tokens)) AS shared, ceil({threshold} * len(tokens) - 1e-9) AS need
   FROM lines, templates WHERE list_has_any(b, ['license', 'licensed', 'permission', 'redistribution', 'cc0', 'mozilla',
     'domain', 'public', 'cc', 'released', 'granted', 'source', 'subject'])
 ), more AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM matches WHERE both >= need GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM matches WHERE shared >= need GROUP BY doc_id
 )
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
