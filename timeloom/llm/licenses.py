@@ -126,12 +126,13 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     # Length and prefix filter, block by block.
     blocks = F.filter(lines, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefix_words))
     order = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))]) if rank else None
-    as_ranks = F.transform(blocks, lambda b: F.sort_array(F.transform(b, lambda w: order[w])))
     none = F.array().cast("array<array<int>>")
+    as_ranks = none if order is None else F.transform(
+        blocks, lambda b: F.sort_array(F.transform(b, lambda w: order[w])))
     made = base.select(
         "doc_id", F.size("rough").cast("long").alias("n_words"),
         F.when(phrased, exact).otherwise(F.array().cast("array<string>")).alias("found"),
-        (F.when(likely, as_ranks).otherwise(none) if rank else none).alias("blocks"),
+        F.when(likely, as_ranks).otherwise(none).alias("blocks"),
     ).withColumn("places", F.coalesce(_places("found"), F.array().cast("array<int>")))
     facts = stage(made.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_words",
