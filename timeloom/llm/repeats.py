@@ -11,10 +11,12 @@ match of WINDOW bytes, i.e. its longest previous factor is that long, just if a
 before or after it in suffix order with all neighbours between sharing WINDOW bytes; in such a run this
 holds for all positions but the smallest.  So a run gives the later copies, or all copies.
 
-An anchor that occurs very often (a passage in a third of all texts) is not gathered in one task.  Its
-windows are split by where the anchor stands in them: windows of a range of offsets share a longer core,
-by whose hash they are counted anew, until few places share a core or all that share it have the same
-bytes around it.  Texts that are equal as a whole are compared once.
+Places with the same bytes around them are told by a hash of these bytes: all but the first have an
+earlier match for every window, and only the first is compared with others, so copies of a passage cost a
+count each.  An anchor with very many different surroundings is not gathered in one task.  Its windows are
+split by where the anchor stands in them: windows of a range of offsets share a longer core, by whose hash
+they are counted anew, until few different surroundings share a core.  Texts that are equal as a whole are
+compared once.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.llm.common import each_text, if_small, is_empty, mix64
@@ -34,8 +36,8 @@ from timeloom.plans.session import stage
 WINDOW, ANCHOR = 200, 64
 #: Bytes of a text that are hashed at a time; portions overlap by a window.
 PORTION = 1 << 20
-#: Places of one anchor that may meet in a task; ranges are cut in this many parts beyond it.
-GROUP, FAN = 250, 3
+#: Different surroundings of an anchor that may meet in a task; ranges are cut in this many parts beyond.
+GROUP, FAN = 4000, 3
 #: Contexts that are sorted at a time.
 BATCH = 8192
 _BYTE = np.random.default_rng(17).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
@@ -54,12 +56,23 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def string_hashes(text: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of every string of ``size`` bytes; rows of a matrix are hashed each."""
+def _sums(text: np.ndarray) -> np.ndarray:
+    """Running sums of weighted bytes; differences give the hash of any string."""
     n = text.shape[-1]
-    up, down = _power(n + 1)
+    up, _ = _power(n + 1)
     sums = np.zeros((*text.shape[:-1], n + 1), np.uint64)
     np.cumsum(_BYTE[text] * up[:n], axis=-1, out=sums[..., 1:])
+    return sums
+
+
+def string_hashes(text: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every string of ``size`` bytes; rows of a matrix are hashed each."""
+    return _hashes(_sums(text), size)
+
+
+def _hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    n = sums.shape[-1] - 1
+    _, down = _power(n + 1)
     return mix64((sums[..., size:] - sums[..., :n - size + 1]) * down[:n - size + 1])
 
 
@@ -72,49 +85,63 @@ def sliding(x: np.ndarray, size: int, of: np.ufunc, fill: int) -> np.ndarray:
     return of(back[:n - size + 1], ahead[size - 1:n])
 
 
-def anchors(text: bytes, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows of a text."""
-    positions, hashes = [], []
-    span = window - size + 1
+def anchors(text: bytes, window: int = WINDOW, size: int = ANCHOR
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of all windows of a text, and hashes of what is around.
+
+    The last also covers how far the text reaches on either side.
+    """
+    out: list[tuple[np.ndarray, ...]] = []
+    reach = window - size
+    span = reach + 1
     top = np.iinfo(np.uint64).max
     for first in range(0, max(1, len(text) - window + 1), PORTION):
-        part = np.frombuffer(text, np.uint8, min(PORTION + window - 1, len(text) - first), first)
-        if len(part) < window:
+        # The windows that start in this portion, with what is around their anchors.
+        low, high = max(0, first - reach), min(len(text), first + PORTION + window + reach + window)
+        part = np.frombuffer(text, np.uint8, high - low, low)
+        sums = _sums(part)
+        own = slice(first - low, min(len(text), first + PORTION + window - 1) - low)
+        if own.stop - own.start < window:
             break
-        h = string_hashes(part, size)
+        h = _hashes(sums[own.start:own.stop + 1], size)
         least = sliding(h, span, np.minimum, top)
         edge = np.zeros(span - 1, np.uint64)
         at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), span, np.maximum, 0) == h)
-        positions.append(at + first)
-        hashes.append(h[at])
-    if not positions:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    where, which = np.unique(np.concatenate(positions), return_index=True)
-    return where.astype(np.int32), np.concatenate(hashes)[which].view(np.int64)
+        place = at + own.start
+        start, end = np.maximum(place - reach, 0), np.minimum(place + window, len(part))
+        _, down = _power(len(part) + 1)
+        around = (sums[end] - sums[start]) * down[start]
+        shape = ((place - start) * (2 * window) + (end - place)).astype(np.uint64)
+        out.append((place + low, h[at], mix64(around ^ mix64(shape))))
+    if not out:
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+    positions, hashes, around = (np.concatenate(x) for x in zip(*out, strict=True))
+    where, which = np.unique(positions, return_index=True)
+    return where.astype(np.int32), hashes[which].view(np.int64), around[which].view(np.int64)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One row per text: node (its number), doc_id, key, n_bytes, digest, anchors."""
+    """One row per text: node (its number), doc_id, key, n_bytes, digest, anchors and surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in each_text(batches):
-            sizes, digests, where, which = [], [], [], []
+            sizes, digests, where, which, around = [], [], [], [], []
             for text in texts:
                 sizes.append(len(text))
                 digests.append(blake2b(text, digest_size=16).digest())
-                at, hashes = anchors(text)
-                where.append(at)
-                which.append(hashes)
+                for column, values in zip((where, which, around), anchors(text), strict=True):
+                    column.append(values)
             offsets = pa.array(np.cumsum([0, *map(len, where)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(where))),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(which))),
-            ], names=["doc_id", "key", "n_bytes", "digest", "positions", "hashes"])
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(around))),
+            ], names=["doc_id", "key", "n_bytes", "digest", "positions", "hashes", "spans"])
 
     found = keyed(docs).mapInArrow(run, "doc_id long, key long, n_bytes long, digest binary, "
-                                        "positions array<int>, hashes array<long>")
+                                        "positions array<int>, hashes array<long>, spans array<long>")
     return stage(found.withColumn("node", F.monotonically_increasing_id()), "repeat_anchors")
 
 
@@ -136,7 +163,7 @@ _CONTEXT = "anchor long, low int, high int, node long, doc_id long, pos int, lef
 
 
 def _contexts(nodes: DataFrame, shared: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes around every place of an anchor that occurs more than once."""
+    """The bytes around the given places of anchors."""
     places = shared.groupBy("node").agg(F.collect_list(F.struct("pos", "hash")).alias("places"))
     reach = WINDOW - ANCHOR
 
@@ -170,7 +197,7 @@ def _contexts(nodes: DataFrame, shared: DataFrame, docs: DataFrame) -> DataFrame
 def _narrow(rows: DataFrame) -> DataFrame:
     """Split the offsets of crowded places: one row per place and part, with its core's hash.
 
-    ``span`` is the hash of all the bytes that the part's windows can cover.
+    ``span`` is the hash of all the bytes that the part's windows can cover inside the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +213,10 @@ def _narrow(rows: DataFrame) -> DataFrame:
                     if start < 0 or end > len(context):
                         continue  # not even the core is inside the text
                     core = context[start:end]
-                    wide = context[max(0, left - (b - 1)):left - a + WINDOW]
-                    row |= {"low": a, "high": b, "anchor": _digest(core, a), "span": _digest(wide, 0)}
+                    first = max(0, left - (b - 1))
+                    wide = context[first:left - a + WINDOW]
+                    row |= {"low": a, "high": b, "anchor": _digest(core, a),
+                            "span": _digest(wide, left - first)}
                     for name, values in out.items():
                         values.append(row[name])
             yield pa.RecordBatch.from_arrays(
@@ -229,20 +258,21 @@ def resolve(rows: dict[str, np.ndarray], contexts: list[bytes], keep_first: bool
             continue
         offset = reach - c
         valid = ((rows["low"] <= offset) & (offset < rows["high"]) & (left >= offset)
-                 & (left - offset + WINDOW <= size))[order]
-        h = hashes[order, c]
-        same = np.zeros(n, bool)
-        same[1:] = (h[1:] == h[:-1]) & valid[1:] & valid[:-1]
+                 & (left - offset + WINDOW <= size))
+        here = order[valid[order]]  # a place may stand here once for every range of offsets
+        h = hashes[here, c]
+        same = np.zeros(len(h), bool)
+        same[1:] = h[1:] == h[:-1]
         if not same.any():
             continue
         starts = np.flatnonzero(~same)
         run = np.cumsum(~same) - 1
         if keep_first:
-            ranks = rank[order]
+            ranks = rank[here]
             hit = ranks > np.minimum.reduceat(ranks, starts)[run]
         else:
-            hit = np.diff(np.append(starts, n))[run] > 1
-        repeated[order, c] = hit
+            hit = np.diff(np.append(starts, len(h)))[run] > 1
+        repeated[here, c] = hit
     edge = np.zeros((n, 1), bool)
     steps = np.diff(np.concatenate([edge, repeated, edge], axis=1).astype(np.int8), axis=1)
     row, first = np.nonzero(steps == 1)
@@ -288,29 +318,33 @@ def _resolve_groups(rows: DataFrame, keep_first: bool) -> DataFrame:
     return met.mapInArrow(run, "node long, start long, end long")
 
 
+def _first() -> Column:
+    """The place that comes first: by doc_id (a missing one last), text, position."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "pos")).alias("first")
+
+
 def _crowded(rows: DataFrame, keep_first: bool) -> list[DataFrame]:
-    """The same for places of anchors that occur more than GROUP times."""
+    """Repeated bytes among contexts whose anchor has more than GROUP different surroundings."""
     found = []
+    names = ["anchor", "low", "high", "node", "doc_id", "pos", "left", "context"]
+    part = ["anchor", "low", "high"]
     while not is_empty(rows):
         parts = stage(_narrow(rows), "repeat_parts")
-        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "pos")).alias("first")
-        groups = parts.groupBy("anchor", "low", "high").agg(
-            F.count("*").alias("places"), F.min("span").alias("s"), F.max("span").alias("t"), first,
-        ).where("places > 1")
-        joined = parts.join(groups, ["anchor", "low", "high"])
-        equal = (F.col("s") == F.col("t")) | (F.col("high") - F.col("low") == 1)
-        whole = (F.col("left") >= F.col("high") - 1) & (
-            F.col("left") - F.col("low") + WINDOW <= F.octet_length("context"))
-        joined = stage(joined.withColumn("equal", equal & whole), "repeat_groups")
-        done = joined.where("equal")
-        if keep_first:
-            done = done.where(~((F.col("first.node") == F.col("node")) & (F.col("first.pos") == F.col("pos"))))
-        found.append(done.select("node", (F.col("pos") - F.col("high") + 1).cast("long").alias("start"),
-                                 (F.col("pos") - F.col("low") + WINDOW).cast("long").alias("end")))
-        few = joined.where(~F.col("equal") & (F.col("places") <= GROUP))
-        names = ["anchor", "low", "high", "node", "doc_id", "pos", "left", "context"]
-        found.append(_resolve_groups(few.select(*names), keep_first))
-        rows = joined.where(~F.col("equal") & (F.col("places") > GROUP)).select(*names)
+        classes = parts.groupBy(*part, "span").agg(F.count("*").alias("places"), _first())
+        groups = classes.groupBy(*part).agg(F.sum("places").alias("total"), F.count("*").alias("spans")
+                                            ).where("total > 1")
+        classes = stage(classes.join(groups, part), "repeat_classes")
+        joined = stage(parts.join(classes.drop("total"), [*part, "span"]), "repeat_groups")
+        own = (F.col("first.node") == F.col("node")) & (F.col("first.pos") == F.col("pos"))
+        done = joined.where(F.col("places") > 1)
+        start = F.col("pos") - F.least(F.col("left"), F.col("high") - 1)
+        end = F.least(F.col("pos") - F.col("low") + WINDOW,
+                      F.col("pos") - F.col("left") + F.octet_length("context"))
+        found.append((done.where(~own) if keep_first else done).select(
+            "node", start.cast("long").alias("start"), end.cast("long").alias("end")))
+        heads = joined.where(own & (F.col("spans") > 1))
+        found.append(_resolve_groups(heads.where(F.col("spans") <= GROUP).select(*names), keep_first))
+        rows = heads.where(F.col("spans") > GROUP).select(*names)
     return found
 
 
@@ -333,17 +367,31 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False) -> DataFrame:
                    "repeat_copies")
     later = copies.where("node != head").select("node")
     single = made.join(if_small(later), "node", "left_anti")
-    places = single.select("node", F.explode(F.arrays_zip("positions", "hashes")).alias("at")).select(
-        "node", F.col("at.positions").alias("pos"), F.col("at.hashes").alias("hash"))
-    counts = places.groupBy("hash").agg(F.count("*").alias("places")).where("places > 1")
-    shared = stage(places.join(counts, "hash"), "repeat_shared")
+    places = single.select("node", "doc_id", "n_bytes", F.explode(
+        F.arrays_zip("positions", "hashes", "spans")).alias("at")).select(
+        "node", "doc_id", "n_bytes", F.col("at.positions").alias("pos"), F.col("at.hashes").alias("hash"),
+        F.col("at.spans").alias("span"))
+    classes = places.groupBy("hash", "span").agg(F.count("*").alias("places"), _first())
+    classes = stage(classes, "repeat_classes")
+    # Anchors with several surroundings: the first place of each is compared.
+    several = classes.groupBy("hash").agg(F.count("*").alias("spans")).where("spans > 1")
+    heads = classes.join(several, "hash").select("hash", "spans", "first.node", "first.pos")
+    heads = stage(heads, "repeat_heads")
+    crowded = stage(heads.where(F.col("spans") > GROUP).select(F.col("hash").alias("anchor")).distinct(),
+                    "crowded")
     nodes = made.select("node", "doc_id", "key")
-    contexts = stage(_contexts(nodes, shared.select("node", "pos", "hash"), docs), "repeat_contexts")
-    crowded = stage(counts.where(F.col("places") > GROUP).select(F.col("hash").alias("anchor")), "crowded")
+    contexts = stage(_contexts(nodes, heads.select("node", "pos", "hash"), docs), "repeat_contexts")
     few = if_small(crowded)
     found = [_resolve_groups(contexts.join(few, "anchor", "left_anti"), keep_first)]
     if not is_empty(crowded):
         found += _crowded(contexts.join(few, "anchor", "left_semi"), keep_first)
+    # Equal surroundings: every window is repeated, and all places but the first have an earlier one.
+    equal = places.join(classes.where("places > 1").select("hash", "span", "first"), ["hash", "span"])
+    if keep_first:
+        equal = equal.where(~((F.col("first.node") == F.col("node")) & (F.col("first.pos") == F.col("pos"))))
+    found.append(equal.select(
+        "node", F.greatest(F.col("pos") - (WINDOW - ANCHOR), F.lit(0)).cast("long").alias("start"),
+        F.least(F.col("pos") + WINDOW, F.col("n_bytes")).cast("long").alias("end")))
     spans = found[0]
     for more in found[1:]:
         spans = spans.union(more)
