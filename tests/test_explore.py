@@ -111,3 +111,16 @@ def test_statistics(spark):
     shown_rows = {r.file: r.row for r in info_table(file_stats(entries, ["a"])).collect()}
     assert shown_rows["a"] == "| a | 2 |  2024-01-01 00:00:00.000 |"
     assert file_stats(entries).where(F.col("file") == "b").first().n_entries == 2
+
+
+def test_find_next_visits_every_source_of_a_line(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "hit"), (1, "b", "hit"), (1, "c", "miss"), (2, "a", "hit")], "line long, file string, log string")
+    seen, cursor = [], 0
+    while found := find_next(rows, "HIT", cursor).collect():
+        cursor = found[0]
+        seen.append((cursor.line, cursor.file))
+    assert seen == [(1, "a"), (1, "b"), (2, "a")]
+    back = find_previous(rows, "hit", cursor).collect()[0]
+    assert (back.line, back.file) == (1, "b")
+    assert not find_previous(rows, "hit", 1).collect()

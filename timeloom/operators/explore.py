@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from timeloom.functions.literals import Jump, parse_time
@@ -31,16 +31,33 @@ def search(rows: DataFrame, text: str, columns: Sequence[str] = ("log",)) -> Dat
     return rows.where(contains_text(columns, text))
 
 
-def find_next(rows: DataFrame, text: str, cursor: int,
+# Rows of one line are told apart by these, as far as a table has them.
+PLACE = ("line", "file_no", "file", "part")
+
+
+def _beyond(rows: DataFrame, cursor: int | Row, back: bool) -> DataFrame:
+    """Rows after (before) a line, or after (before) a row found earlier, nearest first."""
+    place = [name for name in PLACE if name in rows.columns]
+    if isinstance(cursor, Row):
+        here, there = F.struct(*place), F.struct(*[F.lit(cursor[name]) for name in place])
+    else:
+        here, there = F.col("line"), F.lit(cursor)
+    ordered = [F.col(name).desc() if back else F.col(name).asc() for name in place]
+    return rows.where(here < there if back else here > there).orderBy(*ordered)
+
+
+def find_next(rows: DataFrame, text: str, cursor: int | Row,
               columns: Sequence[str] = ("log",)) -> DataFrame:
-    """The first matching row after the cursor line; empty when there is none."""
-    return search(rows, text, columns).where(F.col("line") > cursor).orderBy("line").limit(1)
+    """The first matching row after the cursor; empty when there is none.
+
+    The cursor is a line number, or the row found before: several sources may match on one line.
+    """
+    return _beyond(search(rows, text, columns), cursor, back=False).limit(1)
 
 
-def find_previous(rows: DataFrame, text: str, cursor: int,
+def find_previous(rows: DataFrame, text: str, cursor: int | Row,
                   columns: Sequence[str] = ("log",)) -> DataFrame:
-    hits = search(rows, text, columns).where(F.col("line") < cursor)
-    return hits.orderBy(F.col("line").desc()).limit(1)
+    return _beyond(search(rows, text, columns), cursor, back=True).limit(1)
 
 
 def goto_line(rows: DataFrame, number: int) -> DataFrame:

@@ -43,7 +43,9 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="timeloom-"))
+    if context.applicationId not in _local_scratch:
+        _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="timeloom-")
+    return _local_scratch[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
