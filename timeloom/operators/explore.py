@@ -39,7 +39,8 @@ def _beyond(rows: DataFrame, cursor: int | Row, back: bool) -> DataFrame:
     """Rows after (before) a line, or after (before) a row found earlier, nearest first."""
     place = [name for name in PLACE if name in rows.columns]
     if isinstance(cursor, Row):
-        here, there = F.struct(*place), F.struct(*[F.lit(cursor[name]) for name in place])
+        here, there = F.struct(*place), F.struct(
+            *[F.lit(cursor[name]).cast(rows.schema[name].dataType).alias(name) for name in place])
     else:
         here, there = F.col("line"), F.lit(cursor)
     ordered = [F.col(name).desc() if back else F.col(name).asc() for name in place]
