@@ -395,7 +395,7 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     spans = found[0]
     for more in found[1:]:
         spans = spans.union(more)
-    merged = spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    merged = _merged(spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     gone = copies.where("node != head") if keep_first else copies
     gone = gone.select("doc_id", "key", "n_bytes", whole.alias("spans"))
@@ -423,6 +423,19 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """node, spans with each list of spans as its maximal runs."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [[{"start": a, "end": b} for a, b in merge_spans([(s["start"], s["end"]) for s in x.as_py()])]
+                    for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, kind)], names=["node", "spans"])
+
+    return rows.mapInArrow(run, "node long, spans array<struct<start: long, end: long>>")
+
+
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
     for start, end in spans:
