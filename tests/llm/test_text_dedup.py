@@ -190,3 +190,19 @@ def test_empty_tables(spark):
     assert repeats.digest_without(docs, repeats.repeated_spans(docs)).collect() == []
     assert repeats.drop_later_copies(docs).collect() == []
     assert near_dup.keep_one_of_each(docs).collect() == []
+
+
+def test_near_duplicates_left_to_the_exact_join(spark, monkeypatch):
+    """After one step over heads the other links come from the exact join."""
+    monkeypatch.setattr(near_dup, "STAR_STEPS", 1)
+    rng = random.Random(12)
+    base = words(rng, 160)
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            copy[rng.randrange(160)] = f"edit{i}"
+        texts.append((i, " ".join(copy)))
+    for percent in (80, 90):
+        found = near_dup.near_duplicates(documents(spark, texts), percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(texts, percent)

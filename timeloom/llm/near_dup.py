@@ -10,9 +10,10 @@ pair of similarity s is missed with probability at most 2 * (1 - s**TUPLE)**COLL
 
 Texts with equal shingle sets are one node.  A table bucket is not expanded into its pairs: its most
 connected member is checked against all others and taken out; buckets whose members are by then in
-one component are done, the others go through the same step again, and what still is in doubt after a
-few steps is checked pair by pair.  Every pair that shares a bucket is so either checked or already
-connected.  Checks are on whole shingle sets.
+one component are done, the others go through the same step again.  What still is in doubt after a few
+steps (many variants of a text that are not alike enough themselves) goes through an exact set-similarity
+join: shingles ordered by frequency, prefix, length and positional filter.  Every pair that shares a
+bucket is so either checked, already connected, or ruled out.  Checks are on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.llm.common import Memo, each_text, if_small, is_empty, mix64, odd_numbers
@@ -32,7 +33,7 @@ from timeloom.plans.session import stage
 
 SHINGLE = 5
 TUPLE, COLLECTION = 3, 10
-#: Steps in which buckets lose their most connected member before pairs are checked.
+#: Steps in which buckets lose their most connected member before the exact join.
 STAR_STEPS = 3
 _MIN_MUL = odd_numbers(101, 2 * COLLECTION * TUPLE)
 _MIN_XOR = odd_numbers(103, 2 * COLLECTION * TUPLE)
@@ -144,28 +145,65 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     weight = rows.groupBy("node").agg(F.sum("members").alias("weight"))
     rows = stage(rows.drop("members").join(weight, "node"), "buckets")
     edges = None
-    for step in range(STAR_STEPS + 1):
+    for _ in range(STAR_STEPS):
         if is_empty(rows):
-            break
-        if step < STAR_STEPS:
-            best = F.max(F.struct("weight", -F.col("node"), "n")).alias("best")
-            heads = rows.groupBy("key").agg(best).select(
-                "key", (-F.col("best")["col2"]).alias("head"), F.col("best")["n"].alias("head_n"))
-            others = rows.join(heads, "key").where("node != head")
-            pairs = others.where(_alike("n", "head_n", percent)).select(*_pairs("node", "head"))
-            others = others.drop("head", "head_n")
-        else:  # few are left; members of one component need no check
-            other = rows.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"),
-                                F.col("component").alias("other_component"))
-            pairs = rows.join(other, "key").where(
-                (F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component"))
-                & _alike("n", "other_n", percent)).select(*_pairs("node", "other"))
-            others = None
+            return edges
+        best = F.max(F.struct("weight", -F.col("node"), "n")).alias("best")
+        heads = rows.groupBy("key").agg(best).select(
+            "key", (-F.col("best")["col2"]).alias("head"), F.col("best")["n"].alias("head_n"))
+        others = rows.join(heads, "key").where("node != head")
+        pairs = others.where(_alike("n", "head_n", percent)).select(*_pairs("node", "head"))
         found = _check(pairs.distinct(), docs, percent)
         edges = found if edges is None else edges.union(found)
-        if others is not None:
-            rows = _undecided(others, connected(edges))
-    return edges
+        rows = _undecided(others.drop("head", "head_n"), connected(edges))
+    if is_empty(rows):
+        return edges
+    pairs = _exact_pairs(rows.select("node", "n", "component").distinct(), docs, percent)
+    return edges.union(_check(pairs, docs, percent))
+
+
+def _exact_pairs(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` (node, n, component) of two components that may be similar enough.
+
+    Two such sets share a shingle among the n - ceil(percent * n / 100) + 1 rarest of either, and from the
+    first shared one on both have enough shingles left for the overlap that the similarity takes.
+    """
+    nodes = stage(nodes, "doubtful")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _word_hash()
+        for batch, texts in each_text(batches):
+            for i, text in enumerate(texts):
+                found = shingle_set(text, memo).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), batch.column(0)[i].as_py())), pa.array(found)],
+                    names=["node", "key"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("text"))
+    shingles = texts.join(if_small(nodes.select("node")), "node").mapInArrow(sets, "node long, key long")
+    shingles = stage(shingles.distinct(), "doubtful_shingles")
+    counts = shingles.groupBy("key").agg(F.count("*").alias("texts"))
+    ordered = shingles.join(counts, "key").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("order"))
+    prefix = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    posted = ordered.join(nodes, "node").select(
+        "node", "n", "component", F.posexplode(prefix).alias("at", "s")).where("s.texts > 1")
+    rows = posted.select("node", "n", "component", "at", F.col("s.key").alias("key"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")
+                                    ).where("low != high").select("key")
+    rows = stage(rows.join(mixed, "key"), "doubtful_prefixes")
+
+    def may(x: str, y: str) -> Column:
+        left = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        enough = left * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+        return ((F.col(f"{x}.key") == F.col(f"{y}.key")) & enough & _alike(f"{x}.n", f"{y}.n", percent)
+                & (F.col(f"{x}.component") != F.col(f"{y}.component")))
+
+    # First against the best place of each component and size: most texts have no partner at all.
+    best = rows.groupBy("key", "component", "n").agg(F.min("at").alias("at"))
+    rows = stage(rows.alias("x").join(best.alias("y"), may("x", "y"), "left_semi"), "doubtful_prefixes")
+    both = rows.alias("x").join(rows.alias("y"), may("x", "y") & (F.col("x.node") < F.col("y.node")))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _undecided(rows: DataFrame, components: DataFrame) -> DataFrame:
