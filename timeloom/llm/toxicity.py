@@ -12,7 +12,6 @@ that have a weight, so scoring costs a look-up per word.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,28 +21,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import Memo, crc_of_id, each_text, if_small
+from timeloom.llm.common import MEMO_WORDS, crc_of_id, each_text, if_small, mix64, odd_numbers
+from timeloom.llm.tokens import in_portions
 from timeloom.plans.session import stage
 
 SIZES, HASH_BITS = (3, 4, 5), 18
 SHARDS, CHUNKS = 16, 64
-
-
-def word_features(word: bytes) -> set[int]:
-    """Hashed n-grams of characters of one lower-cased word."""
-    mask = (1 << HASH_BITS) - 1
-    if word.isascii():
-        marked = b"\x02" + word + b"\x03"
-        grams = (marked[i:i + n] for n in SIZES for i in range(len(marked) - n + 1))
-    else:
-        text = "\x02" + word.decode() + "\x03"
-        grams = (text[i:i + n].encode() for n in SIZES for i in range(len(text) - n + 1))
-    return {zlib.crc32(g) & mask for g in grams}
-
-
-def text_features(text: bytes, memo: Memo) -> set[int]:
-    memo.trim()
-    return set().union(*map(memo.__getitem__, set(text.lower().split())))
+_CODE = odd_numbers(127, max(SIZES))
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of characters of lower-cased words, and how many each word has."""
+    texts = [f"\x02{w.decode()}\x03" for w in words]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(t) for t in texts])
+    hashes, owners = [], []
+    for n in SIZES:
+        m = len(codes) - n + 1
+        if m <= 0:
+            continue
+        total = np.full(m, n, np.uint64)
+        for j in range(n):
+            total += codes[j:m + j] * _CODE[j]
+        inside = owner[:m] == owner[n - 1:]
+        hashes.append(mix64(total[inside]) & np.uint64((1 << HASH_BITS) - 1))
+        owners.append(owner[:m][inside])
+    if not hashes:
+        return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    counts = np.bincount(np.concatenate(owners), minlength=len(words))
+    return np.concatenate(hashes)[order].astype(np.int64), counts
+
+
+class WordFeatures(dict):
+    """Remembers the features of words that a table keeps (feature -> number, -1: none)."""
+
+    def __init__(self, keep: np.ndarray | None = None, most: int = MEMO_WORDS):
+        super().__init__()
+        self.keep, self.most = keep, most
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) > self.most:
+            self.clear()
+        new = [w for w in words if w not in self]
+        if not new:
+            return
+        found, counts = word_features(new)
+        if self.keep is not None:
+            number = self.keep[found]
+            kept = number >= 0
+            counts = np.bincount(np.repeat(np.arange(len(new)), counts)[kept], minlength=len(new))
+            found = number[kept]
+        ends = np.cumsum(counts)
+        self.update(dict.fromkeys(new, ()))
+        for i in np.flatnonzero(counts).tolist():
+            self[new[i]] = found[ends[i] - counts[i]:ends[i]].tolist()
+
+    def of_texts(self, texts: list[bytes]) -> Iterator[set[int]]:
+        """The features present in each text."""
+        cut = [set(t.lower().split()) for t in texts]
+        self.learn(set().union(*cut))
+        for words in cut:
+            yield set().union(*filter(None, map(self.__getitem__, words)))
 
 
 @dataclass(frozen=True)
@@ -53,24 +92,19 @@ class Model:
     weights: dict[int, float]
     intercept: float
 
-    def score(self) -> Column:
-        """The probability of label 1 as a function of a text column; see ``score_column``."""
-        return score_column(self)
-
-    def scorer(self):
-        weights, base = self.weights, self.intercept
-        memo = Memo(lambda word: tuple(f for f in word_features(word) if f in weights))
-
-        def score(text: bytes) -> float:
-            found: set[int] = set()
-            for features in map(memo.__getitem__, set(text.lower().split())):
-                if features:
-                    found.update(features)
-            memo.trim()
-            margin = base + sum(sorted(weights[f] for f in found))
-            return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+    def scores(self, texts: list[bytes], memo: WordFeatures) -> list[float]:
+        """Probabilities of label 1; ``memo`` keeps the features with a weight."""
+        out = []
+        for found in memo.of_texts(texts):
+            margin = self.intercept + sum(self.weights[f] for f in sorted(found))
+            out.append(float(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
+        return out
 
-        return score
+    def memo(self) -> WordFeatures:
+        keep = np.full(1 << HASH_BITS, -1)
+        active = list(self.weights)
+        keep[active] = active
+        return WordFeatures(keep)
 
 
 def score_column(model: Model, text: str = "text") -> Column:
@@ -78,9 +112,10 @@ def score_column(model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = model.scorer()
+        memo = model.memo()
         for texts in batches:
-            yield pd.Series([one(t.encode() if t is not None else b"") for t in texts], dtype=float)
+            raw = (t.encode() if t is not None else b"" for t in texts)
+            yield pd.Series([s for part in in_portions(raw) for s in model.scores(part, memo)], dtype=float)
 
     return score(F.col(text))
 
@@ -105,13 +140,14 @@ def document_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     step = (1 << HASH_BITS) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_features, 50_000)
+        memo = WordFeatures(most=50_000)
         counts = np.zeros((CHUNKS, step, 2), np.uint32)
         flat = counts.reshape(-1, 2)
         for batch, texts in each_text(batches):
-            for label, text in zip(batch.column(1).to_pylist(), texts, strict=True):
-                found = text_features(text, memo)
-                flat[np.fromiter(found, np.int64, len(found)), label] += 1
+            labels = iter(batch.column(1).to_pylist())
+            for portion in in_portions(texts, 1 << 18):
+                for found in memo.of_texts(portion):
+                    flat[np.fromiter(found, np.int64, len(found)), next(labels)] += 1
         yield pa.RecordBatch.from_arrays([
             pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary()),
         ], names=["chunk", "counts"])
@@ -146,17 +182,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     strength = np.abs(ratio) * np.sqrt(clean + marked) * (clean + marked >= 3)
     kept = np.sort(np.argsort(-strength, kind="stable")[:max_features])
     kept = kept[strength[kept] > 0]
-    place = {int(f): i for i, f in enumerate(kept)}
+    place = np.full(1 << HASH_BITS, -1)
+    place[kept] = np.arange(len(kept))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda word: [place[f] for f in word_features(word) if f in place])
+        memo = WordFeatures(place)
         for batch, texts in each_text(batches):
-            present = [np.array(sorted(text_features(t, memo)), np.uint16).tobytes() for t in texts]
+            present = [np.array(sorted(found), np.uint16).tobytes()
+                       for portion in in_portions(texts) for found in memo.of_texts(portion)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(present, pa.binary())],
                                              names=["label", "features"])
 
     # At most max_rows rows of at most max_features numbers.
-    drawn = sample.mapInArrow(project, "label int, features binary").orderBy("label", "features").collect()
+    drawn = sorted(sample.mapInArrow(project, "label int, features binary").collect())
     y = np.array([r["label"] for r in drawn], float)
     columns = [np.frombuffer(r["features"], np.uint16) for r in drawn]
     coefficients, intercept = _logistic(columns, y, ratio[kept], prior, penalty)
