@@ -102,6 +102,31 @@ def test_classes_share_out_all_probability():
     assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
 
 
+def test_rows_are_summed_by_group():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(300, 5))
+    keys = np.sort(rng.choice([0, 1, 2, 3, 4], 900, p=[0.9, 0.06, 0.02, 0.015, 0.005]))
+    keys = np.concatenate([keys, [7, 8, 8]])  # groups of one, two and very many
+    members = rng.integers(0, 300, len(keys))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    by, total = lm._sum_groups(rows, members, first)
+    for place, found in zip(by, total, strict=True):
+        assert np.allclose(found, rows[members[keys == keys[first[place]]]].sum(axis=0))
+    assert sorted(by) == list(range(len(first)))
+
+
+def test_log_of_one_class_and_words_with_a_class_of_their_own():
+    rng = np.random.default_rng(3)
+    model = lm.Softmax(rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, np.float32))
+    features, classes = rng.integers(0, lm.FEATURES, (50, 4)), rng.integers(0, lm.CLASSES, 50)
+    every = model.logs(features)
+    assert np.allclose(model.logs(features, classes), every[np.arange(50), classes], atol=1e-5)
+    assert np.allclose(np.log(model.odds(features)), every, atol=1e-4)
+    groups = bytes(map(lm.word_group, [b"a", b"bb", b"the"]))
+    found = lm.Positions(bytes(12), groups, [3, 0, 1]).classes
+    assert found.tolist() == [lm.END, 0, 3, groups[1], 1]
+
+
 def test_model_without_rows(spark):
     assert lm.score_texts(documents(spark, []), lm.in_training()).collect() == []
     rows = lm.score_texts(documents(spark, [(1, "a b")]), F.lit(False)).collect()
