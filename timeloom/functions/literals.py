@@ -88,7 +88,8 @@ class Jump:
 
     @classmethod
     def parse(cls, text: str) -> Jump | None:
-        found = re.match(r"([1-9]\d*)\s*(us|ms|l|s|m|h|d)", text.lower())
+        units = "|".join([*JUMP_MICROS, "l"])
+        found = re.match(rf"([1-9]\d*)\s*({units})", text.lower())
         return cls(int(found[1]), found[2]) if found else None
 
     def __neg__(self) -> Jump:
