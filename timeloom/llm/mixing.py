@@ -8,8 +8,9 @@ tokens of every domain meet its target: least squares
     1/2 * sum_k ((sum_i t_i p_ik r_i - b_k) / T)**2  +  ridge/2 * sum_i (t_i / T) (r_i - 1)**2
 
 over low <= r <= high, by projected gradient steps.  A step needs only the K domain totals of the step
-before, so the steps are written as one fold over the list of past residuals: each round is one aggregation
-over a narrow table, and no rates are kept between rounds.
+before: each round is one aggregation over a narrow table.  The steps since the last kept rates are one
+expression; after ``KEPT_STEPS`` of them the rates are written to the shared folder, which keeps expressions and
+lineage short.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ NEEDLES = (" the ", " of ", " and ", " de ", " la ", " le ", " les ", " et ", "
 #: Smallest standard deviation of a feature.
 FLOOR = 0.3
 OTHER = "other"
+#: Steps that are taken anew in every round before the rates are kept.
+KEPT_STEPS = 8
 
 
 def _rate(needle: str) -> Column:
@@ -106,28 +109,26 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ri
     low_column = low if isinstance(low, Column) else F.lit(float(low))
     # The curvature is at most max_k share_k + ridge, in the metric of token weights.
     step = 1.0 / (1.0 + ridge)
-    history: list[list[float]] = []
+    pending: list[list[float]] = []
 
     def rate() -> Column:
-        if not history:
-            start = F.lit(1.0)
-            return F.least(F.greatest(start, low_column), F.lit(float(high)))
-        residuals = F.array(*[F.array(*map(F.lit, h)) for h in history])
-
-        def move(r: Column, residual: Column) -> Column:
-            pull = F.lit(0.0)
-            for k in range(len(domains)):
-                pull = pull + F.get("posteriors", k) * F.get(residual, k)
-            new = r - step * (pull + ridge * (r - 1))
-            return F.least(F.greatest(new, F.col("low")), F.lit(float(high)))
-
-        return F.aggregate(residuals, F.least(F.greatest(F.lit(1.0), F.col("low")), F.lit(float(high))), move)
-
-    rows = scored.withColumn("low", low_column)
+        """The kept rate moved by the residuals since; every step names the rate before it once."""
+        r = F.col("rate")
+        for residual in pending:
+            pull = sum((F.get("posteriors", k) * F.lit(v) for k, v in enumerate(residual)), F.lit(0.0))
+            r = r * F.lit(1.0 - step * ridge) + F.lit(step * ridge) - F.lit(step) * pull
+            r = F.least(F.greatest(r, F.col("low")), F.lit(float(high)))
+        return r
+
+    rows = scored.withColumn("low", low_column.cast("double")).withColumn(
+        "rate", F.least(F.greatest(F.lit(1.0), F.col("low")), F.lit(float(high))))
     for _ in range(rounds if tokens else 0):
+        if len(pending) == KEPT_STEPS:
+            rows = stage(rows.withColumn("rate", rate()), "mix_rates")
+            pending = []
         sums = [F.sum(F.col("tokens") * F.get("posteriors", k) * F.col("rate")) for k in range(len(domains))]
         now = rows.withColumn("rate", rate()).agg(*sums).first()
-        history.append([float(s) / tokens - b for s, b in zip(now, goal, strict=True)])
+        pending.append([float(s) / tokens - b for s, b in zip(now, goal, strict=True)])
     out = rows.withColumn("rate", F.when(F.col("tokens") > 0, rate()).otherwise(1.0))
     dice = F.pmod(F.xxhash64("doc_id", "key", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
     return out.select("doc_id", "key", "tokens", "posteriors", "rate",
