@@ -110,15 +110,16 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ri
     # The curvature is at most max_k share_k + ridge, in the metric of token weights.
     step = 1.0 / (1.0 + ridge)
     pending: list[list[float]] = []
+    sums = [F.expr(f"sum(tokens * get(posteriors, {k}) * rate)") for k in range(len(domains))]
 
     def rate() -> Column:
         """The kept rate moved by the residuals since; every step names the rate before it once."""
-        r = F.col("rate")
+        r = "rate"
         for residual in pending:
-            pull = sum((F.get("posteriors", k) * F.lit(v) for k, v in enumerate(residual)), F.lit(0.0))
-            r = r * F.lit(1.0 - step * ridge) + F.lit(step * ridge) - F.lit(step) * pull
-            r = F.least(F.greatest(r, F.col("low")), F.lit(float(high)))
-        return r
+            pull = " + ".join(f"get(posteriors, {k}) * ({v!r}D)" for k, v in enumerate(residual))
+            r = f"({r}) * {1.0 - step * ridge!r}D + {step * ridge!r}D - {step!r}D * ({pull})"
+            r = f"least(greatest({r}, low), {float(high)!r}D)"
+        return F.expr(r)
 
     rows = scored.withColumn("low", low_column.cast("double")).withColumn(
         "rate", F.least(F.greatest(F.lit(1.0), F.col("low")), F.lit(float(high))))
@@ -126,7 +127,6 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ri
         if len(pending) == KEPT_STEPS:
             rows = stage(rows.withColumn("rate", rate()), "mix_rates")
             pending = []
-        sums = [F.sum(F.col("tokens") * F.get("posteriors", k) * F.col("rate")) for k in range(len(domains))]
         now = rows.withColumn("rate", rate()).agg(*sums).first()
         pending.append([float(s) / tokens - b for s, b in zip(now, goal, strict=True)])
     out = rows.withColumn("rate", F.when(F.col("tokens") > 0, rate()).otherwise(1.0))
