@@ -131,3 +131,15 @@ def test_asof_hot_probe(spark):
     assert got.count() > 1000
     with pytest.raises(ValueError):
         nearest_times(left, right, "sideways")
+
+
+def test_sources_that_are_not_listed_fail(spark):
+    entries = spark.sql("SELECT 'a' AS file, timestamp_ntz'2024-01-01' AS ts, 0 AS part, 'x' AS body "
+                        "UNION ALL SELECT 'b', timestamp_ntz'2024-01-02', 0, 'y'")
+    assert merge_wide(entries, ["a", "b"]).count() == 2
+    with pytest.raises(Exception, match="not in the list of files: b"):
+        merge_wide(entries, ["a"]).collect()
+    with pytest.raises(Exception, match="not in the list of files: b"):
+        merge_long(entries, ["a"]).collect()
+    with pytest.raises(ValueError, match="columns of the result"):
+        merge_wide(entries, ["a", "ts"])

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.operators.order import flag_disorder, with_segments
-from timeloom.operators.records import parse_timestamps
+from timeloom.operators.records import detect_formats, parse_timestamps
 from timeloom.plans.align import align
 from timeloom.sources import packets, synthetic
 from timeloom.sources.csv_records import leaves_quote_open, opens_quote, read_csv_lines
@@ -205,12 +205,12 @@ def test_quote_state_of_a_line(spark):
 
 
 def test_csv_hot_file(spark, write, small_splits):
-    """One long quoted cell over most of the file still comes out whole."""
-    cell = "\n".join(f"row {i}, part" for i in range(3000))
-    assert len(cell) < 131072
+    """One long quoted cell over most of the file still comes out whole, whatever its length."""
+    cell = "\n".join(f"row {i}, part" for i in range(12_000))
+    csv.field_size_limit(10**7)
     text = f'time,body,end\nt1,"{cell}",z\nt2,short,z\n'
     path = write("a.csv", text)
-    small_splits(2000)
+    small_splits(8000)
     assert raw_lines(read_csv_lines(spark, [path])) == python_csv(text)
 
 
@@ -222,8 +222,7 @@ def test_csv_quote_that_never_closes(spark, write, small_splits):
     small_splits(20_000)
     got = raw_lines(read_csv_lines(spark, [path]))
     assert got[0] == "t0 h1=a h2=b"
-    assert got[1] == (">>> csv error: h1=field larger than field limit (131072): "
-                      f"{bad} h2=<<<")
+    assert got[1] == f">>> csv error: h1=unexpected end of data: {bad} h2=<<<"
     assert got[2:] == [f"t{i} h1=row {i} h2={'y' * 90}" for i in range(2, 4000)]
 
 
@@ -313,3 +312,30 @@ def test_synthetic_file_reads_back_in_order(spark, tmp_path):
     late = flag_disorder(with_segments(parsed)).agg(
         F.count("*"), F.sum(F.col("is_out_of_order").cast("int"))).first()
     assert tuple(late) == (count, 0)
+
+
+# --- results do not follow the splits -------------------------------------------------------
+
+def test_late_first_timestamp_is_found_in_any_block(spark, write, small_splits):
+    text = "# preamble\n" * 3000 + "2024-01-01 10:00:00 one\n2024-01-01 10:00:01 two\n"
+    path = write("late.log", text)
+    for size in (10_000_000, 4000):
+        small_splits(size)
+        entries = align(spark, [path], detect="first_match").entries
+        found = {(r.ts, r.n_lines, r.body[-3:]) for r in entries.collect()}
+        assert found == {(None, 3000, "ble"), (datetime(2024, 1, 1, 10), 1, "one"),
+                         (datetime(2024, 1, 1, 10, 0, 1), 1, "two")}
+
+
+def test_detection_without_a_block_zero(spark):
+    lines = spark.createDataFrame([("f", 7, 1, "2024-01-01 10:00:00 a"), ("f", 9, 0, "x")],
+                                  "file string, block_start long, seq long, raw string")
+    assert [r.fmt is not None for r in detect_formats(lines).collect()] == [True]
+
+
+def test_folders_in_folders(spark, tmp_path):
+    (tmp_path / "logs" / "sub").mkdir(parents=True)
+    (tmp_path / "logs" / "a.log").write_text("2024-01-01 10:00:00 a\n")
+    (tmp_path / "logs" / "sub" / "b.log").write_text("2024-01-01 10:00:01 b\n")
+    lines, files = read_logs(spark, [str(tmp_path / "logs")])
+    assert [f.rsplit("/", 1)[1] for f in files] == ["a.log", "b.log"] and lines.count() == 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.functions.text import display_ts, trim_ws
@@ -13,24 +13,36 @@ from timeloom.plans.session import lookup
 
 # One column per source is for people to read; beyond this use merge_long.
 MAX_WIDE_FILES = 1000
+# Columns that stand beside the sources of a wide merge.
+RESERVED = frozenset({"line", "timestamp", "ts", "part"})
 
 
 def merge_wide(entries: DataFrame, files: Sequence[str]) -> DataFrame:
     """One row per timestamp with one text column per source, ``''`` where it has nothing.
 
-    ``files`` gives the columns and their order, so no pass over the data looks for them.
+    ``files`` gives the columns and their order, so no pass over the data looks for them.  An
+    entry of a source that is not listed is an error when the query runs.
     Entries from :func:`collapse_records` already lie by ``(ts, part)``: no further shuffle.
     """
     names = list(dict.fromkeys(files))
     if len(names) > MAX_WIDE_FILES:
         raise ValueError(f"{len(names)} sources do not fit side by side; use merge_long")
+    if taken := sorted(RESERVED.intersection(names)):
+        raise ValueError(f"sources named like columns of the result: {taken}; use merge_long")
     cells = [
         F.coalesce(
             F.first(F.when(F.col("file") == name, F.col("body")), ignorenulls=True), F.lit("")
         ).alias(name)
         for name in names
     ]
-    return entries.where(F.col("file").isin(names)).groupBy("ts", "part").agg(*cells)
+    listed = F.coalesce(F.col("file").isin(names), F.lit(False)) | _unlisted().cast("boolean")
+    return entries.where(listed).groupBy("ts", "part").agg(*cells)
+
+
+def _unlisted() -> Column:
+    """Fails at the first row of a source that no column or number was given for."""
+    name = F.coalesce("file", F.lit("NULL"))
+    return F.raise_error(F.concat(F.lit("source not in the list of files: "), name))
 
 
 def merge_two(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
@@ -50,7 +62,7 @@ def merge_two(left: DataFrame, right: DataFrame, left_name: str, right_name: str
 
 def merge_long(entries: DataFrame, files: Sequence[str] | None = None,
                line_numbers: bool = True) -> DataFrame:
-    """One row per source and timestamp: ``(line?, timestamp, ts, part, file, log)``.
+    """One row per source and timestamp: ``(line?, timestamp, ts, part, file_no?, file, log)``.
 
     ``line`` is the number of the merged row, shared by all sources at that timestamp.  Blank
     cells are left out, but they still count as merged rows.
@@ -58,7 +70,9 @@ def merge_long(entries: DataFrame, files: Sequence[str] | None = None,
     rows = entries
     if files is not None:
         names = [(f, i) for i, f in enumerate(dict.fromkeys(files))]
-        rows = rows.join(lookup(rows.sparkSession, names, "file string, file_no int"), "file")
+        names = lookup(rows.sparkSession, names, "file string, file_no int")
+        number = F.coalesce("file_no", _unlisted().cast("int"))
+        rows = rows.join(names, "file", "left").withColumn("file_no", number)
     if line_numbers:
         rows = number_rows(rows, spread="file")
     kept = rows.where(trim_ws(F.col("body")) != "")

@@ -33,24 +33,36 @@ def detect_formats(lines: DataFrame, registry: FormatRegistry | None = None,
                    scan: str = "first_line") -> DataFrame:
     """``(file, fmt)``: the format of each source, NULL when none fits.
 
-    ``first_line`` looks at the first line only; ``first_match`` takes the first line of the
-    first block that has any known timestamp.
+    ``first_line`` looks at the first line only; ``first_match`` takes the first line that has
+    any known timestamp.  Both hold for the whole source, however its blocks are cut.
     """
     registry = registry or FormatRegistry()
-    opening = lines
-    if "block_start" in lines.columns:
-        opening = lines.where(F.col("block_start") == 0)
     names = F.array(*[F.lit(n) for n in registry.names()])
     # The formats are tried only where a line becomes the smallest so far: once or twice per
-    # source and task.  A number as the result keeps the aggregate free of sorting.
-    place = F.col("seq")
+    # block and task.  A number as the result keeps the aggregate free of sorting.
     which = registry.detect_index(F.col("raw"))
     if scan == "first_match":
-        place = F.when(which.isNotNull(), place)
-    elif scan != "first_line":
+        place = F.when(which.isNotNull(), F.col("seq"))
+    elif scan == "first_line":
+        place = F.col("seq")
+    else:
         raise ValueError(f"unknown scan {scan!r}")
-    first = opening.groupBy("file").agg(F.min_by(which, place).alias("_which"))
-    return first.select("file", F.get(names, F.col("_which")).alias("fmt"))
+    first = _first_of(lines, "file", which, place)
+    return first.select("file", F.get(names, F.col("_first")).alias("fmt"))
+
+
+def _first_of(lines: DataFrame, source: str, value: Column, place: Column) -> DataFrame:
+    """``(source, _first)``: ``value`` at the smallest ``place`` of the first block that has one.
+
+    First per block, then over the blocks: both are map-side combined numbers.
+    """
+    if "block_start" not in lines.columns:
+        lines = lines.withColumn("block_start", F.lit(0).cast("bigint"))
+    per_block = lines.groupBy(source, "block_start").agg(
+        F.min_by(value, place).alias("_first"), F.min(place).alias("_at")
+    )
+    block = F.when(F.col("_at").isNotNull(), F.col("block_start"))
+    return per_block.groupBy(source).agg(F.min_by("_first", block).alias("_first"))
 
 
 def first_lines(lines: DataFrame, source: str = "file") -> DataFrame:
@@ -58,13 +70,12 @@ def first_lines(lines: DataFrame, source: str = "file") -> DataFrame:
 
     First its hash is found -- numbers only, so no sorting -- then the line with that hash.
     """
-    opening = lines
-    if "block_start" in lines.columns:
-        opening = lines.where(F.col("block_start") == 0)
-    marked = opening.withColumn("_hash", F.xxhash64("raw"))
-    wanted = marked.groupBy(source).agg(F.min_by("_hash", "seq").alias("_hash"))
+    marked = lines.withColumn("_hash", F.xxhash64("raw"))
+    wanted = _first_of(marked, source, F.col("_hash"), F.col("seq"))
+    wanted = wanted.withColumnRenamed("_first", "_hash")
     same = marked.join(small_side(wanted)[0], [source, "_hash"])
-    return same.groupBy(source).agg(F.min_by("raw", "seq").alias("raw"))
+    place = [F.col(c) for c in ("block_start", "seq") if c in lines.columns]
+    return same.groupBy(source).agg(F.min_by("raw", F.struct(*place)).alias("raw"))
 
 
 def _by_format(names: Sequence[str | None], build) -> Column:

@@ -20,6 +20,7 @@ from timeloom.functions.literals import Jump
 from timeloom.operators.asof import asof_join
 from timeloom.operators.clip import autoclip, clip
 from timeloom.operators.explore import (
+    OVERALL,
     file_stats,
     find_next,
     find_previous,
@@ -44,10 +45,11 @@ from timeloom.operators.records import (
     fill_records,
     parse_timestamps,
 )
+from timeloom.plans.align import align
 from timeloom.plans.session import collect_small, fresh_path, stage
 from timeloom.sinks.tables import column_widths, markdown_rows, text_rows, write_csv
 from timeloom.sources import csv_records, jsonl, packets, synthetic
-from timeloom.sources.files import read_text
+from timeloom.sources.files import read_text, register_reader
 from timeloom.streaming.assemble import RecordAssembler, run_to_end
 from timeloom.streaming.timeline import merge_stream
 
@@ -433,6 +435,89 @@ def q_asof(direction: str) -> Query:
     return run
 
 
+# --- end to end ---------------------------------------------------------------------------
+
+ALIGN_PARTS = 4
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Rows as they go to log files: the order of the files is that of the lines."""
+    return rows.repartitionByRange(ALIGN_PARTS, "seq").sortWithinPartitions("file", "seq")
+
+
+def _written_events(spark: SparkSession, sf_dir: str) -> str:
+    """The event log as text files, a folder per event type."""
+    folder = fresh_path(spark, "logs")
+    raw = _in_parts(rendered_events(spark, sf_dir, "iso_space_comma"))
+    raw.select(F.col("file").alias("kind"), F.col("raw").alias("value")).write.partitionBy(
+        "kind").text(folder)
+    return folder
+
+
+def _kind() -> Column:
+    """The event type in the name of a file."""
+    return F.regexp_extract("file", "/kind=([a-z]+)/", 1)
+
+
+def _line_by_line(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, "timestamp", _kind().alias("kind"),
+                       F.explode(F.split("log", "\n")).alias("log"))
+
+
+def q_align_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of a folder side by side; the files of one event type are then put together."""
+    merged = align(spark, [_written_events(spark, sf_dir)])
+
+    def cell(kind: str) -> Column:
+        parts = [F.col(f"`{f}`") for f in merged.files if f"/kind={kind}/" in f]
+        return F.concat_ws("\n", *[F.when(p != "", p) for p in parts]).alias(kind)
+
+    return merged.wide(line_numbers=True).select("line", "timestamp", *map(cell, EVENT_FILES))
+
+
+def q_align_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = align(spark, [_written_events(spark, sf_dir)])
+    return _line_by_line(merged.long(line_numbers=True), "line")
+
+
+def q_align_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = align(spark, [_written_events(spark, sf_dir)]).stats()
+    overall = F.col("file") == OVERALL
+    return stats.groupBy(F.when(overall, F.col("file")).otherwise(_kind()).alias("kind")).agg(
+        F.max(F.when(overall, F.col("n_entries"))).alias("n_merged"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+    )
+
+
+def q_align_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = align(spark, [_written_events(spark, sf_dir)], start="2024-01-05 06:30",
+                   end="2024-01-20 12:00:00.500")
+    return _line_by_line(merged.long())
+
+
+def q_align_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, gzip, CSV and JSON lines in one folder, each read by its suffix."""
+    folder = fresh_path(spark, "mixed")
+    register_reader(".json", jsonl.read_jsonl_lines)  # the suffix that Spark gives to JSON lines
+    raw = rendered_events(spark, sf_dir, "iso_space_comma")
+    events = event_lines(spark, sf_dir)
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    for kind in EVENT_FILES:
+        mine, path = F.col("file") == kind, f"{folder}/kind={kind}"
+        cells = _in_parts(events.where(mine)).select(time.alias("time"),
+                                                     F.col("body").alias("entry"))
+        lines = _in_parts(raw.where(mine)).select(F.col("raw").alias("value"))
+        if kind == "purchase":
+            cells.write.option("header", True).option("escape", '"').csv(path)
+        elif kind == "signup":
+            cells.write.json(path)
+        elif kind == "error":
+            lines.write.option("compression", "gzip").text(path)
+        else:
+            lines.write.text(path)
+    return _line_by_line(align(spark, [folder]).long())
+
+
 # --- sources ------------------------------------------------------------------------------
 
 def q_text_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -674,6 +759,11 @@ def queries() -> dict[str, Query]:
         "jump_time": _row_query(lambda rows: jump(rows, 100, "90m")),
         "asof_probe_table": q_asof("backward"),
         "asof_probe_forward": q_asof("forward"),
+        "align_wide": q_align_wide,
+        "align_long": q_align_long,
+        "align_stats": q_align_stats,
+        "align_clip": q_align_clip,
+        "align_mixed_suffixes": q_align_mixed,
         "text_gzip_lines": q_text_gzip,
         "csv_lines": q_csv,
         "csv_quoted_lines": q_csv_quoted,

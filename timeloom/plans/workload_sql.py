@@ -278,6 +278,21 @@ def oracle_sql() -> dict[str, str]:
             '%Y-%m-%d %H:%M:%S') || ' name=' || c_name || ' nation=' ||
             CASE WHEN c_nationkey > 5 THEN c_nationkey::VARCHAR ELSE '' END ||
             ' segment=segment "' || c_mktsegment || '", key ' || c_custkey AS raw FROM customer""",
+        "align_wide": f"WITH {EVENTS}, w AS ({_cells('ts')}) "
+                      f"SELECT row_number() OVER (ORDER BY ts) AS line, {DISPLAY} AS timestamp, "
+                      f"{', '.join(EVENT_FILES)} FROM w",
+        "align_long": f"WITH {EVENTS} SELECT dense_rank() OVER (ORDER BY ts) AS line, "
+                      f"{DISPLAY} AS timestamp, file AS kind, body AS log FROM e",
+        "align_stats": f"""WITH {EVENTS}, m AS (SELECT file, ts FROM e)
+          SELECT file AS kind, NULL::BIGINT AS n_merged, min(ts) AS first_ts, max(ts) AS last_ts
+          FROM m GROUP BY file UNION ALL
+          SELECT 'Overall (merged)', count(DISTINCT ts), min(ts), max(ts) FROM m""",
+        "align_clip": f"WITH {EVENTS} SELECT {DISPLAY} AS timestamp, file AS kind, body AS log "
+                      f"FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:30:00' "
+                      "AND TIMESTAMP '2024-01-20 12:00:00.5'",
+        "align_mixed_suffixes": f"""WITH {EVENTS} SELECT {DISPLAY} AS timestamp, file AS kind,
+            CASE file WHEN 'purchase' THEN 'entry=' WHEN 'signup' THEN 'entry: ' ELSE '' END
+              || body AS log FROM e""",
         "csv_quoted_lines": "SELECT 'at ' || doc_id || ' lang=' || lang || ' text=' || text || "
                             "' source=' || source AS raw FROM documents",
         "jsonl_lines": f"""WITH {EVENTS} SELECT {DISPLAY} || ' kind: ' || file || chr(10) ||

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from timeloom.operators.order import (
     LineOrder,
     forward_fill_all,
-    join_segments,
     with_segments,
 )
 from timeloom.plans.session import small_side, stage
@@ -28,11 +27,10 @@ _CELL = rf'(?s)({_QUOTED}[^,]*+|[^,]*+),'
 _OPEN_FROM_CLOSED = rf'(?s)^(?:{_QUOTED}[^,]*+,|(?!")[^,]*+,)*+"(?:[^"]++|"")*+$'
 _CLOSING = r'(?s)^(?:[^"]++|"")*+"[^,]*+(?:,|$)'
 
-# A quoted cell may hold this many characters, and what stands for one that
-# does not end within them (the line that opened it is quoted in the message).
-FIELD_LIMIT = 131072
+# What stands for a record whose quote is still open at the end of its file (the
+# line that opened it is quoted in the message).
 _ERROR_CELLS = (">>> csv error:", "<<<")
-_ERROR_TEXT = f"field larger than field limit ({FIELD_LIMIT}): "
+_ERROR_TEXT = "unexpected end of data: "
 
 _ORDER = LineOrder(file="path")
 
@@ -78,8 +76,9 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     swaps so far, the state is the last closing or opening seen through the swaps since then.
     The same holds for whole segments, so their few rows carry the state from one to the next.
 
-    A quote that is not closed within the field limit swallows no more lines: its record
-    becomes an error marker, and the lines after it are records of their own.
+    A cell may be of any length.  A quote still open at the end of its file was never meant to
+    open a cell: its record becomes an error marker, and the lines after it are records of their
+    own.
     """
     lines = with_segments(lines)
     here = order.up_to_here()
@@ -111,22 +110,20 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     )
     before = F.coalesce(F.lag("_after").over(order.inside()), F.col("_entry"))
     here_is = F.struct("block_start", "seq")
-    stays_inside = (F.col("_before") == 1) & ~F.col("raw").rlike(_CLOSING)
     stated = (
         stated.withColumn("_before", before)
         .withColumn("_first", F.when(F.col("_before") == 0, here_is))
-        .withColumn("_inside", F.when(stays_inside, F.length("raw") + 1).otherwise(0))
-        .withColumn("_opens", F.when(~stays_inside, here_is))
-        .drop("_closed", "_open", "_swaps", "_set", "_entry", "_after", "_before")
+        .drop("_closed", "_open", "_swaps", "_set", "_entry", "_before")
     )
     # Kept once: what follows passes over these columns several times.
     stated = stage(stated, "csv-state")
-    placed = forward_fill_all(stated, {"_first": "_record", "_opens": "_cell"}, order)
-    runaway = join_segments(placed, _runaway_records(placed, order), order)
-    given_up = F.coalesce(F.array_contains("_bad", F.col("_record")), F.lit(False))
+    placed = forward_fill_all(stated, {"_first": "_record"}, order)
+    unclosed, _ = small_side(_unclosed_records(stated, order))
+    lone = placed.join(unclosed, order.file, "left")
+    given_up = F.coalesce(F.col("_record") == F.col("_bad"), F.lit(False))
     message = F.concat(F.lit(_ERROR_TEXT), F.replace("raw", F.lit('"'), F.lit('""')))
     marker = F.concat(F.lit(_ERROR_CELLS[0] + ',"'), message, F.lit('",' + _ERROR_CELLS[1]))
-    lone = runaway.withColumn("_given_up", given_up).withColumn(
+    lone = lone.withColumn("_given_up", given_up).withColumn(
         "raw", F.when(F.col("_given_up") & F.col("_first").isNotNull(), marker)
         .otherwise(F.col("raw"))
     ).withColumn("_record", F.when(F.col("_given_up"), here_is).otherwise(F.col("_record")))
@@ -146,43 +143,46 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     )
 
 
-def _runaway_records(lines: DataFrame, order: LineOrder) -> DataFrame:
-    """Per segment, the records with a quoted cell beyond the field limit.
+def _unclosed_records(lines: DataFrame, order: LineOrder) -> DataFrame:
+    """``(file, _bad)``: the last record of each file that ends inside a quoted cell.
 
-    Such a quote was never meant to open a cell.  Only the narrow sizes are compared: per
-    cell first, then per record, so that all segments of the record learn of it.
+    First per segment, then per file: map-side combined, one narrow row per segment.
     """
-    sizes = lines.groupBy(*order.keys, "_record", "_cell").agg(F.sum("_inside").alias("_size"))
-    cell = Window.partitionBy(order.file, "_cell")
-    record = Window.partitionBy(order.file, "_record")
+    ends = lines.groupBy(*order.keys).agg(
+        F.max_by("_after", order.place()).alias("_after"),
+        F.max(F.col("_first.seq")).alias("_seq"),
+    )
+    last = F.when(F.col("_seq").isNotNull(), F.struct("block_start", F.col("_seq").alias("seq")))
     return (
-        sizes.withColumn("_size", F.sum("_size").over(cell))
-        .withColumn("_size", F.max("_size").over(record))
-        .where(F.col("_size") > FIELD_LIMIT)
-        .groupBy(*order.keys)
-        .agg(F.collect_set("_record").alias("_bad"))
+        ends.groupBy(order.file)
+        .agg(F.max_by("_after", F.struct(*order.segments)).alias("_after"),
+             F.max(last).alias("_bad"))
+        .where(F.col("_after") == 1).select(order.file, "_bad")
     )
 
 
 def csv_to_lines(records: DataFrame, source: str = "path") -> DataFrame:
     """Records with their header row to raw lines; the header row itself goes away."""
     # The records are staged: their line numbers are the same in each pass.
-    opening = records.where(F.col("block_start") == 0)
-    starts = opening.groupBy(source).agg(F.min("seq").alias("_header_seq"))
+    per_block = records.groupBy(source, "block_start").agg(F.min("seq").alias("_seq"))
+    starts = per_block.groupBy(source).agg(
+        F.min("block_start").alias("_header_block"),
+        F.min_by("_seq", "block_start").alias("_header_seq"),
+    )
+    is_header = (F.col("block_start") == F.col("_header_block")) & (
+        F.col("seq") == F.col("_header_seq")
+    )
     starts, _ = small_side(starts)
-    headers = (
-        opening.join(starts, source)
-        .where(F.col("seq") == F.col("_header_seq"))
-        .select(source, split_cells(F.col("raw")).alias("_headers"), "_header_seq")
+    headers = records.join(starts, source).where(is_header).select(
+        source, split_cells(F.col("raw")).alias("_headers"), "_header_block", "_header_seq"
     )
     headers, _ = small_side(headers)
     joined = records.join(headers, source)
-    is_header = (F.col("block_start") == 0) & (F.col("seq") == F.col("_header_seq"))
     body = joined.where(~is_header & (F.col("raw") != ""))
     return (
         body.withColumn("_cells", split_cells(F.col("raw")))
         .withColumn("raw", render_record(F.col("_cells"), F.col("_headers")))
-        .drop("_cells", "_headers", "_header_seq")
+        .drop("_cells", "_headers", "_header_block", "_header_seq")
     )
 
 

@@ -60,7 +60,10 @@ class LogFile:
 
 
 def expand_paths(spark: SparkSession, paths: Iterable[str]) -> list[LogFile]:
-    """Files for names, folders and globs, in order."""
+    """Files for names, folders (with all folders in them) and globs, in order.
+
+    In a folder, names that start with ``_`` or ``.`` are left out, as Spark's readers do.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found: list[LogFile] = []
@@ -73,8 +76,7 @@ def expand_paths(spark: SparkSession, paths: Iterable[str]) -> list[LogFile]:
         files = []
         for status in hits:
             if status.isDirectory():
-                inner = [s.getPath() for s in fs.listStatus(status.getPath()) if s.isFile()]
-                files += [p for p in inner if not p.getName().startswith(("_", "."))]
+                files += _inside(fs, status.getPath())
             else:
                 files.append(status.getPath())
         known = sorted((f.toString(), _NO_HOST.sub(r"\1:/", f.toUri().toString())) for f in files)
@@ -82,6 +84,14 @@ def expand_paths(spark: SparkSession, paths: Iterable[str]) -> list[LogFile]:
     return list(dict.fromkeys(found))
 
 
+def _inside(fs, folder) -> list:
+    found = []
+    for status in fs.listStatus(folder):
+        if not status.getPath().getName().startswith(("_", ".")):
+            found += _inside(fs, status.getPath()) if status.isDirectory() else [status.getPath()]
+    return found
+
+
 def read_text(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8") -> DataFrame:
     """Lines of text files; ``.gz`` files are unpacked by the scan.
 
