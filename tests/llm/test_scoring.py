@@ -213,6 +213,41 @@ def test_mix_meets_targets(spark):
         assert sum(r.tokens * r.rate * r.posteriors[k] for r in mix) / total == pytest.approx(share, abs=0.03)
 
 
+def test_mix_meets_targets_of_small_domains(spark):
+    rng = random.Random(18)
+    bodies = {"en": " of the cat and the dog", "de": " der hund und die katze", "fr": " le chat et les chiens",
+              "es": " el gato que un perro", "poor": " x### y*** a&&& b### c*** d&&&"}
+    kinds = ["en"] * 900 + ["de", "fr", "es"] * 30 + ["poor"] * 10
+    texts = [(i, bodies[k] * rng.randrange(20, 24)) for i, k in enumerate(kinds)]
+    labelled = spark.createDataFrame([(i, k) for i, k in enumerate(kinds) if i % 2], "doc_id long, domain string")
+    mix = mixing.soft_mix(documents(spark, texts), labelled, mixing.TARGETS)
+    for share, target in mixing.reached_shares(mix, mixing.TARGETS).values():
+        assert share == pytest.approx(target, abs=1e-4)
+    assert all(0 <= r.rate <= 8 for r in mix.collect())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_solved_mix_is_the_least_squares_optimum(seed):
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([0.1, 0.02, 0.02, 0.01], 500)
+    t = rng.integers(1, 90, 500) / 1e4
+    t /= t.sum()
+    low, high = np.where(rng.random(500) < 0.2 * seed, 1.0, 0.0), 1.0 if seed % 2 else 4.0
+    goal = rng.dirichlet([1, 1, 1, 1])
+    rate = lambda m: np.clip(1 + p @ m, low, high)
+
+    def evaluate(m):
+        y, r = 1 + p @ m, rate(m)
+        free = np.where((y > low) & (y < high), t, 0)
+        return (t * r * (y - r / 2)).sum() - goal @ m, (t * r) @ p - goal, (p * free[:, None]).T @ p
+
+    m, left = mixing.solve(evaluate, 4, 1e-6, 100, 1e-6)
+    assert left <= 1e-6
+    # First order condition of the least squares, one rate at a time.
+    slope = p @ ((t * rate(m)) @ p - goal) + 1e-6 * (rate(m) - 1)
+    assert (slope[rate(m) > low + 1e-9] <= 1e-5).all() and (slope[rate(m) < high - 1e-9] >= -1e-5).all()
+
+
 def test_trimming_keeps_good_documents(spark):
     rng = random.Random(9)
     texts = [(i, (" the cat of a dog and " if i % 2 else " a### b&&& c$$$ | ") * rng.randrange(5, 20)) for i in range(200)]

@@ -7,14 +7,17 @@ tokens of every domain meet its target: least squares
 
     1/2 * sum_k ((sum_i t_i p_ik r_i - b_k) / T)**2  +  ridge/2 * sum_i (t_i / T) (r_i - 1)**2
 
-over low <= r <= high, by projected gradient steps.  A step needs only the K domain totals of the step
-before: each round is one aggregation over a narrow table.  The steps since the last kept rates are one
-expression; after ``KEPT_STEPS`` of them the rates are written to the shared folder, which keeps expressions and
-lineage short.
+over low <= r <= high.  At the optimum r_i = min(max(1 + sum_k p_ik m_k, low), high) with one multiplier m_k a
+domain, where the residual of the domain is -ridge * m_k.  So only K numbers are unknown: damped Newton steps on the
+convex dual, whose gradient and curvature are one aggregation over a narrow table each, until what is left of every
+domain's equation is below a tolerance.  A rate is one expression of the posteriors and the multipliers.
 """
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,8 @@ NEEDLES = (" the ", " of ", " and ", " de ", " la ", " le ", " les ", " et ", "
 #: Smallest standard deviation of a feature.
 FLOOR = 0.3
 OTHER = "other"
-#: Steps that are taken anew in every round before the rates are kept.
-KEPT_STEPS = 8
+#: What may be left of a domain's equation, as a share of all tokens.
+TOLERANCE = 1e-6
 
 
 def _rate(needle: str) -> Column:
@@ -83,11 +86,45 @@ def _posteriors(model: list[dict]) -> Column:
     return F.array(*logs)
 
 
-def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ridge: float = 0.02,
-             rounds: int = 40, low: Column | float = 0.0, high: float = 8.0) -> DataFrame:
+def solve(evaluate, size: int, ridge: float, rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
+    """Multipliers at which gradient + ridge * m = 0, and the largest part of that equation which is left.
+
+    ``evaluate(m)`` gives value, gradient and curvature of the dual without the ridge, which is convex; it is
+    called at most ``rounds`` times.  A Newton step is shortened until the dual falls enough.
+    """
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value, gradient, curvature = evaluate(m)
+        return value + ridge / 2 * float(m @ m), gradient + ridge * m, curvature + ridge * np.eye(size)
+
+    m = np.zeros(size)
+    value, gradient, curvature = at(m)
+    step, length = -np.linalg.solve(curvature, gradient), 1.0
+    for _ in range(rounds - 1):
+        if np.abs(gradient).max() <= tolerance:
+            break
+        slope = float(gradient @ step)
+        trial = m + length * step
+        now = at(trial)
+        rise = float(now[1] @ step)
+        # Close to the optimum values differ by less than their sums' last digits; slopes still tell.
+        if now[0] <= value + 1e-4 * length * slope or abs(rise) <= 1e-3 * abs(slope):
+            m, (value, gradient, curvature) = trial, now
+            step, length = -np.linalg.solve(curvature, gradient), 1.0
+        else:
+            # The slope along the step only grows: its zero between the ends, but not too near to either.
+            length *= min(max(slope / (slope - rise), 0.02), 0.5)
+    return m, float(np.abs(gradient).max())
+
+
+def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ridge: float = 1e-6,
+             rounds: int = 100, low: Column | float = 0.0, high: float = 8.0,
+             tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, key, tokens, posteriors (in the order of ``targets``), rate, copies.
 
     ``labelled`` has doc_id and domain; ``targets`` gives each domain's share of all tokens, scaled to sum 1.
+    Targets that the bounds allow are met up to ``tolerance`` and ``ridge`` times a multiplier; others as near as
+    least squares come.  ``rounds`` bounds the aggregations; a warning tells when they end before the tolerance.
     ``low`` may be an expression over ``posteriors``.  ``copies`` rounds the rate up or down by a hash of
     the document, so that its expectation is the rate.  A missing text is empty, has no tokens and rate 1;
     rows are taken one by one, so repeated rows get the same rate; further columns are ignored.  Without
@@ -105,36 +142,49 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ri
         "doc_id", "key", "tokens", F.transform("odds", lambda v: v / F.col("total")).alias("posteriors")),
         "mix_posteriors")
     tokens = scored.agg(F.sum("tokens")).first()[0] or 0
-    goal = [targets[d] / weight for d in domains]
+    goal = np.array([targets[d] / weight for d in domains])
     low_column = low if isinstance(low, Column) else F.lit(float(low))
-    # The curvature is at most max_k share_k + ridge, in the metric of token weights.
-    step = 1.0 / (1.0 + ridge)
-    pending: list[list[float]] = []
-    sums = [F.expr(f"sum(tokens * get(posteriors, {k}) * rate)") for k in range(len(domains))]
-
-    def rate() -> Column:
-        """The kept rate moved by the residuals since; every step names the rate before it once."""
-        r = "rate"
-        for residual in pending:
-            pull = " + ".join(f"get(posteriors, {k}) * ({v!r}D)" for k, v in enumerate(residual))
-            r = f"({r}) * {1.0 - step * ridge!r}D + {step * ridge!r}D - {step!r}D * ({pull})"
-            r = f"least(greatest({r}, low), {float(high)!r}D)"
-        return F.expr(r)
-
-    rows = scored.withColumn("low", low_column.cast("double")).withColumn(
-        "rate", F.least(F.greatest(F.lit(1.0), F.col("low")), F.lit(float(high))))
-    for _ in range(rounds if tokens else 0):
-        if len(pending) == KEPT_STEPS:
-            rows = stage(rows.withColumn("rate", rate()), "mix_rates")
-            pending = []
-        now = rows.withColumn("rate", rate()).agg(*sums).first()
-        pending.append([float(s) / tokens - b for s, b in zip(now, goal, strict=True)])
-    out = rows.withColumn("rate", F.when(F.col("tokens") > 0, rate()).otherwise(1.0))
+    rows = scored.withColumn("low", low_column.cast("double"))
+    size = len(domains)
+    pairs = [(k, j) for k in range(size) for j in range(k, size)]
+
+    def moved(m: np.ndarray) -> Column:
+        return F.expr("1D + " + " + ".join(f"get(posteriors, {k}) * ({float(v)!r}D)" for k, v in enumerate(m)))
+
+    def bounded(rate: Column) -> Column:
+        return F.least(F.greatest(rate, F.col("low")), F.lit(float(high)))
+
+    def evaluate(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        at = rows.select("tokens", "posteriors", "low", moved(m).alias("y")).withColumn("r", bounded(F.col("y")))
+        free = "CASE WHEN y > low AND y < " + f"{float(high)!r}D THEN tokens ELSE 0 END"
+        sums = at.withColumn("free", F.expr(free)).agg(
+            F.expr("sum(tokens * r * (y - r / 2))"),
+            *[F.expr(f"sum(tokens * get(posteriors, {k}) * r)") for k in range(size)],
+            *[F.expr(f"sum(free * get(posteriors, {k}) * get(posteriors, {j}))") for k, j in pairs]).first()
+        value, *sums = (float(s) / tokens for s in sums)
+        curvature = np.zeros((size, size))
+        for (k, j), v in zip(pairs, sums[size:], strict=True):
+            curvature[k, j] = curvature[j, k] = v
+        return value - float(goal @ m), np.array(sums[:size]) - goal, curvature
+
+    m = np.zeros(size)
+    if tokens:
+        m, left = solve(evaluate, size, ridge, rounds, tolerance)
+        if left > tolerance:
+            logging.getLogger(__name__).warning("mix: %.1e of the tokens left after %d rounds", left, rounds)
+    out = rows.withColumn("rate", F.when(F.col("tokens") > 0, bounded(moved(m))).otherwise(1.0))
     dice = F.pmod(F.xxhash64("doc_id", "key", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
     return out.select("doc_id", "key", "tokens", "posteriors", "rate",
                       F.floor(F.col("rate") + dice).cast("int").alias("copies"))
 
 
+def reached_shares(mix: DataFrame, targets: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Domain -> expected tokens of a mix as a share of all tokens before mixing, and its target."""
+    sums = [F.expr(f"sum(tokens * rate * get(posteriors, {k})) / sum(tokens)") for k in range(len(targets))]
+    weight = sum(targets.values())
+    return {d: (s or 0.0, t / weight) for s, (d, t) in zip(mix.agg(*sums).first(), targets.items(), strict=True)}
+
+
 def labelled_domains(docs: DataFrame, labels: DataFrame, poor: str = "poor") -> DataFrame:
     """doc_id, domain of labelled documents: the language of good ones, ``poor`` for the others."""
     known = labels.where(F.col("quality").isin(0, 1)).select(
