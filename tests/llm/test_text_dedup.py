@@ -184,6 +184,39 @@ def test_later_copies_are_cut_and_characters_stay_whole(spark):
     assert set(left[6].text) <= {"ü"}
 
 
+def test_repeated_rows_keep_what_they_share_with_others(spark):
+    """Rows of one id (or none) and one text are one text: the first copy of a passage stays, once."""
+    rng = random.Random(31)
+    passage, own = " ".join(words(rng, 70)), [" ".join(words(rng, 60)) for _ in range(5)]
+    first = own[0] + " " + passage + " " + own[1]
+    missing = own[3] + " " + own[4] + " " + own[3]
+    for texts in ([(1, first), (1, first), (2, own[2] + passage)], [(None, missing), (None, missing)]):
+        docs = documents(spark, texts)
+        once = dict(texts)
+        left = Counter((r.doc_id, r.text) for r in repeats.drop_later_copies(docs).collect())
+        want = {}
+        for i, hit in covered(list(once.items()), keep_first=True).items():
+            want[i] = np.frombuffer(once[i].encode(), np.uint8)[~hit].tobytes().decode()
+        assert left == Counter((i, want[i]) for i, _ in texts)
+
+
+def test_one_id_with_several_texts(spark):
+    """Texts are told apart by text: an unlike one neither goes nor links with the other of its id."""
+    rng = random.Random(32)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    texts = [(4, a), (4, b), (5, b + " more"), (9, a + " more"), (9, c), (9, c + " more"), (11, d), (12, d),
+             (None, a), (None, a)]
+    docs = documents(spark, texts)
+    rows = near_dup.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter({
+        (4, 4, True): 2, (5, 4, False): 1, (9, 4, False): 1, (9, 9, True): 2, (11, 11, True): 1, (12, 11, False): 1,
+        (None, None, True): 2})
+    left = near_dup.keep_one_of_each(docs)
+    assert left.columns == docs.columns
+    found = Counter((r.doc_id, r.text.removesuffix(" more")) for r in left.collect())
+    assert found == Counter({(4, a): 1, (4, b): 1, (9, c): 1, (11, d): 1, (None, a): 2})
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     assert near_dup.near_duplicates(docs).collect() == []

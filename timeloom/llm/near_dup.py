@@ -18,6 +18,7 @@ bucket is so either checked, already connected, or ruled out.  Checks are on who
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -76,7 +77,7 @@ def _word_hash() -> Memo:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and its table keys."""
+    """doc_id, key (a hash of the text), n_shingles, a 128-bit digest of the set, and its table keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_hash()
@@ -89,12 +90,18 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(table_keys(found) if len(found) else np.empty(0, np.int64))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))),
-            ], names=["doc_id", "n_shingles", "digest", "keys"])
+            ], names=["doc_id", "key", "n_shingles", "digest", "keys"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"),
+                         _text_key("text").alias("key"))
+    return source.mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, keys array<long>")
+
+
+def _text_key(text: str) -> Column:
+    """A hash of a text; a missing one has none."""
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
 
 
 def _alike(n: str, m: str, percent: int):
@@ -224,29 +231,70 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept.  Rows that share a doc_id each come back; with different texts they are told apart by text.
     Other columns are ignored, whatever their names; an empty table gives no rows.
     """
+    return _judged(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, kept, component (its number; NULL without words)."""
     made = stage(signatures(docs), "signatures")
     sets = made.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = sets.groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    edges = links(classes.select("node", "n", "keys"), docs, percent)
-    known = sets.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    several = stage(sets.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where(
+        "low != high").select("doc_id"), "ids_of_several_texts")
+    told_apart = not is_empty(several)
+    if told_apart:
+        # An id with several sets does not name one; such a set is found by id and text, and numbered by its digest.
+        marked = sets.join(if_small(several.withColumn("shared", F.lit(True))), "doc_id", "left").withColumn(
+            "shared", F.coalesce("shared", F.lit(False)))
+        classes = marked.groupBy("digest").agg(
+            F.min(F.struct("shared", "doc_id", "key")).alias("head"), F.min("doc_id").alias("least_id"),
+            F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        classes = stage(classes.withColumn("node", F.when(F.col("head.shared"), F.xxhash64("digest")).otherwise(
+            F.col("head.doc_id"))), "classes")
+        # Rows of a shared id that stand for no class have no number.
+        named = classes.where("head.shared").select("head.doc_id", "head.key", "node")
+        texts = texts.withColumn("key", _text_key("text")).join(
+            if_small(several.withColumn("shared", F.lit(True))), "doc_id", "left").join(
+            if_small(named), ["doc_id", "key"], "left").select(
+            F.when(F.col("shared"), F.col("node")).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    else:
+        classes = sets.groupBy("digest").agg(
+            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        classes = classes.withColumn("least_id", F.col("node"))
+    edges = links(classes.select("node", "n", "keys"), texts, percent)
+    known = classes.select("digest", "node", "least_id")
     if edges is not None:
         known = known.join(connected(edges), "node", "left").select(
-            "digest", F.coalesce("component", "node").alias("component"))
+            "digest", "least_id", F.coalesce("component", "node").alias("component"))
     else:
         known = known.withColumnRenamed("node", "component")
+    if told_apart:
+        ids = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        known = known.drop("least_id").join(ids, "component")
+    else:
+        known = known.drop("least_id").withColumn("component_id", F.col("component"))
     out = made.drop("keys").join(known, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "key", "n_shingles", own.alias("component_id"), "component").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents without those linked to one of a smaller id, with all their columns."""
-    gone = stage(near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    out = docs.join(if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The documents without those linked to one of a smaller id, with all their columns.
+
+    Of rows with one id and texts that are linked one stays; texts that are not linked all stay.
+    """
     again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if is_empty(again):
-        return out
-    known = F.col("doc_id").isNotNull()
-    return out.where(known).dropDuplicates(["doc_id"]).union(out.where(~known))
+        gone = stage(near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+        return docs.join(if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    judged = stage(_judged(docs, percent).where(F.col("doc_id").isNotNull()).select(
+        "doc_id", "key", "kept", F.coalesce("component", "key").alias("component")), "judged")
+    stay = judged.where("kept").groupBy("doc_id", "component").agg(F.min("key").alias("key"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & _text_key("d.text").eqNullSafe(F.col("s.key"))
+    known = docs.where(F.col("doc_id").isNotNull())
+    # One row of each id and text, by names that no column has.
+    key = f"_{uuid.uuid4().hex}"
+    left = known.alias("d").join(stage(stay, "stay").alias("s"), same, "left_semi")
+    left = left.withColumn(key, _text_key("text")).dropDuplicates(["doc_id", key]).drop(key)
+    return left.union(docs.where(F.col("doc_id").isNull()))

@@ -153,10 +153,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _with_text(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, doc_id, text of the given nodes (node, doc_id, key)."""
+    """node, doc_id, text of the given nodes (node, doc_id, key, again), one row each.
+
+    ``again`` marks nodes whose id and text stand on several rows.
+    """
     same = F.col("n.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("n.key") == F.col("d.key"))
     found = keyed(docs).alias("d").join(if_small(nodes).alias("n"), same)
-    return found.select("n.node", "n.doc_id", "d.text")
+    once = found.where(~F.col("n.again")).select("n.node", "n.doc_id", "d.text")
+    if is_empty(nodes.where("again")):
+        return once
+    several = found.where("n.again").select("n.node", "n.doc_id", "d.text").dropDuplicates(["node"])
+    return once.union(several)
 
 
 _CONTEXT = "anchor long, low int, high int, node long, doc_id long, pos int, left int, context binary"
@@ -189,7 +196,7 @@ def _contexts(nodes: DataFrame, shared: DataFrame, docs: DataFrame) -> DataFrame
                 ], names=["anchor", "low", "high", "node", "doc_id", "pos", "left", "context"])
 
     chosen = stage(places.join(nodes, "node"), "repeat_places")
-    texts = _with_text(chosen.select("node", "doc_id", "key"), docs)
+    texts = _with_text(chosen.select("node", "doc_id", "key", "again"), docs)
     joined = texts.join(chosen.select("node", "places"), "node")
     return joined.select("node", "doc_id", "text", "places").mapInArrow(run, _CONTEXT)
 
@@ -379,7 +386,10 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     heads = stage(heads, "repeat_heads")
     crowded = stage(heads.where(F.col("spans") > GROUP).select(F.col("hash").alias("anchor")).distinct(),
                     "crowded")
-    nodes = made.select("node", "doc_id", "key")
+    again = copies.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), F.min("head").alias("head")).where("rows > 1")
+    again = again.select(F.col("head").alias("node"), F.lit(True).alias("twice")).distinct()
+    nodes = made.select("node", "doc_id", "key").join(if_small(stage(again, "repeat_rows")), "node", "left").select(
+        "node", "doc_id", "key", F.coalesce("twice", F.lit(False)).alias("again"))
     contexts = stage(_contexts(nodes, heads.select("node", "pos", "hash"), docs), "repeat_contexts")
     few = if_small(crowded)
     found = [_resolve_groups(contexts.join(few, "anchor", "left_anti"), keep_first)]
