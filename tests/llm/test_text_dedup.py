@@ -108,6 +108,14 @@ def test_missing_probability_of_banding():
     assert hits >= 198
 
 
+def test_banding_follows_the_threshold():
+    assert near_dup.collection(85) == near_dup.collection(90) == near_dup.collection(100) == 10
+    for percent in (30, 50, 70, 80, 85, 95):
+        assert 2 * (1 - (percent / 100) ** near_dup.TUPLE) ** near_dup.collection(percent) <= near_dup.MISS
+    x = np.arange(1, 200, dtype=np.uint64)
+    assert len(set(near_dup.table_keys(x, near_dup.collection(80)).tolist())) == 14 ** 2
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, b) for b in range(101, 140)] + [

@@ -2,11 +2,11 @@
 
 Word shingles of a text are hashed; a text's candidates are the texts that share a table key with
 it.  A key of a banded minhash index takes several minhashes, and many tables are needed, so minhashes
-dominate.  Here two small collections of ``COLLECTION`` tuples of ``TUPLE`` minhashes each are computed
-and every pair of a tuple of the first and one of the second makes a table key: COLLECTION**2 tables
-from 2 * COLLECTION * TUPLE minhashes (Christiani 2017; Dahlgaard, Knudsen and Thorup 2017).  A
-pair of similarity s is missed with probability at most 2 * (1 - s**TUPLE)**COLLECTION: 1.5e-4 at 0.85,
-2e-6 at 0.9.
+dominate.  Here two small collections of c tuples of ``TUPLE`` minhashes each are computed
+and every pair of a tuple of the first and one of the second makes a table key: c**2 tables
+from 2 * c * TUPLE minhashes (Christiani 2017; Dahlgaard, Knudsen and Thorup 2017).  A
+pair of similarity s is missed with probability at most 2 * (1 - s**TUPLE)**c.  c is ``COLLECTION`` or, for
+lower thresholds, as many more as keep that below ``MISS`` at the threshold: 14 for 0.8.
 
 Texts with equal shingle sets are one node.  A table bucket is not expanded into its pairs: its most
 connected member is checked against all others and taken out; buckets whose members are by then in
@@ -18,8 +18,10 @@ bucket is so either checked, already connected, or ruled out.  Checks are on who
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -34,13 +36,26 @@ from timeloom.plans.session import stage
 
 SHINGLE = 5
 TUPLE, COLLECTION = 3, 10
+#: Probability that a pair at the threshold shares no table key, at most.
+MISS = 1.5e-4
 #: Steps in which buckets lose their most connected member before the exact join.
 STAR_STEPS = 3
-_MIN_MUL = odd_numbers(101, 2 * COLLECTION * TUPLE)
-_MIN_XOR = odd_numbers(103, 2 * COLLECTION * TUPLE)
 _PLACE = odd_numbers(107, SHINGLE)
 _FOLD = odd_numbers(109, TUPLE)
-_TABLE = odd_numbers(113, COLLECTION * COLLECTION)
+
+
+def collection(percent: int) -> int:
+    """Tuples of each collection for a threshold in per cent."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be above 0 and at most 100: {percent}")
+    apart = 1 - (percent / 100) ** TUPLE
+    return COLLECTION if not apart else max(COLLECTION, math.ceil(math.log(MISS / 2) / math.log(apart)))
+
+
+@lru_cache
+def _hashing(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and masks of the minhashes, and masks of the tables."""
+    return odd_numbers(101, 2 * size * TUPLE), odd_numbers(103, 2 * size * TUPLE), odd_numbers(113, size * size)
 
 
 def shingle_set(text: bytes, memo: Memo) -> np.ndarray:
@@ -61,23 +76,25 @@ def shingle_set(text: bytes, memo: Memo) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def table_keys(shingles: np.ndarray) -> np.ndarray:
-    """The COLLECTION**2 table keys of a set."""
-    least = np.full(len(_MIN_MUL), np.iinfo(np.uint64).max)
+def table_keys(shingles: np.ndarray, size: int = COLLECTION) -> np.ndarray:
+    """The size**2 table keys of a set."""
+    factors, masks, tables = _hashing(size)
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 4096):
-        x = (shingles[at:at + 4096, None] ^ _MIN_XOR) * _MIN_MUL
+        x = (shingles[at:at + 4096, None] ^ masks) * factors
         least = np.minimum(least, (x ^ x >> np.uint64(29)).min(axis=0))
-    tuples = (mix64(least.reshape(2, COLLECTION, TUPLE)) * _FOLD).sum(axis=2)
+    tuples = (mix64(least.reshape(2, size, TUPLE)) * _FOLD).sum(axis=2)
     pairs = mix64(tuples[0])[:, None] + mix64(tuples[1] * _FOLD[0])[None, :]
-    return mix64(pairs.reshape(-1) ^ _TABLE).view(np.int64)
+    return mix64(pairs.reshape(-1) ^ tables).view(np.int64)
 
 
 def _word_hash() -> Memo:
     return Memo(xxhash.xxh64_intdigest)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, a 128-bit digest of the set, and its table keys."""
+    size = collection(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_hash()
@@ -87,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 found = shingle_set(text, memo)
                 sizes.append(len(found))
                 digests.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(table_keys(found) if len(found) else np.empty(0, np.int64))
+                keys.append(table_keys(found, size) if len(found) else np.empty(0, np.int64))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
@@ -236,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, key, n_shingles, component_id, kept, component (its number; NULL without words)."""
-    made = stage(signatures(docs), "signatures")
+    made = stage(signatures(docs, percent), "signatures")
     sets = made.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     several = stage(sets.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where(
