@@ -294,6 +294,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in found} == brute_force(rows, 20) and len(found) == len({tuple(r) for r in found})
 
 
+def test_repeated_own_rows_take_no_places():
+    best = topk.Best(np.array([50]), np.array([[1.0]]), 3)
+    best.add(np.array([1, 2, 3, 4, 50, 50, 50]), np.array([[5.0, 4.0, 3.0, 2.0, 9.0, 9.0, 9.0]]))
+    scores, keys = best.found[0]
+    assert (keys.tolist(), scores.tolist()) == ([1, 2, 3], [5.0, 4.0, 3.0])
+
+
 def test_pruning_changes_nothing(monkeypatch):
     monkeypatch.setattr(topk, "DENSE", 1.01)
     rng = np.random.default_rng(5)

@@ -73,8 +73,9 @@ class Best:
                 sums, columns, norms, keys = sums[:, alive], columns[:, alive], norms[:, alive], keys[alive]
             if not len(keys):
                 return
-        k = self.k + 1  # one more, as the query's own row may be among them
-        least = bound
+        # Rows with the query's own key, however many, must not take places of others.
+        sums[self.keys[group][:, None] == keys[None, :]] = -np.inf
+        k, least = self.k, bound
         if len(keys) > k:
             least = np.maximum(bound, np.partition(sums, len(keys) - k, axis=1)[:, len(keys) - k])
         row, column = np.nonzero(sums >= least[:, None])
