@@ -90,35 +90,42 @@ def solve(evaluate, size: int, ridge: float, rounds: int, tolerance: float) -> t
     """Multipliers at which gradient + ridge * m = 0, and the largest part of that equation which is left.
 
     ``evaluate(m)`` gives value, gradient and curvature of the dual without the ridge, which is convex; it is
-    called at most ``rounds`` times.  A Newton step is shortened until the dual falls enough.
+    called at most ``rounds`` times.  A Newton step is shortened until the dual falls enough.  The ridge falls by
+    tenths to its value, as multipliers of targets out of reach grow with its inverse.
     """
 
-    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        value, gradient, curvature = evaluate(m)
-        return value + ridge / 2 * float(m @ m), gradient + ridge * m, curvature + ridge * np.eye(size)
-
-    m = np.zeros(size)
-    value, gradient, curvature = at(m)
-    step, length = -np.linalg.solve(curvature, gradient), 1.0
-    for _ in range(rounds - 1):
-        if np.abs(gradient).max() <= tolerance:
+    m, used, weight, left = np.zeros(size), 0, 1.0, np.inf
+    while weight > ridge or left > tolerance:
+        weight = max(0.1 * weight, ridge)
+
+        def at(m: np.ndarray, weight=weight) -> tuple[float, np.ndarray, np.ndarray]:
+            value, gradient, curvature = evaluate(m)
+            return value + weight / 2 * float(m @ m), gradient + weight * m, curvature + weight * np.eye(size)
+
+        value, gradient, curvature = at(m)
+        used += 1
+        step, length = -np.linalg.solve(curvature, gradient), 1.0
+        while np.abs(gradient).max() > (tolerance if weight == ridge else 1e-2) and used < rounds:
+            slope = float(gradient @ step)
+            trial = m + length * step
+            now = at(trial)
+            used += 1
+            rise = float(now[1] @ step)
+            # Close to the optimum values differ by less than their sums' last digits; slopes still tell.
+            if now[0] <= value + 1e-4 * length * slope or abs(rise) <= 1e-3 * abs(slope):
+                m, (value, gradient, curvature) = trial, now
+                step, length = -np.linalg.solve(curvature, gradient), 1.0
+            else:
+                # The slope along the step only grows: its zero between the ends, but not too near to either.
+                length *= min(max(slope / (slope - rise), 0.02), 0.5)
+        left = float(np.abs(gradient + (ridge - weight) * m).max())
+        if used >= rounds:
             break
-        slope = float(gradient @ step)
-        trial = m + length * step
-        now = at(trial)
-        rise = float(now[1] @ step)
-        # Close to the optimum values differ by less than their sums' last digits; slopes still tell.
-        if now[0] <= value + 1e-4 * length * slope or abs(rise) <= 1e-3 * abs(slope):
-            m, (value, gradient, curvature) = trial, now
-            step, length = -np.linalg.solve(curvature, gradient), 1.0
-        else:
-            # The slope along the step only grows: its zero between the ends, but not too near to either.
-            length *= min(max(slope / (slope - rise), 0.02), 0.5)
-    return m, float(np.abs(gradient).max())
+    return m, left
 
 
 def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ridge: float = 1e-6,
-             rounds: int = 100, low: Column | float = 0.0, high: float = 8.0,
+             rounds: int = 200, low: Column | float = 0.0, high: float = 8.0,
              tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, key, tokens, posteriors (in the order of ``targets``), rate, copies.
 
