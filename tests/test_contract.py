@@ -38,7 +38,7 @@ def test_names():
 
 def test_entry(spark):
     df = contract.entry(spark)
-    assert df.columns == ["ts", "click", "error", "purchase", "signup", "view"]
+    assert df.columns == ["line", "timestamp", "click", "error", "purchase", "signup", "view"]
     assert df.count() > 0
 
 
