@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.llm import (
+    fim,
     licenses,
     lm,
     mixing,
     near_dup,
     packing,
+    prefix_trie,
     quality,
     repeats,
+    rotated_codes,
     token_files,
     topk,
     toxicity,
@@ -77,9 +80,27 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_openings(lists)).withColumn(
+        "depth", F.col("depth").cast("long"))
+
+
+def op13_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_curve_packing, op2_maxent_scores, op3_near_duplicates, op4_quality_rules, op5_toxicity,
-    op6_repeated_passages, op7_top_k, op8_soft_mix, op9_token_files, op10_licenses,
+    op6_repeated_passages, op7_top_k, op8_soft_mix, op9_token_files, op10_licenses, op11_fill_in_middle,
+    op12_prefix_trie, op13_rotated_codes,
 )}
 
 

@@ -44,6 +44,72 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+FILL_IN_MIDDLE = """
+WITH parts AS (
+  SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS p,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), cut AS (
+  SELECT doc_id, t, list_filter(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || chr(10) ELSE x END),
+      lambda x: x <> '') AS l,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || d[i:i + 7])::BIGINT) AS h FROM parts
+), ranks AS (
+  SELECT *, len(l) AS n, least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS low,
+    greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100
+      THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), pieces AS (
+  SELECT *, array_to_string(l[1:low], '') AS pre, array_to_string(l[low + 1:high], '') AS mid,
+    array_to_string(l[high + 1:], '') AS suf FROM ranks
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM pieces
+"""
+
+
+def _crc32(text: str) -> str:
+    """The crc32 of a short ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)"
+    bit = "CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, x: {byte}), 4294967295)"
+
+
+PREFIX_TRIE = f"""
+WITH own AS (
+  SELECT conv_id, list({{'d': d, 'n': n}} ORDER BY turn NULLS FIRST, d) AS l FROM (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS n,
+      md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+    FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+), drawn AS (SELECT conv_id, l, ({_crc32('conv_id::VARCHAR')} % 9)::BIGINT AS h FROM own
+), built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.l, [])[1:h], o.l[h + 1:]) AS p
+  FROM drawn o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, len(p) AS whole, depth, list_transform(p[1:depth], lambda x: x.d) AS path,
+    CASE WHEN depth = 0 THEN 0 ELSE p[depth].n END AS size
+  FROM built, unnest(range(0, len(p) + 1)) AS u(depth)
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = depth), '') AS ends
+  FROM prefixes GROUP BY path, depth
+), children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), sums AS (
+  SELECT n.path[1:up] AS path, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS leaves,
+    sum((n_convs - 1) * size) AS saved
+  FROM nodes n LEFT JOIN children c ON n.path = c.path, unnest(range(0, n.depth + 1)) AS u(up) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(c.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums ON n.path = sums.path LEFT JOIN children c ON n.path = c.path
+LEFT JOIN nodes up ON n.depth > 0 AND up.path = n.path[1:n.depth - 1]
+"""
+
+
 def _values(rows: list[str]) -> str:
     return ", ".join(rows)
 
@@ -85,4 +151,5 @@ FROM words w LEFT JOIN base ON w.doc_id = base.doc_id LEFT JOIN more ON w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": NEAR_DUPLICATES, "op7_top_k": TOP_K, "op10_licenses": _licenses()}
+    return {"op3_near_duplicates": NEAR_DUPLICATES, "op7_top_k": TOP_K, "op10_licenses": _licenses(),
+            "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_prefix_trie": PREFIX_TRIE}
