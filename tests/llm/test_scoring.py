@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timeloom.llm import licenses, lm, mixing, quality, topk, toxicity
+from timeloom.llm import licenses, lm, mixing, pairing, quality, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, label int, rate int, stratum string, `row` int"
 
@@ -283,7 +283,8 @@ def brute_force(rows, k):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(pairing, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(pairing, "SHARD_ROWS", 50)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=40).round(2).tolist()) for i in range(400)]
     rows += [(i, rows[0][1]) for i in range(400, 440)]  # ties

@@ -5,8 +5,8 @@ block of dimensions by block; after each block a candidate's best possible score
 the product of what is left of both lengths (Cauchy and Schwarz), and candidates that can no longer reach
 any query's k-th best are taken out, so later blocks work on compacted columns (de Vries et al. 2002).
 
-Candidates stay where they are read.  Queries go to them in blocks of bounded size; each task returns
-its best k of every query, and these are merged.
+Blocks of queries meet shards of candidates in the cells of a shuffle (:mod:`timeloom.llm.pairing`); each
+cell returns its best k of every query, and these are merged.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.llm.pairing import matrix, meet
 from timeloom.plans.session import stage
 
-#: Queries sent at once, queries that share bounds, dimensions summed between two bounds, candidates.
-QUERY_BLOCK, QUERY_GROUP, DIMENSION_BLOCK, CANDIDATES = 16_384, 128, 16, 8192
+#: Queries that share bounds, dimensions summed between two bounds, candidates.
+QUERY_GROUP, DIMENSION_BLOCK, CANDIDATES = 128, 16, 8192
 #: Share of candidates still alive above which compacting does not pay.
 DENSE = 0.8
 
@@ -94,61 +95,57 @@ class Best:
                 self.bound[at] = s[order[-1]]
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the vectors and their components in a row."""
-    offsets = column.offsets.to_numpy()
-    return np.diff(offsets), column.values.to_numpy()[offsets[0]:offsets[-1]]
+class _Cell:
+    """The best of the queries of a cell, by length of the vectors."""
+
+    def __init__(self, held: list[pa.RecordBatch], k: int):
+        self.best: dict[int, Best] = {}
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for length, keys, columns in _by_length(table):
+            self.best[length] = Best(keys, columns, k)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for first in range(0, len(batch), CANDIDATES):
+            for length, keys, columns in _by_length(batch.slice(first, CANDIDATES)):
+                if length in self.best:
+                    self.best[length].add(keys, columns)
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        for best in self.best.values():
+            sizes = [len(keys) for _, keys in best.found]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(best.keys, sizes)),
+                pa.array(np.concatenate([keys for _, keys in best.found])),
+                pa.array(np.concatenate([scores for scores, _ in best.found]).astype(np.int64)),
+            ], names=["query_id", "vec_id", "score"])
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, ascending keys, and the vectors as columns."""
+    keys = batch.column(0).to_numpy()
+    lengths, flat = matrix(batch.column(1))
+    starts = np.cumsum(lengths) - lengths
+    for length in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == length)
+        rows = rows[np.argsort(keys[rows], kind="stable")]
+        yield length, keys[rows], flat[starts[rows] + np.arange(length)[:, None]]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding",
           key: str = "vec_id", scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query its k best other rows, exactly.
 
-    Scores are inner products of floor(scale * x).  Ties go to the smaller key.  Vectors that are missing
+    Scores are inner products of floor(scale * x), summed as doubles: exact as long as the lengths of two
+    such vectors multiply to less than 2**53.  Ties go to the smaller key.  Vectors that are missing
     or have missing or non-finite components, and rows without key, take no part; vectors of another
     length than the query's are no candidates for it.  Rows with the query's own key are left out; rows
-    that repeat another key are candidates each, and a repeated query row is one query.
+    that repeat another key are candidates each.  Of rows that repeat a query's key the smallest vector
+    asks, once.  Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    data = quantized(vectors, vector, key, scale)
-    queries = stage(quantized(vectors.where(is_query), vector, key, scale).distinct(), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        sent = queries.where(F.col("block") == block).toPandas()  # about QUERY_BLOCK rows
-        by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lengths = sent["v"].map(len)
-        for length in lengths.unique():
-            these = sent[lengths == length].sort_values("key").drop_duplicates("key")
-            by_length[int(length)] = (these["key"].to_numpy(np.int64),
-                                      np.array(these["v"].tolist()).reshape(-1, length).T.copy())
-        held = spark.sparkContext.broadcast(by_length)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            best = {length: Best(*q, k) for length, q in held.value.items()}
-            for batch in batches:
-                for first in range(0, len(batch), CANDIDATES):
-                    part = batch.slice(first, CANDIDATES)
-                    keys = part.column(0).to_numpy()
-                    lengths, flat = _matrix(part.column(1))
-                    starts = np.cumsum(lengths) - lengths
-                    for length, state in best.items():
-                        rows = np.flatnonzero(lengths == length)
-                        if len(rows):
-                            rows = rows[np.argsort(keys[rows], kind="stable")]
-                            state.add(keys[rows], flat[starts[rows] + np.arange(length)[:, None]])
-            for state in best.values():
-                sizes = [len(c) for _, c in state.found]
-                if sum(sizes):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(state.keys, sizes)),
-                        pa.array(np.concatenate([c for _, c in state.found])),
-                        pa.array(np.concatenate([s for s, _ in state.found]).astype(np.int64)),
-                    ], names=["query_id", "vec_id", "score"])
-
-        found = data.mapInArrow(run, "query_id long, vec_id long, score long")
-        out = found if out is None else out.union(found)
+    data = stage(quantized(vectors, vector, key, scale), "vectors")
+    queries = stage(quantized(vectors.where(is_query), vector, key, scale).groupBy("key").agg(
+        F.min("v").alias("v")), "queries")
+    found = meet(queries, data, lambda held: _Cell(held, k), "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
