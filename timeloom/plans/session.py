@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ MAX_LOOKUP_ROWS = 100_000
 
 _local_scratch: dict[str, str] = {}
 _staged: list[str] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def build_session(name: str = "timeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,17 +63,35 @@ def stage(df: DataFrame, label: str = "stage", path: str | None = None) -> DataF
     target = path or fresh_path(df.sparkSession, label)
     _staged.append(target)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+    kept = df.sparkSession.read.schema(df.schema).parquet(target)
+    _path_of[kept] = target
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(files.delete(folder, True))
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again: what was made of them is staged itself.
+
+    The tables are those that :func:`stage` returned; others are left alone.
+    """
+    for table in tables:
+        path = _path_of.pop(table, None)
+        if path is not None:
+            _staged.remove(path)
+            _delete(table.sparkSession, path)
 
 
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables this process staged, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
     while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        done += bool(path.getFileSystem(conf).delete(path, True))
+        done += _delete(spark, _staged.pop())
+    _path_of.clear()
     return done
 
 
