@@ -97,23 +97,27 @@ def test_near_duplicate_rows_without_id_and_repeated(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter({None: 2, 4: 1, 2: 1})
 
 
-def test_missing_probability_of_banding():
+@pytest.mark.parametrize(("percent", "shared", "others"), [(85, 300, 12), (80, 290, 22)])
+def test_missing_probability_of_banding(percent, shared, others):
     """The share of table collisions follows the similarity."""
     rng = np.random.default_rng(1)
     hits = 0
     for _ in range(200):
         x = rng.integers(0, 2**63, 340, dtype=np.uint64)
-        y = np.concatenate([x[:300], rng.integers(0, 2**63, 12, dtype=np.uint64)])  # 300 / 352 = 0.852
-        hits += bool((near_dup.table_keys(np.sort(x)) == near_dup.table_keys(np.sort(y))).any())
+        y = np.concatenate([x[:shared], rng.integers(0, 2**63, others, dtype=np.uint64)])  # 0.852, 0.801
+        keys = [near_dup.table_keys(np.sort(v), *near_dup.shape(percent)) for v in (x, y)]
+        hits += bool((keys[0] == keys[1]).any())
     assert hits >= 198
 
 
 def test_banding_follows_the_threshold():
-    assert near_dup.collection(85) == near_dup.collection(90) == near_dup.collection(100) == 10
+    assert near_dup.shape(85) == near_dup.shape(90) == near_dup.shape(100) == (3, 10)
+    assert near_dup.shape(80) == (2, 10)
     for percent in (30, 50, 70, 80, 85, 95):
-        assert 2 * (1 - (percent / 100) ** near_dup.TUPLE) ** near_dup.collection(percent) <= near_dup.MISS
+        t, size = near_dup.shape(percent)
+        assert 2 * (1 - (percent / 100) ** t) ** size <= near_dup.MISS
     x = np.arange(1, 200, dtype=np.uint64)
-    assert len(set(near_dup.table_keys(x, near_dup.collection(80)).tolist())) == 14 ** 2
+    assert len(set(near_dup.table_keys(x, *near_dup.shape(80)).tolist())) == 10 ** 2
 
 
 def test_components(spark):

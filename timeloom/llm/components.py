@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.plans.session import stage
+from timeloom.plans.session import release, stage
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,8 @@ def connected(edges: DataFrame) -> DataFrame:
         new = stage(new.join(jump, "next").select(
             "node", F.least("next", "far").alias("component"),
             (F.least("next", "far") != F.col("component")).alias("moved")), "labels")
+        release(labels)
+        labels = new
         if not new.where("moved").take(1):
+            release(both)
             return new.select("node", "component")
-        labels = new.select("node", "component")

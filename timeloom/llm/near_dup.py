@@ -2,11 +2,13 @@
 
 Word shingles of a text are hashed; a text's candidates are the texts that share a table key with
 it.  A key of a banded minhash index takes several minhashes, and many tables are needed, so minhashes
-dominate.  Here two small collections of c tuples of ``TUPLE`` minhashes each are computed
+dominate.  Here two small collections of c tuples of t minhashes each are computed
 and every pair of a tuple of the first and one of the second makes a table key: c**2 tables
-from 2 * c * TUPLE minhashes (Christiani 2017; Dahlgaard, Knudsen and Thorup 2017).  A
-pair of similarity s is missed with probability at most 2 * (1 - s**TUPLE)**c.  c is ``COLLECTION`` or, for
-lower thresholds, as many more as keep that below ``MISS`` at the threshold: 14 for 0.8.
+from 2 * c * t minhashes (Christiani 2017; Dahlgaard, Knudsen and Thorup 2017).  A
+pair of similarity s is missed with probability at most 2 * (1 - s**t)**c for tuples of t.  Tuples are as long
+as ``COLLECTION`` of them keep that below ``MISS`` at the threshold: 3 for 0.85, 2 for 0.8 (1.5e-4 and 7.3e-5).
+Single minhashes take larger collections for low thresholds.  Most keys occur once; these are counted out on
+their own before any row of a document is dealt by key.
 
 Texts with equal shingle sets are one node.  A table bucket is not expanded into its pairs: its most
 connected member is checked against all others and taken out; buckets whose members are by then in
@@ -32,30 +34,33 @@ from pyspark.sql import functions as F
 
 from timeloom.llm.common import Memo, each_text, if_small, is_empty, mix64, odd_numbers
 from timeloom.llm.components import connected
-from timeloom.plans.session import stage
+from timeloom.plans.session import release, stage
 
 SHINGLE = 5
-TUPLE, COLLECTION = 3, 10
+LONGEST_TUPLE, COLLECTION = 3, 10
 #: Probability that a pair at the threshold shares no table key, at most.
 MISS = 1.5e-4
 #: Steps in which buckets lose their most connected member before the exact join.
 STAR_STEPS = 3
 _PLACE = odd_numbers(107, SHINGLE)
-_FOLD = odd_numbers(109, TUPLE)
+_FOLD = odd_numbers(109, LONGEST_TUPLE)
 
 
-def collection(percent: int) -> int:
-    """Tuples of each collection for a threshold in per cent."""
+def shape(percent: int) -> tuple[int, int]:
+    """Minhashes of a tuple and tuples of each collection for a threshold in per cent."""
     if not 0 < percent <= 100:
         raise ValueError(f"percent must be above 0 and at most 100: {percent}")
-    apart = 1 - (percent / 100) ** TUPLE
-    return COLLECTION if not apart else max(COLLECTION, math.ceil(math.log(MISS / 2) / math.log(apart)))
+    for t in range(LONGEST_TUPLE, 0, -1):
+        apart = 1 - (percent / 100) ** t
+        if 2 * apart ** COLLECTION <= MISS:
+            return t, COLLECTION
+    return 1, math.ceil(math.log(MISS / 2) / math.log(apart))
 
 
 @lru_cache
-def _hashing(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashing(t: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Factors and masks of the minhashes, and masks of the tables."""
-    return odd_numbers(101, 2 * size * TUPLE), odd_numbers(103, 2 * size * TUPLE), odd_numbers(113, size * size)
+    return odd_numbers(101, 2 * size * t), odd_numbers(103, 2 * size * t), odd_numbers(113, size * size)
 
 
 def shingle_set(text: bytes, memo: Memo) -> np.ndarray:
@@ -76,14 +81,14 @@ def shingle_set(text: bytes, memo: Memo) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def table_keys(shingles: np.ndarray, size: int = COLLECTION) -> np.ndarray:
+def table_keys(shingles: np.ndarray, t: int = LONGEST_TUPLE, size: int = COLLECTION) -> np.ndarray:
     """The size**2 table keys of a set."""
-    factors, masks, tables = _hashing(size)
+    factors, masks, tables = _hashing(t, size)
     least = np.full(len(factors), np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 4096):
         x = (shingles[at:at + 4096, None] ^ masks) * factors
         least = np.minimum(least, (x ^ x >> np.uint64(29)).min(axis=0))
-    tuples = (mix64(least.reshape(2, size, TUPLE)) * _FOLD).sum(axis=2)
+    tuples = (mix64(least.reshape(2, size, t)) * _FOLD[:t]).sum(axis=2)
     pairs = mix64(tuples[0])[:, None] + mix64(tuples[1] * _FOLD[0])[None, :]
     return mix64(pairs.reshape(-1) ^ tables).view(np.int64)
 
@@ -94,7 +99,7 @@ def _word_hash() -> Memo:
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, a 128-bit digest of the set, and its table keys."""
-    size = collection(percent)
+    t, size = shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_hash()
@@ -104,7 +109,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 found = shingle_set(text, memo)
                 sizes.append(len(found))
                 digests.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(table_keys(found, size) if len(found) else np.empty(0, np.int64))
+                keys.append(table_keys(found, t, size) if len(found) else np.empty(0, np.int64))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
@@ -153,8 +158,9 @@ def _check(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     found = stage(found, "pair_sets")
     joined = pairs.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(
         found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    edges = joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-    return stage(edges, "links")
+    edges = stage(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    release(pairs, nodes, found)
+    return edges
 
 
 def _pairs(x: str, y: str) -> list:
@@ -164,10 +170,11 @@ def _pairs(x: str, y: str) -> list:
 def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Enough edges (a, b) between ``nodes`` (node, n, keys) to give their components."""
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    rows = stage(rows.join(shared, "key"), "buckets")
-    weight = rows.groupBy("node").agg(F.sum("members").alias("weight"))
-    rows = stage(rows.drop("members").join(weight, "node"), "buckets")
+    shared = stage(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared_keys")
+    shared_rows = stage(rows.join(if_small(shared), "key"), "buckets")
+    weight = shared_rows.groupBy("node").agg(F.sum("members").alias("weight"))
+    rows = stage(shared_rows.drop("members").join(weight, "node"), "buckets")
+    release(shared, shared_rows)
     edges = None
     for _ in range(STAR_STEPS):
         if is_empty(rows):
@@ -179,7 +186,9 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         pairs = others.where(_alike("n", "head_n", percent)).select(*_pairs("node", "head"))
         found = _check(pairs.distinct(), docs, percent)
         edges = found if edges is None else edges.union(found)
-        rows = _undecided(others.drop("head", "head_n"), connected(edges))
+        left = _undecided(others.drop("head", "head_n"), connected(edges))
+        release(rows)
+        rows = left
     if is_empty(rows):
         return edges
     pairs = _exact_pairs(rows.select("node", "n", "component").distinct(), docs, percent)
@@ -216,6 +225,7 @@ def _exact_pairs(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")
                                     ).where("low != high").select("key")
     rows = stage(rows.join(mixed, "key"), "doubtful_prefixes")
+    release(nodes, shingles)
 
     def may(x: str, y: str) -> Column:
         left = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))

@@ -27,6 +27,8 @@ from timeloom.plans.session import stage
 
 SIZES, HASH_BITS = (3, 4, 5), 18
 SHARDS, CHUNKS = 16, 64
+#: Entries that the solver looks at together.
+PIECE = 1 << 18
 _CODE = odd_numbers(127, max(SIZES))
 
 
@@ -193,29 +195,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(present, pa.binary())],
                                              names=["label", "features"])
 
-    # At most max_rows rows of at most max_features numbers.
+    # At most max_rows rows of at most max_features numbers of two bytes.
     drawn = sorted(sample.mapInArrow(project, "label int, features binary").collect())
     y = np.array([r["label"] for r in drawn], float)
-    columns = [np.frombuffer(r["features"], np.uint16) for r in drawn]
-    coefficients, intercept = _logistic(columns, y, ratio[kept], prior, penalty)
+    columns = np.frombuffer(b"".join(r["features"] for r in drawn), np.uint16)
+    lengths = np.array([len(r["features"]) // 2 for r in drawn])
+    del drawn
+    coefficients, intercept = _logistic(columns, lengths, y, ratio[kept], prior, penalty)
     weights = {int(f): float(w) for f, w in zip(kept, coefficients * ratio[kept], strict=True) if w}
     return Model(weights, intercept)
 
 
-def _logistic(columns: list[np.ndarray], y: np.ndarray, scale: np.ndarray, start: float,
+def _logistic(column: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, start: float,
               penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient for the mean logistic loss plus ``penalty`` times |w|."""
-    lengths = np.array([len(c) for c in columns])
-    column = np.concatenate(columns).astype(np.int64) if lengths.sum() else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(y)), lengths)
-    value = scale[column]
+    """Accelerated proximal gradient for the mean logistic loss plus ``penalty`` times |w|.
+
+    Row by row ``column`` has the numbers of the features present, ``lengths`` how many.  They are gone
+    through in pieces of about ``PIECE`` entries, so the work arrays stay small beside them.
+    """
+    ends = np.cumsum(lengths)
     n, k = len(y), len(scale)
+    cuts, at = [0], 0
+    while at < n:
+        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        cuts.append(min(at, n))
+    pieces = [(slice(i, j), column[ends[i] - lengths[i]:ends[j - 1]]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def forward(w):
-        return np.bincount(row, value * w[column], n)
+        scaled, out = scale * w, np.zeros(n)
+        for rows, part in pieces:
+            some = np.flatnonzero(lengths[rows])
+            starts = np.cumsum(lengths[rows])[some] - lengths[rows][some]
+            if len(some):
+                out[rows][some] = np.add.reduceat(scaled[part], starts)
+        return out
 
     def backward(r):
-        return np.bincount(column, value * r[row], k)
+        out = np.zeros(k)
+        for rows, part in pieces:
+            out += np.bincount(part, np.repeat(r[rows], lengths[rows]), k)
+        return out * scale
 
     direction = np.ones(k)
     for _ in range(12):  # the largest curvature
