@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import MEMO_WORDS, crc_of_id, each_text, if_small, mix64, odd_numbers
+from timeloom.llm.common import crc_of_id, each_text, if_small, mix64, odd_numbers, text_bytes
 from timeloom.llm.tokens import in_portions
 from timeloom.plans.session import stage
 
 SIZES, HASH_BITS = (3, 4, 5), 18
 SHARDS, CHUNKS = 16, 64
+#: Words whose features a worker remembers.
+MOST_WORDS = 100_000
 #: Entries that the solver looks at together.
 PIECE = 1 << 18
 _CODE = odd_numbers(127, max(SIZES))
@@ -58,7 +60,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class WordFeatures(dict):
     """Remembers the features of words that a table keeps (feature -> number, -1: none)."""
 
-    def __init__(self, keep: np.ndarray | None = None, most: int = MEMO_WORDS):
+    def __init__(self, keep: np.ndarray | None = None, most: int = MOST_WORDS):
         super().__init__()
         self.keep, self.most = keep, most
 
@@ -112,12 +114,12 @@ class Model:
 def score_column(model: Model, text: str = "text") -> Column:
     """A column with the score of every text; a missing text is empty."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = model.memo()
-        for texts in batches:
-            raw = (t.encode() if t is not None else b"" for t in texts)
-            yield pd.Series([s for part in in_portions(raw) for s in model.scores(part, memo)], dtype=float)
+        for column in batches:
+            texts = (text_bytes(column, i) for i in range(len(column)))
+            yield pa.array([s for part in in_portions(texts) for s in model.scores(part, memo)], pa.float64())
 
     return score(F.col(text))
 
