@@ -2,19 +2,20 @@ from __future__ import annotations
 
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from timeloom.operators.records import parse_timestamps
-from timeloom.streaming.assemble import RecordAssembler, read_log_stream, run_to_end
-from timeloom.streaming.timeline import merge_stream
+from timeloom.streaming.assemble import assemble_stream, pieces, read_log_stream, run_to_end
+from timeloom.streaming.timeline import merge_stream, merge_with_late
 
 from logs import MULTILINE, TRACEBACK
 
 BASE = datetime(2024, 1, 1)
-LINES = "file string, block_start bigint, seq bigint, ts timestamp_ntz, body string"
+LINES = "file string, block_start bigint, seq bigint, ts timestamp_ntz, body string, ends boolean"
 
 
 def feed(spark, folder, batches, schema):
@@ -24,12 +25,16 @@ def feed(spark, folder, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def assemble(spark, tmp_path, batches, **options):
-    root = str(tmp_path)
-    stream = feed(spark, f"{root}/in", batches, LINES)
-    worker = RecordAssembler(lambda df: df, f"{root}/out", f"{root}/state", **options)
-    out = run_to_end(stream, worker, f"{root}/checkpoint")
-    return out, worker
+def assemble(spark, tmp_path, batches, idle=None):
+    """All records of some batches; rows without an end mark get one that says no."""
+    full = [[(*r, False)[:6] for r in batch] for batch in batches]
+    stream = feed(spark, f"{tmp_path}/in", full, LINES)
+    return run_to_end(assemble_stream(stream, idle), f"{tmp_path}/out", f"{tmp_path}/checkpoint",
+                      timers=idle is not None)
+
+
+def end_of(*files):
+    return [(f, 9, 0, None, None, True) for f in files]
 
 
 def expected(rows):
@@ -57,51 +62,59 @@ def random_batches(seed, n=120, batches=4):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_records_over_batches_equal_the_whole(spark, tmp_path, seed):
     rows, batches = random_batches(seed)
-    out, worker = assemble(spark, tmp_path, batches)
-    assert worker.last_batch == 3
+    out = assemble(spark, tmp_path, [*batches, end_of("a", "b")])
     got = sorted((r.file, str(r.ts), r.body) for r in out.collect())
     assert got == expected(rows)
-    # A second flush has nothing left to write.
-    worker.flush(spark, worker.last_batch)
-    assert spark.read.parquet(worker.out_path).count() == len(got)
-
-
-def test_repeated_batch_changes_nothing(spark, tmp_path):
-    rows, batches = random_batches(3, 40, 2)
-    worker = RecordAssembler(lambda df: df, f"{tmp_path}/out", f"{tmp_path}/state")
-    first, second = [spark.createDataFrame(b, LINES) for b in batches]
-    for batch, number in ((first, 0), (first, 0), (second, 1), (second, 1)):
-        worker(batch, number)
-    worker.flush(spark, 1)
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted((r.file, str(r.ts), r.body) for r in got.collect()) == expected(rows)
-
-
-def test_long_open_record_is_written_in_pieces(spark, tmp_path):
-    head = [("a", 0, 0, BASE, "head"), ("b", 0, 1, BASE, "other")]
-    batches = [head] + [[("a", 0, k * 10 + i, None, f"part {k} {i}") for i in range(5)]
-                        for k in range(1, 4)]
-    batches.append([("a", 0, 99, BASE + timedelta(1), "next")])
-    out, _ = assemble(spark, tmp_path, batches, max_open_bytes=30)
-    rows = [r for r in out.collect() if r.file == "a" and r.ts == BASE]
-    rows.sort(key=lambda r: (r.piece, r.part))
-    assert len(rows) == 3 and [r.piece for r in rows] == [0, 1, 2]
-    assert "\n".join(r.body for r in rows) == "\n".join(
-        b[4] for batch in batches[:4] for b in batch if b[0] == "a")
-    assert {r.body for r in out.collect()} >= {"other", "next"}
-
-
-def test_late_records_are_set_apart(spark, tmp_path):
-    rows = [[("a", 0, 0, BASE + timedelta(hours=1), "x"),
-             ("a", 0, 1, BASE + timedelta(hours=2), "y")],
-            [("a", 0, 2, BASE + timedelta(minutes=30), "late"),
-             ("a", 0, 3, BASE + timedelta(minutes=55), "in time"),
-             ("a", 0, 4, BASE + timedelta(hours=2, minutes=1), "z")],
-            [("a", 0, 5, BASE + timedelta(hours=3), "end")]]
-    out, _ = assemble(spark, tmp_path, rows, late_after="10 minutes",
-                      late_path=f"{tmp_path}/late")
-    assert sorted(r.body for r in out.collect()) == ["end", "in time", "x", "y", "z"]
-    assert [r.body for r in spark.read.parquet(f"{tmp_path}/late").collect()] == ["late"]
+    assert {r.piece for r in out.collect()} == {0}
+
+
+def test_last_record_stays_open_until_something_ends_it(spark, tmp_path):
+    out = assemble(spark, tmp_path, [[("a", 0, 0, BASE, "x"), ("a", 0, 1, None, "y")]])
+    assert out.collect() == []
+    later = [("a", 0, 2, None, "z"), ("a", 0, 3, BASE + timedelta(1), "next")]
+    assert [tuple(r) for r in assemble(spark, tmp_path, [later]).collect()] == [("a", BASE, 0, 3, "x\ny\nz")]
+    out = assemble(spark, tmp_path, [end_of("a")])
+    assert sorted((r.ts, r.body) for r in out.collect()) == [(BASE, "x\ny\nz"), (BASE + timedelta(1), "next")]
+
+
+def test_idle_records_are_written_and_continue_as_pieces(spark, tmp_path):
+    idle = timedelta(seconds=1)
+    assemble(spark, tmp_path, [[("a", 0, 0, BASE, "x"), ("a", 0, 1, None, "y"), ("b", 0, 0, None, "no time")]], idle)
+    time.sleep(1.2)
+    # Timers run with any batch, whatever its source.
+    out = assemble(spark, tmp_path, [[("c", 0, 0, BASE, "other")]], idle)
+    written = [("a", BASE, 0, 2, "x\ny"), ("b", None, 0, 1, "no time")]
+    assert sorted(tuple(r) for r in out.collect() if r.file != "c") == written
+    more = [("a", 0, 2, None, "z"), ("a", 0, 3, BASE, "same time"), ("a", 0, 4, BASE + timedelta(1), "next"),
+            ("b", 0, 1, None, "still none")]
+    out = assemble(spark, tmp_path, [more, end_of("a", "b", "c")], idle)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([
+        *written, ("a", BASE, 1, 2, "z\nsame time"), ("a", BASE + timedelta(1), 0, 1, "next"),
+        ("b", None, 1, 1, "still none"), ("c", BASE, 0, 1, "other")], key=str)
+
+
+def test_equal_times_meet_across_batches(spark, tmp_path):
+    def at(s):
+        return BASE + timedelta(seconds=s)
+    batches = [[("a", 0, 0, at(0), "0"), ("a", 0, 1, at(1), "1"), ("a", 0, 2, at(1), "1 again")],
+               [("a", 0, 3, at(1), "1 once more"), ("a", 0, 4, None, "with a line")],
+               [("a", 0, 5, at(1), "1 still"), ("a", 0, 6, at(2), "2"), ("a", 0, 7, at(1), "late 1"),
+                ("a", 0, 8, at(3), "3"), ("a", 0, 9, at(1), "late again")],
+               end_of("a")]
+    out = assemble(spark, tmp_path, batches)
+    assert sorted((r.ts, r.body) for r in out.collect()) == [
+        (at(0), "0"), (at(1), "1\n1 again\n1 once more\nwith a line\n1 still"), (at(1), "late 1"),
+        (at(1), "late again"), (at(2), "2"), (at(3), "3")]
+
+
+def test_only_edges_of_a_busy_source_meet(spark):
+    rows = [("a", 0, i, BASE + timedelta(seconds=i) if i % 3 == 1 else None, str(i), False) for i in range(3000)]
+    found = pieces(spark.createDataFrame(rows, LINES).coalesce(1)).collect()
+    assert sum(r.slot == 0 for r in found) == 3 and len({r.slot for r in found}) > 10
+    assert sum(r.n_lines for r in found) == 3000
+    # A block that is read later but stands earlier begins a run of its own.
+    swapped = spark.createDataFrame(rows[1500:] + rows[:1500], LINES).coalesce(1)
+    assert sum(r.slot == 0 for r in pieces(swapped).collect()) == 6
 
 
 def test_text_files_as_a_stream(spark, tmp_path):
@@ -113,15 +126,13 @@ def test_text_files_as_a_stream(spark, tmp_path):
     (folder / "app.log.1").write_text("\n".join(MULTILINE[8:]) + "\n")
     source = F.regexp_extract("_metadata.file_name", r"^(.*)\.\d+$", 1)
     stream = read_log_stream(spark, str(folder), source, maxFilesPerTrigger="1")
-    worker = RecordAssembler(
-        lambda df: parse_timestamps(
-            df.withColumn("seq", F.monotonically_increasing_id()), "iso_space_whole"),
-        f"{tmp_path}/out", f"{tmp_path}/state")
-    out = run_to_end(stream, worker, f"{tmp_path}/checkpoint")
+    lines = parse_timestamps(stream, "iso_space_whole")
+    out = run_to_end(assemble_stream(lines), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     assert {r.file for r in out.collect()} == {"app.log"}
     eleven = [r.body for r in out.collect() if r.ts.second == 11]
     assert "\n".join([MULTILINE[4][20:], *[" " + x for x in TRACEBACK]]) in "\n".join(eleven)
-    assert out.agg(F.sum("n_lines")).first()[0] == len(MULTILINE)
+    # The last line of the log is still open.
+    assert out.agg(F.sum("n_lines")).first()[0] == len(MULTILINE) - 1
 
 
 ENTRIES = "file string, ts timestamp_ntz, seq bigint, body string"
@@ -168,3 +179,30 @@ def test_merge_by_window_in_slices(spark, tmp_path):
     with pytest.raises(ValueError, match="slices"):
         merge_stream(spark.createDataFrame([], ENTRIES), ["a"],
                      window=timedelta(microseconds=10), slices=3)
+
+
+def test_late_entries_are_rows_of_their_own(spark, tmp_path):
+    def at(s):
+        return BASE + timedelta(seconds=s)
+    batches = [
+        [("a", at(1), 1, "a1"), ("b", at(1), 2, "b1"), ("a", at(100), 3, "a100")],
+        [("a", at(1), 4, "late a"), ("b", at(59), 5, "in time"), ("b", at(300), 6, "b300")],
+        [("a", at(59), 7, "late again"), ("a", at(100), 8, "late too"), ("b", at(300), 9, "more")],
+    ]
+    stream = feed(spark, f"{tmp_path}/in", batches, ENTRIES)
+    merged = merge_with_late(stream, ["a", "b"], delay="50 seconds", window=timedelta(seconds=10))
+    rows = run_to_end(merged, f"{tmp_path}/out", f"{tmp_path}/checkpoint", partition="late").collect()
+    assert sorted((r.late, r.ts, r.a, r.b) for r in rows) == [
+        (False, at(0), "a1", "b1"), (False, at(50), "", "in time"), (False, at(100), "a100", ""),
+        (True, at(1), "late a", ""), (True, at(59), "late again", ""), (True, at(100), "late too", "")]
+    assert sorted(os.listdir(f"{tmp_path}/out"))[-2:] == ["late=false", "late=true"]
+    with pytest.raises(ValueError, match="late"):
+        merge_with_late(stream, ["late"])
+
+
+def test_merge_keeps_hours_that_the_zone_skips(spark, tmp_path, zone):
+    zone("America/Chicago")
+    gap = datetime(2024, 3, 10, 2, 30)
+    batches = [[("a", gap, 1, "gap"), ("b", gap + timedelta(hours=1), 2, "real"), ("a", gap + timedelta(1), 3, "end")]]
+    assert run_merge(spark, tmp_path, batches, delay="1 hour") == [
+        (gap, 0, "gap", ""), (gap + timedelta(hours=1), 0, "", "real")]

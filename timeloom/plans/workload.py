@@ -8,6 +8,7 @@ Three logs are made from the tables: ``event_lines`` (one source per event type)
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -50,8 +51,8 @@ from timeloom.plans.session import collect_small, fresh_path, stage
 from timeloom.sinks.tables import column_widths, markdown_rows, text_rows, write_csv
 from timeloom.sources import csv_records, jsonl, packets, synthetic
 from timeloom.sources.files import read_text, register_reader
-from timeloom.streaming.assemble import RecordAssembler, run_to_end
-from timeloom.streaming.timeline import merge_stream
+from timeloom.streaming.assemble import assemble_stream, run_to_end
+from timeloom.streaming.timeline import merge_stream, merge_with_late
 
 EVENT_FILES = ["click", "error", "purchase", "signup", "view"]
 SHIP_ORDER = LineOrder(
@@ -658,18 +659,99 @@ def q_csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------------------
 
+def _arriving(spark: SparkSession, batches: list[DataFrame], folder: str) -> DataFrame:
+    """A stream of these tables, one per micro-batch."""
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _ends(lines: DataFrame) -> DataFrame:
+    """An end mark for every source, in the columns of its lines."""
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema if f.name not in ("file", "ends")]
+    return lines.select("file").distinct().select("file", F.lit(True).alias("ends"), *missing).select(lines.columns)
+
+
+def _marked_lines(lines: DataFrame) -> DataFrame:
+    """Staged lines ``(file, seq, ts, body, ends)``, in order."""
+    columns = [F.col("file").cast("string").alias("file"), "seq", "ts", "body", F.lit(False).alias("ends")]
+    return stage(lines.select(*columns), "lines").orderBy("file", "seq")
+
+
 def q_stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations arriving in several batches, cut in the middle of records."""
     root = fresh_path(spark, "stream")
-    lines = stage(conversation_lines(spark, sf_dir), "conversations")
-    for piece in (F.col("seq") < 2, F.col("seq").between(2, 4), F.col("seq") > 4):
-        lines.where(piece).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{root}/in"
-    )
-    as_text = stream.withColumn("file", F.col("file").cast("string"))
-    assembler = RecordAssembler(lambda df: df, f"{root}/out", f"{root}/state")
-    return _entries(run_to_end(as_text, assembler, f"{root}/checkpoint"))
+    lines = _marked_lines(conversation_lines(spark, sf_dir))
+    pieces = [lines.where(p) for p in (F.col("seq") < 2, F.col("seq").between(2, 4), F.col("seq") > 4)]
+    stream = _arriving(spark, [*pieces, _ends(lines)], f"{root}/in")
+    return _entries(run_to_end(assemble_stream(stream), f"{root}/out", f"{root}/checkpoint"))
+
+
+def q_stream_equal_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event logs by the hour: records of equal times arrive in three batches, cut inside an hour."""
+    root = fresh_path(spark, "stream-equal")
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    exact = event_lines(spark, sf_dir).withColumn("hour", hour)
+    exact = stage(exact.select("file", "seq", "ts", "hour", "body"), "lines")
+    place = F.expr("unix_micros(cast(ts as timestamp))")
+    lines = exact.select("file", place.alias("seq"), F.col("hour").alias("ts"), "body", F.lit(False).alias("ends"),
+                         F.col("seq").alias("event"), F.dayofmonth("ts").alias("_day"), F.minute("ts").alias("_minute"))
+    # Twice the first half of an hour ends a batch.
+    early = (F.col("_day") < 11) | ((F.col("_day") == 11) & (F.hour("ts") == 0) & (F.col("_minute") < 30))
+    middle = (F.col("_day") < 21) | ((F.col("_day") == 21) & (F.hour("ts") == 0) & (F.col("_minute") < 30))
+    batches = [lines.where(p).orderBy("seq", "event").drop("event", "_day", "_minute")
+               for p in (early, ~early & middle, ~early & ~middle)]
+    stream = _arriving(spark, [*batches, _ends(batches[0].union(batches[1]).union(batches[2]))], f"{root}/in")
+    return _entries(run_to_end(assemble_stream(stream), f"{root}/out", f"{root}/checkpoint"))
+
+
+def q_stream_idle_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that pause after three turns for longer than the idle time, then go on.
+
+    What is open at the pause is written by the timer, its rest as the next piece.
+    """
+    root, idle = fresh_path(spark, "stream-idle"), timedelta(milliseconds=500)
+    lines = _marked_lines(conversation_lines(spark, sf_dir))
+
+    def arrive(*batches: DataFrame) -> DataFrame:
+        stream = _arriving(spark, list(batches), f"{root}/in")
+        return run_to_end(assemble_stream(stream, idle), f"{root}/out", f"{root}/checkpoint", timers=True)
+
+    arrive(lines.where("seq < 3"))
+    time.sleep(1)
+    # Another source makes a batch, and with it the timers run.
+    arrive(_ends(lines).limit(1).withColumn("file", F.lit("another source")))
+    found = arrive(lines.where("seq >= 3"), _ends(lines))
+    return found.select("file", "ts", "piece", "n_lines", "body")
+
+
+def q_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly merge with a tenth of the events arriving last: merged rows that the watermark
+    has finished, and a row for each event that came too late for its hour."""
+    root = fresh_path(spark, "stream-late")
+    lines = stage(event_lines(spark, sf_dir).select("file", "ts", "seq", "body"), "lines")
+    tardy = F.col("seq") % 10 == 0
+    batches = [lines.where(~tardy & (F.dayofmonth("ts") <= 15)), lines.where(~tardy & (F.dayofmonth("ts") > 15)),
+               lines.where(tardy)]
+    stream = _arriving(spark, batches, f"{root}/in")
+    merged = merge_with_late(stream, EVENT_FILES, delay="1 day", window=timedelta(hours=1))
+    return run_to_end(merged, f"{root}/out", f"{root}/checkpoint", partition="late").select(
+        "late", "ts", *EVENT_FILES)
+
+
+def q_stream_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wall clocks in a night in which the session's zone skips an hour: the merge keeps each as it is."""
+    root = fresh_path(spark, "stream-dst")
+    night = F.lit("2024-03-10 00:00:00").cast("timestamp_ntz")
+    at = night + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("seq") % 240).cast("int"))
+    lines = event_lines(spark, sf_dir).select("file", at.alias("ts"), "seq", "body")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+    try:
+        merged = merge_stream(_arriving(spark, [lines], f"{root}/in"), EVENT_FILES, delay="0 seconds")
+        return run_to_end(merged, f"{root}/out", f"{root}/checkpoint").drop("part")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def q_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -776,5 +858,9 @@ def queries() -> dict[str, Query]:
         "csv_sink": q_csv_sink,
         "stream_records": q_stream_records,
         "stream_merge_hour": q_stream_merge,
+        "stream_equal_times": q_stream_equal_times,
+        "stream_idle_flush": q_stream_idle_flush,
+        "stream_late": q_stream_late,
+        "stream_dst": q_stream_dst,
     }
     return found

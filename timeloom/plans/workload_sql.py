@@ -319,5 +319,34 @@ def oracle_sql() -> dict[str, str]:
         "stream_records": f"WITH {CONVERSATIONS} " + collapsed.replace(
             "SELECT file,", "SELECT file::VARCHAR AS file,"),
         "stream_merge_hour": f"WITH {EVENTS} {_HOURLY}",
+        "stream_equal_times": f"""WITH {EVENTS} SELECT file, date_trunc('hour', e.ts) AS ts,
+          count(*)::INTEGER AS n_lines, string_agg(body, chr(10) ORDER BY e.ts, seq) AS body
+          FROM e GROUP BY file, date_trunc('hour', e.ts)""",
+        "stream_idle_flush": f"""WITH {CONVERSATIONS}, p AS (
+          SELECT f.*, seq >= 3 AND rec_ts IS NOT DISTINCT FROM (
+            SELECT g.rec_ts FROM f g WHERE g.file = f.file AND g.seq < 3 ORDER BY g.seq DESC LIMIT 1) AS again
+          FROM f)
+        SELECT file::VARCHAR AS file, rec_ts AS ts, again::INTEGER AS piece, count(*)::INTEGER AS n_lines,
+          string_agg(body, chr(10) ORDER BY seq) AS body FROM p GROUP BY file, rec_ts, again""",
+        "stream_late": f"""WITH {EVENTS}, b AS (
+          SELECT *, date_trunc('hour', ts) AS h,
+            CASE WHEN seq % 10 = 0 THEN 3 WHEN day(ts) <= 15 THEN 1 ELSE 2 END AS batch FROM e
+        ), w AS (
+          SELECT max(ts) FILTER (batch = 1) - INTERVAL 1 DAY AS w1,
+            max(ts) FILTER (batch <= 2) - INTERVAL 1 DAY AS w2, max(ts) - INTERVAL 1 DAY AS w3 FROM b
+        ), s AS (
+          SELECT b.*, h + INTERVAL 1 HOUR <= w3 AS final, h + INTERVAL 1 HOUR <= CASE batch
+            WHEN 1 THEN TIMESTAMP '1970-01-01' WHEN 2 THEN w1 ELSE w2 END AS late FROM b, w
+        )
+        SELECT false AS late, h AS ts, """ + ", ".join(
+            f"coalesce(string_agg(body, chr(10) ORDER BY ts, seq) FILTER (file = '{f}'), '') AS {f}"
+            for f in EVENT_FILES) + """ FROM s WHERE NOT late AND final GROUP BY h
+        UNION ALL SELECT true, ts, """ + ", ".join(
+            f"CASE WHEN file = '{f}' THEN body ELSE '' END" for f in EVENT_FILES) + " FROM s WHERE late",
+        "stream_dst": f"""WITH {EVENTS}, n AS (
+          SELECT file, seq, body, TIMESTAMP '2024-03-10' + (seq % 240)::INTEGER * INTERVAL 1 MINUTE AS t FROM e)
+        SELECT t AS ts, """ + ", ".join(
+            f"coalesce(string_agg(body, chr(10) ORDER BY seq) FILTER (file = '{f}'), '') AS {f}"
+            for f in EVENT_FILES) + " FROM n GROUP BY t",
     }
     return found

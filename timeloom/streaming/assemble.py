@@ -1,29 +1,37 @@
-"""Record assembly on a stream.
-
-Each micro-batch is an ordinary batch job over the new lines plus the lines still open from
-before, so a busy source is spread over segments here too instead of living in one state
-task.  What is kept between batches -- the open record of each source -- is a small table
-in the shared folder, one version per batch: a repeated batch reads the same version and
-overwrites its own output, so nothing is lost or doubled.
+"""Record assembly on a stream, with the open records in Spark's own keyed state.
+
+Two steps.  Where lines are read, each task puts the lines it reads into *pieces*: a line with a time and
+the lines without one behind it; neighbours of equal times are one piece.  Nearly all pieces are whole
+records by then.  Only at the ends of what a task has read of a source something may be missing: lines
+before its first time, and whatever follows its last one.  So only these *edges* -- three at most for each
+source and split -- go through the state of their source.  All other pieces of a busy source are spread
+over slots and handed on.
+
+The state of a source is the time of its last record and the pieces of it that are still open.  A later
+time, an end marker or an idle timer closes it.  Spark keeps, versions and recovers that state with the
+checkpoint of the query; a batch that is repeated gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import time
+from collections.abc import Iterator
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from timeloom.operators.order import LineOrder, with_segments
-from timeloom.operators.records import MAX_CELL_BYTES, collapse_filled, fill_records
-from timeloom.plans.session import small_side, stage
-
-# Lines of one source stand in order of arrival first.
-STREAM_ORDER = LineOrder(segments=("epoch", "arrived", "block_start", "segment"))
-
-_STATE = ("file string, epoch bigint, arrived timestamp, block_start bigint, segment bigint, "
-          "seq bigint, ts timestamp_ntz, body string, piece int")
+#: Tasks over which the whole records of a source are spread.
+SLOTS = 16
+#: The state store that user-defined state needs.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EPOCH = datetime(1970, 1, 1)
+ENTRY = "file string, ts timestamp_ntz, piece int, n_lines int, body string"
+_PLACE = ("arrived", "path", "block_start", "seq")
+_PIECE = ("file string, slot int, arrived bigint, path string, block_start bigint, seq bigint, number bigint, "
+          "us bigint, stamped boolean, n_lines int, body string, ends boolean")
 
 
 def read_log_stream(spark: SparkSession, path: str, source: Column | None = None,
@@ -40,139 +48,206 @@ def read_log_stream(spark: SparkSession, path: str, source: Column | None = None
     return lines.withColumn("file", F.col("path") if source is None else source)
 
 
-@dataclass
-class RecordAssembler:
-    """``foreachBatch`` function: lines in, finished records to ``out_path/batch=N``.
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a wall clock, whatever the session time zone."""
+    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
-    ``parse`` turns a batch of the stream into parsed lines ``(file, seq, ts, body)``, with
-    ``arrived`` and ``block_start`` where several blocks of a source can share a batch.
-    The last record of each source stays open until a later line with a timestamp, or
-    :meth:`flush`.  An open record beyond ``max_open_bytes`` is written in numbered pieces.
-    With ``late_after``, records that far behind the newest one of the earlier batches go to
-    ``late_path`` instead.
-    """
 
-    parse: Callable[[DataFrame], DataFrame]
-    out_path: str
-    state_path: str
-    max_open_bytes: int = MAX_CELL_BYTES
-    late_after: str | None = None
-    late_path: str | None = None
-    last_batch: int = -1
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        lines = self.parse(batch)
-        if "seq" not in lines.columns:
-            lines = lines.withColumn("seq", F.monotonically_increasing_id())
-        if "arrived" not in lines.columns:
-            lines = lines.withColumn("arrived", F.lit(0).cast("timestamp"))
-        new = with_segments(lines).withColumn("epoch", F.lit(batch_id).cast("bigint"))
-        new = new.withColumn("piece", F.lit(0))
-        columns = [f.split()[0] for f in _STATE.split(", ")]
-        # Written before use: open and finished lines must see the same line numbers.
-        held = self._state(spark, batch_id - 1)
-        lines = stage(held.select(columns).unionByName(new.select(columns)), "stream-lines")
-        self._advance(lines, batch_id)
-
-    def flush(self, spark: SparkSession, batch_id: int) -> None:
-        """Write the records still open after a batch, e.g. when a source went idle.
-
-        What arrives for such a record later becomes its next piece.
-        """
-        held = stage(self._state(spark, batch_id), "stream-open")
-        if held.where(F.col("body").isNotNull()).isEmpty():
+def wall_clock(us: Column) -> Column:
+    """The wall clock so many microseconds after 1970, the reverse of :func:`micros`."""
+    seconds = us.cast("decimal(25,6)") / F.lit(1_000_000).cast("decimal(7,0)")
+    interval = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + interval
+
+
+def pieces(lines: DataFrame) -> DataFrame:
+    """Lines of a stream or table put together as far as each task sees them.
+
+    ``lines`` has file, ts and body, and what orders the lines of a source: ``arrived``, ``path``,
+    ``block_start`` and ``seq``, as far as there are such columns; the order in which a task reads
+    them comes last.  ``ends`` (optional) marks a row that closes the open record of its source.
+    """
+    have = set(lines.columns)
+
+    def given(name: str, value: Column) -> Column:
+        return (value if name in have else F.lit(None)).alias(name)
+
+    # A missing place is 0 or empty, a missing seq the position in the task.
+    source = lines.select(
+        F.col("file").cast("string").alias("file"), given("arrived", F.unix_micros(F.col("arrived").cast("timestamp"))),
+        given("path", F.col("path")).cast("string").alias("path"), given("block_start", F.col("block_start")).cast(
+            "bigint").alias("block_start"), given("seq", F.col("seq")).cast("bigint").alias("seq"),
+        micros(F.col("ts")).alias("us"), F.col("body").alias("body"),
+        F.coalesce(given("ends", F.col("ends")).cast("boolean"), F.lit(False)).alias("ends"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str | None, _Run] = {}
+        position = 0
+        for batch in batches:
+            done: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for file, arrived, path, block, seq, us, body, ends in zip(*columns, strict=True):
+                position += 1
+                place = (arrived or 0, path or "", block or 0, position if seq is None else seq)
+                here = runs.get(file)
+                if here is None or place < here.place:
+                    if here is not None:
+                        done += here.finish()
+                    here = runs[file] = _Run(file)
+                done += here.add(place, us, body, ends)
+            if done:
+                yield _batch(done)
+        done = [piece for run in runs.values() for piece in run.finish()]
+        if done:
+            yield _batch(done)
+
+    return source.mapInArrow(run, _PIECE)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    names, types = zip(*(field.split() for field in _PIECE.split(", ")), strict=True)
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+class _Run:
+    """Consecutive lines of one source in one task."""
+
+    def __init__(self, file: str | None):
+        self.file, self.number, self.stamps = file, -1, 0
+        self.start = self.place = (0, "", 0, 0)
+        self.us, self.stamped, self.ends, self.lines = None, False, False, []
+
+    def add(self, place: tuple, us: int | None, body: str | None, ends: bool) -> list[tuple]:
+        done = []
+        self.place = place
+        if ends or self.ends or self.number < 0 or (us is not None and (not self.stamped or us != self.us)):
+            done = self._piece(last=False)
+            self.number += 1
+            self.start, self.us, self.stamped, self.ends = place, us, us is not None, ends
+            self.stamps += self.stamped
+        if not ends:
+            self.lines.append(body or "")
+        return done
+
+    def _piece(self, last: bool) -> list[tuple]:
+        if self.number < 0:
+            return []
+        # Whole: behind the first time of the run, and not its last piece.
+        whole = self.stamped and self.stamps > 1 and not last
+        slot = 1 + self.number % SLOTS if whole else 0
+        row = (self.file, slot, *self.start, self.number, self.us, self.stamped, len(self.lines),
+               "\n".join(self.lines), self.ends)
+        self.lines = []
+        return [row]
+
+    def finish(self) -> list[tuple]:
+        return self._piece(last=True)
+
+
+def _entry(file: str | None, us: int | None, piece: int, found: list) -> Row:
+    ts = None if us is None else EPOCH + timedelta(microseconds=us)
+    return Row(file=file, ts=ts, piece=piece, n_lines=sum(p.n_lines for p in found),
+               body="\n".join(p.body for p in found))
+
+
+class RecordProcessor(StatefulProcessor):
+    """Closes records; ``idle`` in milliseconds writes an open record that gets no more lines."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # Of the last record: its time, and how many pieces of it an idle timer has written.
+        self.record = handle.getValueState("record", "us bigint, written int")
+        self.open = handle.getListState("open", "n_lines int, body string")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def close(self) -> None:
+        pass
+
+    def _write(self, key: tuple) -> Iterator[Row]:
+        found = [Row(n_lines=n, body=body) for n, body in self.open.get()]
+        if found:
+            us, written = self.record.get()
+            yield _entry(key[0], us, written, found)
+            self.open.clear()
+            self.record.update((us, written + 1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[1]:
+            for row in rows:
+                yield _entry(key[0], row.us, 0, [row])
             return
-        self._write(self._records(held), batch_id, "-flush")
-        self._save(self._markers(held), batch_id)
-
-    def _markers(self, lines: DataFrame) -> DataFrame:
-        """Of a record already written only its time and next piece number remain."""
-        place = F.struct(*STREAM_ORDER.segments, *STREAM_ORDER.by)
-        return (
-            lines.groupBy("file")
-            .agg(
-                F.max_by("ts", F.when(F.col("ts").isNotNull(), place)).alias("ts"),
-                F.max(place).alias("_last"),
-                (F.max("piece") + 1).alias("piece"),
-            )
-            .select("file", "_last.*", "ts", F.lit(None).cast("string").alias("body"), "piece")
-        )
-
-    def _advance(self, lines: DataFrame, batch_id: int) -> None:
-        place = F.struct(*STREAM_ORDER.segments, *STREAM_ORDER.by)
-        # One row per source: where its last record starts, and how large that record is.
-        heads = lines.where(F.col("ts").isNotNull()).groupBy("file").agg(
-            F.max(place).alias("_head")
-        )
-        marked = lines.join(small_side(heads)[0], "file", "left")
-        is_open = F.col("_head").isNull() | (place >= F.col("_head"))
-        opened = marked.where(is_open).drop("_head")
-        sizes = opened.groupBy("file").agg(
-            F.sum(F.octet_length(F.coalesce("body", F.lit(""))) + 1).alias("_size")
-        )
-        opened = opened.join(small_side(sizes)[0], "file")
-        too_long = F.col("_size") > self.max_open_bytes
-        overflow = opened.where(too_long).drop("_size")
-        finished = marked.where(~is_open).drop("_head")
-        self._write(self._records(finished.unionByName(overflow)), batch_id)
-        still_open = opened.where(~too_long).drop("_size")
-        self._save(still_open.unionByName(self._markers(overflow)), batch_id)
-        self.last_batch = batch_id
-
-    def _records(self, lines: DataFrame) -> DataFrame:
-        filled = fill_records(lines, order=STREAM_ORDER)
-        pieces = filled.groupBy("file", "rec_ts").agg(F.max("piece").alias("piece"))
-        bodies = filled.where(F.col("body").isNotNull())
-        entries = collapse_filled(bodies, STREAM_ORDER)
-        numbered = pieces.withColumnsRenamed({"file": "_file", "rec_ts": "_ts"})
-        same = [entries["file"] == F.col("_file"), entries["ts"].eqNullSafe(F.col("_ts"))]
-        return entries.join(numbered, same, "left").drop("_file", "_ts")
-
-    def _write(self, entries: DataFrame, batch_id: int, suffix: str = "") -> None:
-        if self.late_after is not None and self.late_path is not None:
-            entries = stage(entries, "stream-entries")
-            newest = self._newest(entries.sparkSession, batch_id - 1)
-            limit = newest.select(F.col("newest") - F.expr(f"interval {self.late_after}"))
-            late = F.coalesce(F.col("ts") < limit.scalar(), F.lit(False))
-            self._overwrite(entries.where(late), f"{self.late_path}/batch={batch_id}{suffix}")
-            seen = entries.agg(F.max("ts").alias("newest")).unionByName(newest)
-            self._overwrite(
-                seen.agg(F.max("newest").alias("newest")),
-                f"{self.state_path}/newest/{batch_id}",
-            )
-            entries = entries.where(~late)
-        self._overwrite(entries, f"{self.out_path}/batch={batch_id}{suffix}")
-
-    def _newest(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        schema = "newest timestamp_ntz"
-        if batch_id < 0:
-            return spark.createDataFrame([(None,)], schema)
-        return spark.read.schema(schema).parquet(f"{self.state_path}/newest/{batch_id}")
-
-    def _state(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        if batch_id < 0:
-            return spark.createDataFrame([], _STATE)
-        return spark.read.schema(_STATE).parquet(f"{self.state_path}/open/{batch_id}")
-
-    def _save(self, lines: DataFrame, batch_id: int) -> None:
-        columns = [f.split()[0] for f in _STATE.split(", ")]
-        self._overwrite(lines.select(columns), f"{self.state_path}/open/{batch_id}")
-
-    @staticmethod
-    def _overwrite(df: DataFrame, path: str) -> None:
-        df.write.mode("overwrite").parquet(path)
-
-
-def run_to_end(stream: DataFrame, assembler: RecordAssembler, checkpoint: str) -> DataFrame:
-    """Process what is there, flush the open records, and return all records."""
-    query = (
-        stream.writeStream.foreachBatch(assembler)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    if assembler.last_batch >= 0:
-        assembler.flush(stream.sparkSession, assembler.last_batch)
-    return stream.sparkSession.read.parquet(assembler.out_path).drop("batch")
+        # Edges: a few for each split.
+        edges = sorted(rows, key=lambda r: (r.arrived, r.path, r.block_start, r.seq, r.number))
+        number = None
+        for row in edges:
+            follows = row.number == 0 or row.number - 1 == number
+            number = row.number
+            known = self.record.get() if self.record.exists() else None
+            if row.ends:
+                yield from self._write(key)
+                self.record.clear()
+                continue
+            again = known is not None and known[0] == row.us and follows
+            if known is None or (row.stamped and not again):
+                yield from self._write(key)
+                self.record.update((row.us, 0))
+            self.open.appendValue((row.n_lines, row.body))
+        if self.idle is not None:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+                self.timer.clear()
+            if self.open.exists():
+                at = timerValues.getCurrentProcessingTimeInMs() + self.idle
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.timer.clear()
+        yield from self._write(key)
+
+
+def assemble_stream(lines: DataFrame, idle: timedelta | None = None) -> DataFrame:
+    """Records ``(file, ts, piece, n_lines, body)`` of a stream of parsed lines, see :func:`pieces`.
+
+    Lines without a time join the record before them, in whatever batch it came; neighbouring records of
+    equal times are one.  ``ts`` is NULL for what stands before the first time of a source.  The last
+    record of a source stays open until a later time, an end marker, or ``idle`` after its last line
+    when a batch runs; what arrives for a record already written is its next ``piece``.  A record is
+    one row, so it must fit in one task.
+    """
+    spark = lines.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    wait = None if idle is None else int(idle / timedelta(milliseconds=1))
+    mode = "none" if idle is None else "processingTime"
+    return pieces(lines).groupBy("file", "slot").transformWithState(RecordProcessor(wait), ENTRY, "append", mode)
+
+
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, partition: str | None = None,
+               timers: bool = False) -> DataFrame:
+    """Process what is there, add the rows to the folder ``path``, and read it.
+
+    With ``timers`` the run ends with the first batch that had no input, since timers always ask for
+    another batch; what they have written by then is in the folder.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
+    if partition is not None:
+        writer = writer.partitionBy(partition)
+    writer = writer.option("checkpointLocation", checkpoint)
+    if not timers:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = writer.trigger(processingTime="0 seconds").start()
+        while query.isActive and all(p["numInputRows"] for p in query.recentProgress):
+            time.sleep(0.05)
+        problem = query.exception()
+        query.stop()
+        if problem is not None:
+            raise problem
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
