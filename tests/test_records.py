@@ -10,6 +10,7 @@ from timeloom.functions.text import floor_ts
 from timeloom.operators.merge import in_time_order, merge_wide
 from timeloom.operators.order import with_segments
 from timeloom.operators.records import (
+    cell_lines,
     collapse_records,
     detect_formats,
     fill_records,
@@ -247,3 +248,30 @@ def test_splits_do_not_matter(spark, write, small_splits):
     assert spark.read.text(path).rdd.getNumPartitions() > 20
     assert cells(spark, path) == whole
     assert one_cell(whole, "11").count("frame") == 200
+
+
+def test_rows_do_not_depend_on_the_number_of_files(spark, write):
+    """A log of two large cells is two entries alone and beside many other files."""
+    big = [f"2024-01-01 00:00:0{s} " + f"{s}" * 100 if i == 0 else "x" * 99 for s in (1, 2) for i in range(30_000)]
+    one = write("big.log", big)
+    others = [write(f"f{i}.log", ["2024-01-01 00:00:05 small"]) for i in range(20)]
+    for paths in ([one], [one, *others]):
+        merged = align(spark, paths)
+        mine = merged.entries.where(F.col("file") == one).select("ts", "n_lines", F.length("body").alias("size"))
+        assert [tuple(r)[1:] for r in mine.orderBy("ts").collect()] == [(30_000, 30_000 * 100 + 29_999)] * 2
+        in_lines = merged.lines(line_numbers=True).where(F.col("file") == one)
+        facts = in_lines.groupBy("line", "ts").agg(F.count("*"), F.min("line_in_cell"), F.max("line_in_cell"),
+                                                   F.countDistinct("line_in_cell")).orderBy("line").collect()
+        assert [(r[0], *r[2:]) for r in facts] == [(n, 30_000, 1, 30_000, 30_000) for n in (1, 2)]
+
+
+def test_cell_lines_give_the_cells(spark):
+    rows = [("a" if i % 3 else "b", 0, i, None if i < 4 or i % 5 else BASE + timedelta(seconds=i % 4), f"l{i}")
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "file string, block_start long, seq long, ts timestamp_ntz, body string")
+    lines = with_segments(df, 4)
+    found = {}
+    for r in sorted(cell_lines(fill_records(lines)).collect(), key=lambda r: r.line_in_cell):
+        found.setdefault((r.file, r.ts), []).append(r.body)
+    cells = {(r.file, r.ts): r.body.split("\n") for r in collapse_records(lines).collect()}
+    assert found == cells and (None in {ts for _, ts in cells})

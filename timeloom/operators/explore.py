@@ -73,22 +73,26 @@ def jump_lines(rows: DataFrame, cursor: int, by: int) -> DataFrame:
 
 
 def _millis(ts: Column) -> Column:
-    # Rows are compared as they are shown: text cut to milliseconds.
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")
+    """One time cut to milliseconds, as it is shown."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS").cast("timestamp_ntz")
 
 
 def _seek(rows: DataFrame, target: Column, cursor: int) -> DataFrame:
-    """Row reached when moving from ``cursor`` towards ``target`` (text in milliseconds)."""
-    shown, here = _millis(F.col("ts")), F.col("line")
+    """Row reached when moving from ``cursor`` towards ``target``, a time in whole milliseconds.
+
+    Rows are compared as they are shown, cut to milliseconds: a row shows the target when its exact
+    time is less than a millisecond behind it.  So the times of the rows are compared as they are.
+    """
+    ts, here, beyond = F.col("ts"), F.col("line"), target + F.expr("interval 0.001 second")
     at = F.lit(cursor).cast("bigint")
-    place = rows.where(here == at).agg(F.max(shown).alias("m")).scalar()
+    place = rows.where(here == at).agg(F.max("ts").alias("m")).scalar()
     answer = rows.agg(
-        F.min(F.when((here >= at) & (shown >= target), here)).alias("ahead"),
-        F.max(F.when((here <= at) & (F.coalesce(shown, F.lit("")) <= target), here)).alias("back"),
+        F.min(F.when((here >= at) & (ts >= target), here)).alias("ahead"),
+        F.max(F.when((here <= at) & F.coalesce(ts < beyond, F.lit(True)), here)).alias("back"),
         F.max(here).alias("last"),
         F.min(here).alias("first"),
     ).select(
-        F.when(place.eqNullSafe(target), at)
+        F.when((place >= target) & (place < beyond), at)
         .when(place.isNull() | (place < target), F.coalesce("ahead", "last"))
         .otherwise(F.coalesce("back", "first"))
         .alias("line")
@@ -100,15 +104,15 @@ def goto_timestamp(rows: DataFrame, target: str | datetime, cursor: int = 1) ->
     """First row at or after ``target`` when it lies ahead of the cursor, else the last row
     at or before it; the last (first) row when there is none."""
     when = parse_time(target)
-    return _seek(rows, F.lit(when.strftime("%Y-%m-%d %H:%M:%S.%f")[:23]), cursor)
+    whole = when.replace(microsecond=when.microsecond // 1000 * 1000)
+    return _seek(rows, F.lit(whole.isoformat(sep=" ")).cast("timestamp_ntz"), cursor)
 
 
 def jump_time(rows: DataFrame, cursor: int, jump: Jump) -> DataFrame:
     """Move by a time distance from the cursor row; no rows if that row has no timestamp."""
     start = rows.where(F.col("line") == cursor).agg(F.max("ts").alias("t")).scalar()
     # The cursor's time is the one shown, cut to milliseconds.
-    shown = _millis(start).cast("timestamp_ntz")
-    return _seek(rows, _millis(shown + F.lit(jump.distance)), cursor).where(start.isNotNull())
+    return _seek(rows, _millis(_millis(start) + F.lit(jump.distance)), cursor).where(start.isNotNull())
 
 
 def jump(rows: DataFrame, cursor: int, by: Jump | str) -> DataFrame:

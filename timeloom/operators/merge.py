@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions.text import display_ts, trim_ws
 from timeloom.operators.order import number_rows
-from timeloom.plans.session import lookup
+from timeloom.plans.session import lookup, stage
 
 # One column per source is for people to read; beyond this use merge_long.
 MAX_WIDE_FILES = 1000
@@ -113,3 +113,21 @@ def in_time_order(rows: DataFrame, *more: str) -> DataFrame:
     keys = [F.col("ts").asc_nulls_first()]
     keys += [F.col(c) for c in ("part", *more) if c in rows.columns]
     return rows.orderBy(*keys)
+
+
+def number_in_order(rows: DataFrame, *more: str, out: str = "position") -> DataFrame:
+    """The rows of :func:`in_time_order` with their place in it, from 1.
+
+    Rows are sorted within ranges of the key and written, so that their number inside a range holds;
+    the rows of earlier ranges are added, one count per range.
+    """
+    ordered = in_time_order(rows, *more).withColumns(
+        {"_range": F.spark_partition_id(), "_here": F.monotonically_increasing_id()})
+    kept = stage(ordered, "in_order")
+    first = F.shiftleft(F.col("_range").cast("bigint"), 33)
+    counts = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row per range.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return kept.join(offsets, "_range").withColumn(
+        out, F.col("_before") + F.col("_here") - first + 1).drop("_range", "_here", "_before")

@@ -19,16 +19,6 @@ from timeloom.operators.order import (
 )
 from timeloom.plans.session import collect_small, lookup, small_side
 
-# A cell of one source at one timestamp is one string up to this many bytes; beyond it the
-# cell continues in further parts, so that no group has to fit in one task.
-MAX_CELL_BYTES = 64 * 1024 * 1024
-
-
-def cell_limit(files: int) -> int:
-    """Cell size for so many sources side by side: their cells meet in one row."""
-    return max(MAX_CELL_BYTES // max(files, 1), 1024 * 1024)
-
-
 def detect_formats(lines: DataFrame, registry: FormatRegistry | None = None,
                    scan: str = "first_line") -> DataFrame:
     """``(file, fmt)``: the format of each source, NULL when none fits.
@@ -222,14 +212,16 @@ def _long_cells(filled: DataFrame, order: LineOrder, limit: int) -> DataFrame:
 
 
 def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
-                 order: LineOrder = DEFAULT_ORDER, limit: int | None = MAX_CELL_BYTES,
+                 order: LineOrder = DEFAULT_ORDER, limit: int | None = None,
                  key: Callable[[Column], Column] | None = None) -> DataFrame:
     """Lines with ``rec_ts``, the time of the record they belong to.
 
-    Where over-long cells occur there is also ``part``, the running number of a cell's piece.
-    Pieces are whole segments in line order, so the parts of a cell put together give the
-    cell.  Whether any source can have such cells is checked first, by a small job over times
-    and sizes; usually none can.  ``key`` must not decrease with time.
+    A cell of a source and a time is one cell, however large.  Only a caller who sets ``limit``
+    (bytes) has cells beyond it cut: then there is also ``part``, the running number of a cell's
+    piece.  Pieces are whole segments in line order, so the parts of a cell put together give
+    the cell.  Whether any source can have such cells is checked first, by a small job over
+    times and sizes.  ``key`` must not decrease with time.  Cells too large for one task can be
+    taken line by line, see :func:`cell_lines`.
     """
     if order == DEFAULT_ORDER and "segment" not in lines.columns:
         lines = with_segments(lines)
@@ -299,9 +291,31 @@ def collapse_filled(filled: DataFrame, order: LineOrder = DEFAULT_ORDER,
     )
 
 
+def cell_lines(filled: DataFrame, order: LineOrder = DEFAULT_ORDER) -> DataFrame:
+    """The cells of :func:`collapse_filled` line by line: ``(file, ts, line_in_cell, body)``.
+
+    Nothing is gathered, so a cell may hold most of all lines.  A line's number in its cell is
+    its rank inside the segment plus what earlier segments of the source have of that cell; only
+    one narrow row per segment and cell meets for that.
+    """
+    lines = filled.withColumn("_cell", F.coalesce(F.col("rec_ts").cast("string"), F.lit("")))
+    keys = [*order.keys, "_cell"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order.by))
+    earlier = Window.partitionBy(order.file, "_cell").orderBy(*order.segments).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = lines.groupBy(*keys).agg(F.count("*").alias("_n")).select(
+        *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    return lines.withColumn("_rank", rank).join(before, keys).select(
+        F.col(order.file).alias("file"), F.col("rec_ts").alias("ts"),
+        (F.col("_before") + F.col("_rank")).alias("line_in_cell"), "body",
+    )
+
+
 def collapse_records(lines: DataFrame, ignore_untimestamped: bool = False,
                      order: LineOrder = DEFAULT_ORDER,
-                     limit: int | None = MAX_CELL_BYTES,
+                     limit: int | None = None,
                      key: Callable[[Column], Column] | None = None) -> DataFrame:
     """Entries ``(file, ts, part, first_line, n_lines, body)`` from parsed lines.
 

@@ -13,9 +13,9 @@ from timeloom.functions.formats import FormatRegistry
 from timeloom.operators.clip import autoclip, clip
 from timeloom.operators.explore import file_stats
 from timeloom.operators.merge import merge_long, merge_wide, present
-from timeloom.operators.order import with_segments
+from timeloom.operators.order import number_rows, with_segments
 from timeloom.operators.records import (
-    cell_limit,
+    cell_lines,
     collapse_filled,
     detect_formats,
     fill_records,
@@ -46,6 +46,13 @@ class Alignment:
         """One row per source and time, for any number of sources."""
         return merge_long(self.entries, self.files, line_numbers)
 
+    def lines(self, line_numbers: bool = False) -> DataFrame:
+        """One row per log line, in no cell gathered: ``(line?, ts, file, line_in_cell, body)``."""
+        rows = cell_lines(self.filled).withColumn("part", F.lit(0))
+        if line_numbers:
+            rows = number_rows(rows, spread="file")
+        return rows.drop("part")
+
     def stats(self) -> DataFrame:
         return file_stats(self.entries, self.files)
 
@@ -60,7 +67,9 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     """Read, detect, parse, assemble, clip and key the given log files.
 
     The parsed lines are written once to the shared folder.  Everything after that reads the
-    columnar copy, so each pass sees the same line numbers and reads only what it needs.
+    columnar copy, so each pass sees the same line numbers and reads only what it needs.  A cell
+    is one row; ``max_cell_bytes`` cuts larger ones into parts, and :meth:`Alignment.lines` gives them
+    line by line.
     """
     registry = registry or FormatRegistry()
     for template in timestamp_formats:
@@ -78,8 +87,7 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     parsed = parse_timestamps(raw, formats, registry, reference_date, strict)
     kept = ("file", "block_start", "seq", "ts", "body", "parse_error")
     lines = with_segments(stage(parsed.select(*kept), "lines"))
-    limit = max_cell_bytes or cell_limit(len(files))
-    filled = fill_records(lines, ignore_untimestamped, limit=limit)
+    filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes)
     if autoclip_to_first:
         first = lines.where(F.col("file") == files[0]).select(F.col("ts").alias("rec_ts"))
         filled = autoclip(filled, first, "rec_ts")

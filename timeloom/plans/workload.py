@@ -31,7 +31,14 @@ from timeloom.operators.explore import (
     jump,
     search,
 )
-from timeloom.operators.merge import merge_long, merge_two, merge_wide, present, unpivot
+from timeloom.operators.merge import (
+    merge_long,
+    merge_two,
+    merge_wide,
+    number_in_order,
+    present,
+    unpivot,
+)
 from timeloom.operators.order import (
     LineOrder,
     flag_disorder,
@@ -41,6 +48,7 @@ from timeloom.operators.order import (
     with_segments,
 )
 from timeloom.operators.records import (
+    cell_lines,
     collapse_records,
     detect_formats,
     fill_records,
@@ -311,6 +319,21 @@ def q_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "is_out_of_order", "lateness_us")
 
 
+def q_long_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipping lines by year, line by line: a few cells hold all lines and none is gathered."""
+    filled = fill_records(shipping_lines(spark, sf_dir), order=SHIP_ORDER,
+                          key=lambda ts: F.date_trunc("year", ts).cast("timestamp_ntz"))
+    rows = cell_lines(filled, SHIP_ORDER).withColumn("part", F.lit(0))
+    return number_rows(rows, spread="file").select("line", "ts", "file", "line_in_cell", "body")
+
+
+def q_merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipping entries in merged order, with their place in it; ties in the order of the files."""
+    entries = collapse_records(shipping_lines(spark, sf_dir), order=SHIP_ORDER)
+    rows = merge_long(entries, ["R", "A", "N"], line_numbers=False)
+    return number_in_order(rows, "file_no").select("position", "ts", "file_no", "file")
+
+
 # --- merging ------------------------------------------------------------------------------
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -858,6 +881,8 @@ def queries() -> dict[str, Query]:
         "csv_sink": q_csv_sink,
         "stream_records": q_stream_records,
         "stream_merge_hour": q_stream_merge,
+        "long_cell": q_long_cell,
+        "merge_order": q_merge_order,
         "stream_equal_times": q_stream_equal_times,
         "stream_idle_flush": q_stream_idle_flush,
         "stream_late": q_stream_late,

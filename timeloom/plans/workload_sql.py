@@ -319,6 +319,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_records": f"WITH {CONVERSATIONS} " + collapsed.replace(
             "SELECT file,", "SELECT file::VARCHAR AS file,"),
         "stream_merge_hour": f"WITH {EVENTS} {_HOURLY}",
+        "long_cell": f"""WITH {SHIPPING}, y AS (SELECT *, date_trunc('year', ts)::TIMESTAMP AS year FROM l)
+          SELECT dense_rank() OVER (ORDER BY year) AS line, year AS ts, file,
+            row_number() OVER (PARTITION BY file, year ORDER BY {SHIP_POSITION}) AS line_in_cell, body FROM y""",
+        "merge_order": f"""WITH {SHIPPING}, k AS (
+          SELECT DISTINCT ts, file, list_position(['R', 'A', 'N'], file) - 1 AS file_no FROM l)
+          SELECT row_number() OVER (ORDER BY ts, file_no) AS position, ts, file_no, file FROM k""",
         "stream_equal_times": f"""WITH {EVENTS} SELECT file, date_trunc('hour', e.ts) AS ts,
           count(*)::INTEGER AS n_lines, string_agg(body, chr(10) ORDER BY e.ts, seq) AS body
           FROM e GROUP BY file, date_trunc('hour', e.ts)""",
