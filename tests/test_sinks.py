@@ -76,6 +76,24 @@ def test_repeated_time_is_blank_in_markdown(spark):
     assert got == ["| 08:00 | 0 |", "|  | 1 |"]
 
 
+def test_times_that_show_the_same_are_blank_in_one_folder(spark, tmp_path):
+    """Exact times a tenth of a millisecond apart, and several sources at one time."""
+    df = spark.sql("""select date_format(t, 'yyyy-MM-dd HH:mm:ss.SSS') as timestamp, t as ts, 0 as part, n as file_no,
+      f as file from values (timestamp_ntz'2024-01-01 00:00:00.0001', 0, 'x'), (timestamp_ntz'2024-01-01 00:00:00.0002',
+      0, 'y'), (timestamp_ntz'2024-01-01 00:00:00.0002', 1, 'z'), (timestamp_ntz'2024-01-01 00:00:00.001', 0, 'w')
+      as v(t, n, f)""")
+    blank = spark.createDataFrame([("", None, 0, 0, "first"), ("", None, 0, 1, "second")],
+                                  "timestamp string, ts timestamp_ntz, part int, file_no int, file string")
+    write_markdown(df.union(blank).repartition(4), str(tmp_path / "md"))
+    rows = [r.value for r in spark.read.text(str(tmp_path / "md")).collect()]
+    assert sorted(rows) == sorted([
+        "| timestamp | file |", "|---|---|", "|  | first |", "|  | second |", "| 2024-01-01 00:00:00.000 | x |",
+        "|  | y |", "|  | z |", "| 2024-01-01 00:00:00.001 | w |"])
+    assert part_lines(tmp_path / "md") == [
+        "| timestamp | file |", "|---|---|", "|  | first |", "|  | second |", "| 2024-01-01 00:00:00.000 | x |",
+        "|  | y |", "|  | z |", "| 2024-01-01 00:00:00.001 | w |"]
+
+
 def test_aligned_text(spark, write, tmp_path):
     wide, _ = merged(spark, write, line_numbers=True)
     folder = tmp_path / "txt"

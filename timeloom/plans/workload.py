@@ -661,6 +661,12 @@ def q_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_rows(present(hourly(spark, sf_dir), EVENT_FILES)).select("row")
 
 
+def q_markdown_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipping entries in line, as Markdown rows: sources of one time stand under it."""
+    entries = collapse_records(shipping_lines(spark, sf_dir), order=SHIP_ORDER)
+    return markdown_rows(merge_long(entries, ["R", "A", "N"], line_numbers=False)).select("row")
+
+
 def q_text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned text of the document cells: one output line per text line."""
     shown = table(spark, sf_dir, "documents").select(
@@ -882,6 +888,7 @@ def queries() -> dict[str, Query]:
         "stream_records": q_stream_records,
         "stream_merge_hour": q_stream_merge,
         "long_cell": q_long_cell,
+        "markdown_long": q_markdown_long,
         "merge_order": q_merge_order,
         "stream_equal_times": q_stream_equal_times,
         "stream_idle_flush": q_stream_idle_flush,

@@ -322,6 +322,12 @@ def oracle_sql() -> dict[str, str]:
         "long_cell": f"""WITH {SHIPPING}, y AS (SELECT *, date_trunc('year', ts)::TIMESTAMP AS year FROM l)
           SELECT dense_rank() OVER (ORDER BY year) AS line, year AS ts, file,
             row_number() OVER (PARTITION BY file, year ORDER BY {SHIP_POSITION}) AS line_in_cell, body FROM y""",
+        "markdown_long": f"""WITH {SHIPPING}, k AS (
+          SELECT ts, file, replace(string_agg(body, chr(10) ORDER BY {SHIP_POSITION}), chr(10), '<br />') AS log
+          FROM l GROUP BY ts, file), o AS (
+          SELECT *, row_number() OVER (PARTITION BY ts ORDER BY list_position(['R', 'A', 'N'], file)) AS n FROM k)
+        SELECT '| ' || CASE WHEN n = 1 THEN {DISPLAY} ELSE '' END || ' | ' || file || ' | ' || log || ' |' AS row
+        FROM o""",
         "merge_order": f"""WITH {SHIPPING}, k AS (
           SELECT DISTINCT ts, file, list_position(['R', 'A', 'N'], file) - 1 AS file_no FROM l)
           SELECT row_number() OVER (ORDER BY ts, file_no) AS position, ts, file_no, file FROM k""",

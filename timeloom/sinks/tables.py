@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions.text import rtrim_ws
@@ -44,14 +44,23 @@ def markdown_row(names: Sequence[str]) -> Column:
 
 
 def markdown_rows(rows: DataFrame) -> DataFrame:
-    """The table body as ``(ts, part, row)``; a repeated timestamp is left blank."""
+    """The table body as ``(ts, part, row)``; the time of a row is blank where it shows the same as the
+    row before.
+
+    Rows that show the same time are at most a millisecond's, so they are compared among themselves;
+    rows without a time show none and are spread.
+    """
     names = _shown(rows)
-    cells = rows
-    if "part" in rows.columns and "timestamp" in names:
-        # Further parts of one timestamp belong to the same group of rows.
-        again = F.when(F.col("part") > 0, F.lit("")).otherwise(F.col("timestamp"))
-        cells = rows.withColumn("timestamp", again)
     keep = [c for c in _SORT_ONLY if c in rows.columns]
+    cells = rows
+    if "timestamp" in names and keep:
+        order = [c for c in (*keep, "line") if c in rows.columns]
+        lost = F.coalesce(F.col("timestamp") == "", F.lit(True))
+        spread = F.when(lost, F.xxhash64(*[F.col(f"`{n}`") for n in names])).otherwise(F.lit(0))
+        shown = Window.partitionBy("timestamp", "_spread").orderBy(*order)
+        cells = rows.withColumn("_spread", spread).withColumn("_again", F.row_number().over(shown) > 1)
+        again = F.when(F.col("_again"), F.lit("")).otherwise(F.col("timestamp"))
+        cells = cells.withColumn("timestamp", again)
     return cells.select(*keep, markdown_row(names).alias("row"))
 
 
@@ -61,18 +70,19 @@ def markdown_header(names: Sequence[str]) -> list[str]:
     return ["| " + " | ".join(names) + " |", "|" + "|".join(rule) + "|"]
 
 
-def _write_lines(rows: DataFrame, header: list[str], column: str, path: str) -> None:
-    spark = rows.sparkSession
-    top = spark.createDataFrame([(i, h) for i, h in enumerate(header)], "n int, value string")
-    # The header is the first part file, the body follows in range-partitioned part files.
-    top.coalesce(1).orderBy("n").select("value").write.text(path)
-    in_time_order(rows, "file_no").select(F.col(column).alias("value")).write.mode(
-        "append"
-    ).text(path + "/body")
+def _write_lines(rows: DataFrame, header: list[str], path: str, *more: str) -> None:
+    """One folder of text files: the header in front of the first, then ``row`` in time order."""
+    top = rows.sparkSession.createDataFrame([(i - len(header), h) for i, h in enumerate(header)],
+                                            "_top int, row string")
+    body = rows.withColumn("_top", F.lit(0))
+    keys = [c for c in ("part", *more) if c in rows.columns]
+    ordered = body.unionByName(top, allowMissingColumns=True).orderBy(
+        "_top", F.col("ts").asc_nulls_first(), *keys)
+    ordered.select(F.col("row").alias("value")).write.text(path)
 
 
 def write_markdown(rows: DataFrame, path: str) -> None:
-    _write_lines(markdown_rows(rows), markdown_header(_shown(rows)), "row", path)
+    _write_lines(markdown_rows(rows), markdown_header(_shown(rows)), path, "file_no")
 
 
 def column_widths(rows: DataFrame) -> DataFrame:
@@ -108,12 +118,7 @@ def write_text(rows: DataFrame, path: str) -> None:
     header = " | ".join(
         n.rjust(max(widths[n], 4)) if n == "line" else n.ljust(widths[n]) for n in names
     )
-    lines = text_rows(rows, widths)
-    spark = rows.sparkSession
-    spark.createDataFrame([(header.rstrip(),)], "value string").coalesce(1).write.text(path)
-    in_time_order(lines, "file_no", "line_no").select(F.col("row").alias("value")).write.mode(
-        "append"
-    ).text(path + "/body")
+    _write_lines(text_rows(rows, widths), [header.rstrip()], path, "file_no", "line_no")
 
 
 def show(rows: DataFrame, n: int = 20) -> None:
