@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.operators.asof import asof_join, nearest_times
-from timeloom.operators.clip import autoclip, clip
+from timeloom.operators.clip import TimeRange, autoclip, clip
 from timeloom.operators.merge import merge_long, merge_two, merge_wide, unpivot
-from timeloom.operators.records import collapse_records
+from timeloom.operators.order import LineOrder, with_segments
+from timeloom.operators.records import collapse_records, fill_records, segments_within
 from timeloom.plans.align import align
 
 from logs import MULTILINE, TEN
@@ -50,6 +51,47 @@ def test_autoclip(spark, write):
         autoclip(df, times(spark, [None])).collect()
 
 
+def log_lines(spark, seed: int, n: int = 400):
+    """Two sources roughly in time order, with records of many lines and untimed heads."""
+    rng = random.Random(seed)
+    rows = []
+    for file in "ab":
+        for seq in range(n):
+            ts = BASE + timedelta(seconds=seq + rng.randrange(-9, 9))
+            timed = rng.random() < 0.4 and seq > 20 and not 120 < seq < 180
+            rows.append((file, 0, seq, ts if timed else None, f"{file}{seq}"))
+    return spark.createDataFrame(
+        rows, "file string, block_start bigint, seq bigint, ts timestamp_ntz, body string")
+
+
+@pytest.mark.parametrize("lo, hi", [(100, 200), (None, 130), (350, None), (9000, None)])
+def test_clip_before_the_shuffle_keeps_the_same_lines(spark, lo, hi):
+    def at(s):
+        return None if s is None else BASE + timedelta(seconds=s)
+    lines = with_segments(log_lines(spark, 7), 3)
+    order, within = LineOrder(group_bits=2), TimeRange.between(at(lo), at(hi))
+    expected = clip(fill_records(lines, order=order), at(lo), at(hi), ts="rec_ts")
+    got = fill_records(lines, order=order, within=within)
+    assert got.columns == expected.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    cut = fill_records(lines, order=order, limit=40, within=within)
+    whole = clip(fill_records(lines, order=order, limit=40), at(lo), at(hi), ts="rec_ts")
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    timed = fill_records(lines, True, order, within=within)
+    assert timed.count() == clip(lines.where("ts IS NOT NULL"), at(lo), at(hi)).count()
+
+
+def test_fewer_segments_for_a_narrower_range(spark):
+    lines = with_segments(log_lines(spark, 8), 3)
+    def kept(lo, hi):
+        within = TimeRange.between(BASE + timedelta(seconds=lo), BASE + timedelta(seconds=hi))
+        return segments_within(lines, within).count()
+    timed = fill_records(lines).where("rec_ts IS NOT NULL").select("file", "segment").distinct()
+    assert kept(-9, 999) == timed.count() < 2 * 50  # all but the untimed heads of both sources
+    assert 0 < kept(300, 310) <= 8 < kept(200, 310) < kept(50, 310)
+    assert kept(5000, 6000) == 0
+
+
 def entries_of(spark, seed=0, n=300):
     rng = random.Random(seed)
     rows = [(rng.choice("abc"), 0, i, BASE + timedelta(seconds=rng.randrange(60)), f"t{i}")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from timeloom.operators.order import (
+    TOTAL,
+    LineOrder,
+    carry_segments,
     flag_disorder,
     forward_fill,
     number_rows,
@@ -44,8 +48,8 @@ def in_order(rows):
     return files
 
 
-@pytest.mark.parametrize("bits", [0, 3, 6, 17])
-def test_forward_fill_runs_and_sums(spark, bits):
+@pytest.mark.parametrize("bits, group_bits", [(0, 2), (0, 12), (3, 0), (3, 3), (6, 1), (17, 12)])
+def test_forward_fill_runs_and_sums(spark, bits, group_bits):
     rows = random_lines(bits)
     expected = {}
     for file, lines in in_order([(f, b, s, t and t.isoformat(), n) for f, b, s, t, n in rows]
@@ -58,7 +62,9 @@ def test_forward_fill_runs_and_sums(spark, bits):
             before = last
             expected[file, seq] = (last, total, run)
     df = with_segments(spark.createDataFrame(rows, SCHEMA), bits)
-    got = running_sum(number_runs(forward_fill(df)), "n", "total")
+    order = LineOrder(group_bits=group_bits)
+    runs = number_runs(forward_fill(df, order=order), order=order)
+    got = running_sum(runs, "n", "total", order)
     found = {
         (r.file, r.seq): (r.rec_ts and r.rec_ts.isoformat(), r.total, r.run_id)
         for r in got.collect()
@@ -66,8 +72,8 @@ def test_forward_fill_runs_and_sums(spark, bits):
     assert found == expected
 
 
-@pytest.mark.parametrize("bits", [0, 4, 17])
-def test_flag_disorder(spark, bits):
+@pytest.mark.parametrize("bits, group_bits", [(0, 2), (0, 12), (4, 1), (17, 12)])
+def test_flag_disorder(spark, bits, group_bits):
     rows = random_lines(bits + 50, 0.6)
     expected = {}
     for file, lines in in_order([(f, b, s, t and t.isoformat(), n) for f, b, s, t, n in rows]
@@ -81,7 +87,7 @@ def test_flag_disorder(spark, bits):
             top = max(filter(None, (top, ts)), default=None)
     df = with_segments(spark.createDataFrame(rows, SCHEMA), bits)
     found = {(r.file, r.seq): (r.is_out_of_order, r.lateness_us)
-             for r in flag_disorder(df).collect()}
+             for r in flag_disorder(df, order=LineOrder(group_bits=group_bits)).collect()}
     assert found == expected
 
 
@@ -97,3 +103,20 @@ def test_number_rows(spark):
     assert got == {(t, p): order.index(t) + 1 for t, p, _ in rows}
     without = number_rows(df.where(F.col("ts").isNotNull())).agg(F.min("line"), F.max("line"))
     assert tuple(without.first()) == (1, len(times))
+
+
+def test_segments_of_one_source_do_not_meet_in_one_task(spark):
+    """The largest window over segments holds one group of them, the one over groups one row each."""
+    order = LineOrder(group_bits=5)
+    df = with_segments(spark.range(4096).select(
+        F.when(F.col("id") >= 0, "one").alias("file"), F.lit(0).cast("bigint").alias("block_start"),
+        F.col("id").alias("seq"), F.lit(1).alias("n")), 2)  # 1024 segments in 32 groups
+    reduced = df.groupBy(*order.keys).agg(F.sum("n").alias("n"))
+    carried = carry_segments(reduced, order, {"before": ("n", TOTAL)})
+    wrong = carried.where(F.coalesce("before", F.lit(0)) != F.col("segment") * 4)
+    assert carried.count() == 1024 and wrong.isEmpty()
+    plan = carried._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if re.search(r"\bWindow \[", x)]
+    over_source = [x for x in windows if re.search(r", \[file#\d+\], ", x)]
+    # Over the whole source only the totals of groups are folded.
+    assert over_source and all("_all0" in x for x in over_source)

@@ -7,9 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from timeloom.operators.clip import TimeRange
 from timeloom.operators.merge import merge_wide
 from timeloom.operators.order import flag_disorder, forward_fill, number_rows, with_segments
-from timeloom.operators.records import collapse_records, parse_timestamps
+from timeloom.operators.records import collapse_records, fill_records, parse_timestamps
 from timeloom.plans.session import release_staged, scratch_dir, small_side, stage
 
 LINES = "file string, block_start bigint, seq bigint, ts timestamp_ntz, body string"
@@ -80,6 +81,16 @@ def test_side_passes_do_not_read_the_text(lines, fixed_plan):
     assert all("value" not in x for x in scans)
 
 
+def test_clip_stands_between_the_scan_and_the_shuffle(lines, fixed_plan):
+    within = TimeRange.between("1970-01-01 00:10:00", "1970-01-01 00:20:00")
+    clipped = fill_records(with_segments(lines, 5), within=within)
+    path = path_to_body(plan_of(clipped))
+    semi = next(i for i, x in enumerate(path) if "LeftSemi" in x)
+    shuffle = next(i for i, x in enumerate(path) if "Exchange" in x)
+    assert "BroadcastHashJoin" in path[semi] and semi < shuffle
+    assert len([x for x in path if "Exchange" in x]) == 1
+
+
 @pytest.mark.parametrize("build", [
     lambda df: forward_fill(with_segments(df)),
     lambda df: flag_disorder(with_segments(df)),

@@ -3,7 +3,7 @@
 from timeloom.functions.formats import FormatRegistry, TimestampFormat
 from timeloom.functions.literals import Jump
 from timeloom.operators.asof import asof_join, nearest_times
-from timeloom.operators.clip import autoclip, clip, span
+from timeloom.operators.clip import TimeRange, autoclip, clip, span
 from timeloom.operators.explore import (
     file_stats,
     find_next,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -14,15 +15,49 @@ def _stamp(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def in_range(ts: Column, start: datetime | None, end: datetime | None) -> Column:
-    """Inclusive range; what precedes all timestamps counts as earlier than any start."""
-    keep = F.lit(True)
-    if start is not None:
-        keep = ts >= _stamp(start)
-    if end is not None:
-        upto = ts <= _stamp(end)
-        keep = keep & upto if start is not None else ts.isNull() | upto
-    return keep
+@dataclass(frozen=True)
+class TimeRange:
+    """An inclusive range of times; a missing end is open.
+
+    What precedes all timestamps (a NULL time) counts as earlier than any start.
+    """
+
+    lo: Column | None = None
+    hi: Column | None = None
+
+    @classmethod
+    def between(cls, start: str | datetime | None = None, end: str | datetime | None = None,
+                now: datetime | None = None) -> TimeRange:
+        """From absolute text, ``15m``-like text or datetimes."""
+        lo, hi = parse_range(start, end, now)
+        return cls(None if lo is None else _stamp(lo), None if hi is None else _stamp(hi))
+
+    @classmethod
+    def of(cls, first: DataFrame, ts: str = "ts") -> TimeRange:
+        """The span of another table, as scalar subqueries over one min/max aggregate.
+
+        A table without any timestamp is an error, raised when the query runs.
+        """
+        missing = F.raise_error(F.lit("no timestamps in the first source")).cast("timestamp_ntz")
+        bounds = span(first, ts).select(*[F.coalesce(c, missing).alias(c) for c in ("lo", "hi")])
+        return cls(bounds.select("lo").scalar(), bounds.select("hi").scalar())
+
+    @property
+    def is_open(self) -> bool:
+        return self.lo is None and self.hi is None
+
+    def holds(self, ts: Column) -> Column:
+        return self.meets(ts, ts)
+
+    def meets(self, lowest: Column, highest: Column) -> Column:
+        """Whether a span of times, NULL for what precedes all of them, may reach into the range."""
+        keep = F.lit(True)
+        if self.lo is not None:
+            keep = highest >= self.lo
+        if self.hi is not None:
+            upto = lowest <= self.hi
+            keep = keep & upto if self.lo is not None else lowest.isNull() | upto
+        return keep
 
 
 def clip(rows: DataFrame, start: str | datetime | None = None,
@@ -30,13 +65,11 @@ def clip(rows: DataFrame, start: str | datetime | None = None,
          ts: str = "ts") -> DataFrame:
     """Keep rows between ``start`` and ``end``: absolute text, ``15m``-like text or datetime.
 
-    Use it on entries, or on filled lines with ``ts='rec_ts'``, so that a record is kept or
-    dropped as a whole.
+    Use it on entries, so that a record is kept or dropped as a whole; lines are clipped by
+    :func:`~timeloom.operators.records.fill_records` before they are shuffled.
     """
-    lo, hi = parse_range(start, end, now)
-    if lo is None and hi is None:
-        return rows
-    return rows.where(in_range(F.col(ts), lo, hi))
+    within = TimeRange.between(start, end, now)
+    return rows if within.is_open else rows.where(within.holds(F.col(ts)))
 
 
 def span(rows: DataFrame, ts: str = "ts") -> DataFrame:
@@ -45,13 +78,5 @@ def span(rows: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def autoclip(rows: DataFrame, first: DataFrame, ts: str = "ts") -> DataFrame:
-    """Keep rows inside the time span of another table, in one plan.
-
-    The bounds are scalar subqueries over one min/max aggregate.  A first table without any
-    timestamp is an error, raised when the query runs.
-    """
-    missing = F.raise_error(F.lit("no timestamps in the first source")).cast("timestamp_ntz")
-    bounds = span(first, ts).select(*[F.coalesce(c, missing).alias(c) for c in ("lo", "hi")])
-    return rows.where(
-        (F.col(ts) >= bounds.select("lo").scalar()) & (F.col(ts) <= bounds.select("hi").scalar())
-    )
+    """Keep rows inside the time span of another table, in one plan."""
+    return rows.where(TimeRange.of(first).holds(F.col(ts)))

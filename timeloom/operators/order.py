@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -17,18 +16,23 @@ from pyspark.sql import functions as F
 # 2**15 lines per segment: a few MB of log text, and some ten million segments in a source
 # of tens of TB.
 SEGMENT_BITS = 15
+# 2**12 segments of a block are folded together before blocks meet: what meets per source is one
+# row per block of a file, or per 2**27 lines of a block that cannot be split.
+GROUP_BITS = 12
 
 
 @dataclass(frozen=True)
 class LineOrder:
     """Where a line stands: its source, its segment, and its place in the segment.
 
-    Segments order the blocks of a source, ``by`` orders lines inside a segment.
+    Segments order the blocks of a source, ``by`` orders lines inside a segment.  The last of
+    ``segments`` is a whole number; ``2**group_bits`` of them are folded as one.
     """
 
     file: str = "file"
     segments: tuple[str, ...] = ("block_start", "segment")
     by: tuple[str, ...] = ("seq",)
+    group_bits: int = GROUP_BITS
 
     @property
     def keys(self) -> list[str]:
@@ -62,21 +66,65 @@ def with_segments(lines: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
     return lines.withColumn("segment", F.shiftright(F.col("seq").cast("bigint"), bits))
 
 
+@dataclass(frozen=True)
+class Fold:
+    """How what segments hand on adds up: over the rows of a window, and of two spans in order."""
+
+    over: Callable[[Column, WindowSpec], Column]
+    both: Callable[[Column, Column], Column]
+
+
+def _plus(early: Column, late: Column) -> Column:
+    return F.coalesce(early + late, early, late)
+
+
+LATEST = Fold(lambda c, w: F.last(c, ignorenulls=True).over(w), lambda a, b: F.coalesce(b, a))
+TOTAL = Fold(lambda c, w: F.sum(c).over(w), _plus)
+HIGHEST = Fold(lambda c, w: F.max(c).over(w), lambda a, b: F.greatest(a, b))
+
+
+def carry_segments(reduced: DataFrame, order: LineOrder,
+                   carries: dict[str, tuple[str, Fold]]) -> DataFrame:
+    """Add to a table of segments what the earlier segments of their source hand on.
+
+    ``carries`` maps a new column to the folded one; it is NULL where nothing comes before.  A
+    tree of prefixes: segments meet per group of segments, groups meet per source, and what a
+    group inherits goes back to its segments.  So no task holds all segments of a source.
+    """
+    *outer, last = order.segments
+    group = [order.file, *outer, "_group"]
+    start, here = Window.unboundedPreceding, Window.currentRow
+    inside = Window.partitionBy(*group).orderBy(last)
+    folded = reduced.withColumn("_group", F.shiftright(F.col(last), order.group_bits)).select(
+        "*",
+        *[f.over(F.col(c), inside.rowsBetween(start, -1)).alias(out)
+          for out, (c, f) in carries.items()],
+        *[f.over(F.col(c), inside.rowsBetween(start, here)).alias(f"_with{i}")
+          for i, (c, f) in enumerate(carries.values())],
+    )
+    totals = folded.groupBy(*group).agg(
+        *[F.max_by(f"_with{i}", last).alias(f"_all{i}") for i in range(len(carries))]
+    )
+    earlier = Window.partitionBy(order.file).orderBy(*group[1:]).rowsBetween(start, -1)
+    before = totals.select(*group, *[
+        f.over(F.col(f"_all{i}"), earlier).alias(f"_early{i}")
+        for i, (_, f) in enumerate(carries.values())
+    ])
+    return folded.join(before, group).select(*reduced.columns, *[
+        f.both(F.col(f"_early{i}"), F.col(out)).alias(out)
+        for i, (out, (_, f)) in enumerate(carries.items())
+    ])
+
+
 def segment_prefix(lines: DataFrame, order: LineOrder, summaries: dict[str, Column],
-                   prefixes: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+                   carries: dict[str, tuple[str, Fold]], keep: Sequence[str] = ()) -> DataFrame:
     """One row per segment with what the earlier segments of its source hand on.
 
-    ``summaries`` reduce a segment (map-side combined); ``prefixes`` fold the summaries of
-    all earlier segments.  The result also tells the ordinal of the segment in its source.
+    ``summaries`` reduce a segment (map-side combined); ``carries`` fold the summaries of all
+    earlier segments, see :func:`carry_segments`.  ``keep`` names summaries to be returned too.
     """
     reduced = lines.groupBy(*order.keys).agg(*[c.alias(n) for n, c in summaries.items()])
-    by_source = Window.partitionBy(order.file).orderBy(*order.segments)
-    earlier = by_source.rowsBetween(Window.unboundedPreceding, -1)
-    return reduced.select(
-        *order.keys,
-        (F.row_number().over(by_source) - 1).alias("segment_no"),
-        *[fold(earlier).alias(name) for name, fold in prefixes.items()],
-    )
+    return carry_segments(reduced, order, carries).select(*order.keys, *keep, *carries)
 
 
 def join_segments(lines: DataFrame, per_segment: DataFrame, order: LineOrder) -> DataFrame:
@@ -91,22 +139,17 @@ def fill_steps(lines: DataFrame, values: Sequence[str], order: LineOrder
                ) -> tuple[DataFrame, DataFrame, list[Column]]:
     """The pieces of a forward fill: lines filled inside their segment, the table of what each
     segment inherits, and the filled values once both are joined (then drop ``fill_columns``)."""
-    summaries, prefixes, filled = {}, {}, []
+    summaries, carries, filled = {}, {}, []
     inside = lines
     for i, value in enumerate(values):
         present = F.when(F.col(value).isNotNull(), order.place())
         summaries[f"_end{i}"] = F.max_by(F.col(value), present)
-        prefixes[f"_carry{i}"] = partial(_last_of, f"_end{i}")
+        carries[f"_carry{i}"] = (f"_end{i}", LATEST)
         inside = inside.withColumn(
             f"_here{i}", F.last(value, ignorenulls=True).over(order.up_to_here())
         )
         filled.append(F.coalesce(f"_here{i}", f"_carry{i}"))
-    inherited = segment_prefix(lines, order, summaries, prefixes).drop("segment_no")
-    return inside, inherited, filled
-
-
-def _last_of(name: str, window: WindowSpec) -> Column:
-    return F.last(name, ignorenulls=True).over(window)
+    return inside, segment_prefix(lines, order, summaries, carries), filled
 
 
 def fill_columns(count: int = 1) -> list[str]:
@@ -135,8 +178,8 @@ def running_sum(lines: DataFrame, value: str, out: str,
     prefix = segment_prefix(
         lines, order,
         {"_total": F.sum(value)},
-        {"_carry": lambda w: F.sum("_total").over(w)},
-    ).drop("segment_no")
+        {"_carry": ("_total", TOTAL)},
+    )
     inner = lines.withColumn("_here", F.sum(value).over(order.up_to_here()))
     return (
         join_segments(inner, prefix, order)
@@ -154,8 +197,8 @@ def flag_disorder(lines: DataFrame, ts: str = "ts",
     prefix = segment_prefix(
         lines, order,
         {"_top": F.max(ts)},
-        {"_carry": lambda w: F.max("_top").over(w)},
-    ).drop("segment_no")
+        {"_carry": ("_top", HIGHEST)},
+    )
     inner = lines.withColumn("_here", F.max(ts).over(order.before_here()))
     latest = F.greatest("_here", "_carry")
     late = F.coalesce(F.col(ts) < latest, F.lit(False))
@@ -174,17 +217,18 @@ def number_runs(lines: DataFrame, value: str = "rec_ts", out: str = "run_id",
     """Number the maximal runs of consecutive lines with equal ``value`` from 1 per source."""
     prefix = segment_prefix(
         lines, order,
-        {"_end": F.max_by(F.col(value), order.place())},
-        {"_carry": lambda w: F.last("_end").over(w)},
+        # A struct is there even where its value is NULL.
+        {"_end": F.max_by(F.struct(F.col(value).alias("v")), order.place())},
+        {"_carry": ("_end", LATEST)},
     )
     inner = lines.withColumn("_here", F.lag(value).over(order.inside())).withColumn(
         "_inner", F.coalesce(F.lag(F.lit(True)).over(order.inside()), F.lit(False))
     )
-    before = F.when(F.col("_inner"), F.col("_here")).otherwise(F.col("_carry"))
-    follows = F.col("_inner") | (F.col("segment_no") > 0)
+    before = F.when(F.col("_inner"), F.col("_here")).otherwise(F.col("_carry.v"))
+    follows = F.col("_inner") | F.col("_carry").isNotNull()
     starts = F.when(follows & before.eqNullSafe(F.col(value)), 0).otherwise(1)
     marked = join_segments(inner, prefix, order).withColumn("_starts", starts)
-    marked = marked.drop("_here", "_inner", "_carry", "segment_no")
+    marked = marked.drop("_here", "_inner", "_carry")
     return running_sum(marked, "_starts", out, order).drop("_starts")
 
 

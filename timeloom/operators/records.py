@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.formats import FormatRegistry
 from timeloom.functions.text import after_prefix, indent_continuation, rtrim_ws, strip_sgr
+from timeloom.operators.clip import TimeRange
 from timeloom.operators.order import (
     DEFAULT_ORDER,
+    LATEST,
     LineOrder,
     fill_columns,
     fill_steps,
     join_segments,
+    segment_prefix,
     with_segments,
 )
 from timeloom.plans.session import collect_small, lookup, small_side
@@ -211,9 +214,32 @@ def _long_cells(filled: DataFrame, order: LineOrder, limit: int) -> DataFrame:
     )
 
 
+def segments_within(lines: DataFrame, within: TimeRange, order: LineOrder = DEFAULT_ORDER,
+                    key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The keys of the segments that may hold a line of a record in the range.
+
+    An index of the filled times, made from times and numbers only: the span of the times in a
+    segment, and, where its first line has none, the time handed on by the segments before it.
+    """
+    key = key or (lambda ts: ts)
+    timed = F.when(F.col("ts").isNotNull(), order.place())
+    index = segment_prefix(
+        lines, order,
+        {"_end": F.max_by("ts", timed), "_lo": F.min("ts"), "_hi": F.max("ts"),
+         "_head": F.min_by(F.col("ts").isNull(), order.place())},
+        {"_carry": ("_end", LATEST)}, keep=("_lo", "_hi", "_head"),
+    )
+    own = F.col("_hi").isNotNull() & within.meets(key(F.col("_lo")), key(F.col("_hi")))
+    handed_on = F.col("_head") & within.holds(key(F.col("_carry")))
+    return index.where(
+        F.coalesce(own, F.lit(False)) | F.coalesce(handed_on, F.lit(False))
+    ).select(*order.keys)
+
+
 def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
                  order: LineOrder = DEFAULT_ORDER, limit: int | None = None,
-                 key: Callable[[Column], Column] | None = None) -> DataFrame:
+                 key: Callable[[Column], Column] | None = None,
+                 within: TimeRange | None = None) -> DataFrame:
     """Lines with ``rec_ts``, the time of the record they belong to.
 
     A cell of a source and a time is one cell, however large.  Only a caller who sets ``limit``
@@ -222,6 +248,9 @@ def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
     the cell.  Whether any source can have such cells is checked first, by a small job over
     times and sizes.  ``key`` must not decrease with time.  Cells too large for one task can be
     taken line by line, see :func:`cell_lines`.
+
+    ``within`` keeps the lines of records in a range of times.  Segments that cannot hold any are
+    found first, by a small job over times, and their text is never shuffled.
     """
     if order == DEFAULT_ORDER and "segment" not in lines.columns:
         lines = with_segments(lines)
@@ -229,6 +258,7 @@ def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
     lines = lines.withColumn("_bytes", F.octet_length("body") + 1)
     if ignore_untimestamped:
         lines = lines.where(F.col("ts").isNotNull())
+    clipped = within is not None and not within.is_open
 
     def steps(some: DataFrame) -> tuple[DataFrame, DataFrame | None, Column]:
         if ignore_untimestamped:
@@ -252,10 +282,16 @@ def fill_records(lines: DataFrame, ignore_untimestamped: bool = False,
             )
             mine = F.filter("_long", lambda c: c["cell_ts"].eqNullSafe(F.col("rec_ts")))
             part = F.coalesce(F.get(mine, F.lit(0))["part"], F.lit(0))
+    if clipped and not ignore_untimestamped:
+        # What segments hand on comes from all lines; only the text is read from the kept ones.
+        kept, _ = small_side(segments_within(lines, within, order, key))
+        inside, _, _ = steps(lines.join(kept, order.keys, "left_semi"))
     joined = inside if per_segment is None else join_segments(inside, per_segment, order)
     joined = joined.withColumn("rec_ts", rec_ts)
     if part is not None:
         joined = joined.withColumn("part", part)
+    if clipped:
+        joined = joined.where(within.holds(F.col("rec_ts")))
     return joined.drop(*fill_columns(), "_long", "_bytes")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.functions.formats import FormatRegistry
-from timeloom.operators.clip import autoclip, clip
+from timeloom.operators.clip import TimeRange
 from timeloom.operators.explore import file_stats
 from timeloom.operators.merge import merge_long, merge_wide, present
 from timeloom.operators.order import number_rows, with_segments
@@ -69,7 +69,7 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     The parsed lines are written once to the shared folder.  Everything after that reads the
     columnar copy, so each pass sees the same line numbers and reads only what it needs.  A cell
     is one row; ``max_cell_bytes`` cuts larger ones into parts, and :meth:`Alignment.lines` gives them
-    line by line.
+    line by line.  A range of times is cut out before any text is shuffled.
     """
     registry = registry or FormatRegistry()
     for template in timestamp_formats:
@@ -87,10 +87,9 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     parsed = parse_timestamps(raw, formats, registry, reference_date, strict)
     kept = ("file", "block_start", "seq", "ts", "body", "parse_error")
     lines = with_segments(stage(parsed.select(*kept), "lines"))
-    filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes)
     if autoclip_to_first:
-        first = lines.where(F.col("file") == files[0]).select(F.col("ts").alias("rec_ts"))
-        filled = autoclip(filled, first, "rec_ts")
+        within = TimeRange.of(lines.where(F.col("file") == files[0]))
     else:
-        filled = clip(filled, start, end, now, ts="rec_ts")
+        within = TimeRange.between(start, end, now)
+    filled = fill_records(lines, ignore_untimestamped, limit=max_cell_bytes, within=within)
     return Alignment(filled, files)

@@ -19,7 +19,7 @@ from timeloom.functions import text as tx
 from timeloom.functions.formats import FormatRegistry
 from timeloom.functions.literals import Jump
 from timeloom.operators.asof import asof_join
-from timeloom.operators.clip import autoclip, clip
+from timeloom.operators.clip import TimeRange, autoclip, clip
 from timeloom.operators.explore import (
     OVERALL,
     file_stats,
@@ -415,8 +415,8 @@ def q_clip_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_clip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = fill_records(conversation_lines(spark, sf_dir))
-    kept = clip(filled, end="2024-01-02 06:02", ts="rec_ts")
+    kept = fill_records(conversation_lines(spark, sf_dir),
+                        within=TimeRange.between(end="2024-01-02 06:02"))
     return kept.select(F.col("file").alias("conv_id"), F.col("seq").alias("turn"), "rec_ts")
 
 
