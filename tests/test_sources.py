@@ -204,6 +204,20 @@ def test_quote_state_of_a_line(spark):
     assert [(c, ends_open(c, False), ends_open(c, True)) for c in cases] == [tuple(r) for r in got]
 
 
+@pytest.mark.parametrize("record_end", ["\n", "\r\n", "\r"])
+def test_csv_line_ends_inside_cells_stay(spark, write, small_splits, record_end):
+    rng = random.Random(len(record_end))
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=record_end)
+    writer.writerow(["time", "one", "two"])
+    for i in range(80):
+        writer.writerow([f"t{i}", *["".join(rng.choices(["a", "\r\n", "\r", "\n", '"', ","], k=rng.randrange(6)))
+                                    for _ in range(2)]])
+    path = write("a.csv", out.getvalue())
+    small_splits(150)
+    assert raw_lines(read_csv_lines(spark, [path])) == python_csv(out.getvalue())
+
+
 def test_csv_hot_file(spark, write, small_splits):
     """One long quoted cell over most of the file still comes out whole, whatever its length."""
     cell = "\n".join(f"row {i}, part" for i in range(12_000))

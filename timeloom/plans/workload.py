@@ -584,6 +584,20 @@ def q_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_records.read_csv_lines(spark, [folder]).select("raw")
 
 
+def q_csv_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with all kinds of line ends in them come back as they are in the file."""
+    folder = fresh_path(spark, "csv-crlf")
+    text = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("at "), F.col("doc_id")).alias("time"),
+        F.replace(text, F.lit(". "), F.lit(".\r")).alias("text"), "source",
+    ).write.options(
+        header=True, quoteAll=True, escape='"', lineSep="\n",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(folder)
+    return csv_records.read_csv_lines(spark, [folder]).select("raw")
+
+
 def q_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "jsonl")
     events = event_lines(spark, sf_dir)
@@ -878,6 +892,7 @@ def queries() -> dict[str, Query]:
         "text_gzip_lines": q_text_gzip,
         "csv_lines": q_csv,
         "csv_quoted_lines": q_csv_quoted,
+        "csv_crlf_cells": q_csv_crlf,
         "jsonl_lines": q_jsonl,
         "packet_format": q_packets,
         "synthetic_log": q_synthetic,

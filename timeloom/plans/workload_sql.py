@@ -295,6 +295,9 @@ def oracle_sql() -> dict[str, str]:
               || body AS log FROM e""",
         "csv_quoted_lines": "SELECT 'at ' || doc_id || ' lang=' || lang || ' text=' || text || "
                             "' source=' || source AS raw FROM documents",
+        "csv_crlf_cells": "SELECT 'at ' || doc_id || ' text=' || replace(replace(text, chr(10), "
+                          "chr(13) || chr(10)), '. ', '.' || chr(13)) || ' source=' || source "
+                          "AS raw FROM documents",
         "jsonl_lines": f"""WITH {EVENTS} SELECT {DISPLAY} || ' kind: ' || file || chr(10) ||
             'user: ' || user_id || chr(10) || 'message: ' || body || chr(10) ||
             'ref: {{"id":' || seq || '}}' AS raw FROM e""",

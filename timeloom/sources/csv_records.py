@@ -3,18 +3,22 @@
 A quoted cell may run over several physical lines.  Instead of giving a whole file to one
 task, each line says what it does to the quote state (open or closed) and the states are
 chained over segments like any other running value.  Records are then cut where a line
-starts in the closed state.
+starts in the closed state.  Line ends inside a cell stay as they are in the file: each line
+knows the end that follows it, and lines of one record are put together with theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.operators.order import (
+    LATEST,
+    TOTAL,
     LineOrder,
+    carry_segments,
     forward_fill_all,
     with_segments,
 )
@@ -76,11 +80,15 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     swaps so far, the state is the last closing or opening seen through the swaps since then.
     The same holds for whole segments, so their few rows carry the state from one to the next.
 
+    ``line_end``, where there is such a column, is what follows a line in the file (else ``\\n``).
+
     A cell may be of any length.  A quote still open at the end of its file was never meant to
     open a cell: its record becomes an error marker, and the lines after it are records of their
     own.
     """
     lines = with_segments(lines)
+    if "line_end" not in lines.columns:
+        lines = lines.withColumn("line_end", F.lit("\n"))
     here = order.up_to_here()
     changes = lines.withColumn("_closed", opens_quote(F.col("raw")).cast("int")).withColumn(
         "_open", leaves_quote_open(F.col("raw")).cast("int")
@@ -97,13 +105,13 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
         F.max_by("_set", order.place()).alias("_set"),
         F.max_by("_swaps", order.place()).alias("_swaps"),
     )
-    by_source = Window.partitionBy(order.file).orderBy(*order.segments)
-    entry = (
-        ends.withColumn("_all", F.pmod(F.sum("_swaps").over(by_source), F.lit(2)).cast("int"))
-        .withColumn("_seen", F.col("_set").bitwiseXOR(F.col("_swaps")).bitwiseXOR(F.col("_all")))
-        .withColumn("_seen", F.last("_seen", ignorenulls=True).over(by_source))
-        .withColumn("_after", F.coalesce("_seen", F.lit(0)).bitwiseXOR(F.col("_all")))
-        .select(*order.keys, F.lag("_after", 1, 0).over(by_source).alias("_entry"))
+    # Seen from the start of the source: first the swaps before a segment, then the last setting.
+    swapped = carry_segments(ends, order, {"_before": ("_swaps", TOTAL)}).withColumn(
+        "_before", F.pmod(F.coalesce("_before", F.lit(0)), F.lit(2)).cast("int")
+    ).withColumn("_seen", F.col("_set").bitwiseXOR(F.col("_before")))
+    entry = carry_segments(swapped, order, {"_last": ("_seen", LATEST)}).select(
+        *order.keys,
+        F.coalesce("_last", F.lit(0)).bitwiseXOR(F.col("_before")).alias("_entry"),
     )
     stated = chained.join(entry, order.keys, "left").withColumn(
         "_after", F.coalesce("_set", "_entry").bitwiseXOR(F.col("_swaps"))
@@ -131,14 +139,15 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     return (
         lone.groupBy(order.file, "_record")
         .agg(
-            F.expr(f"listagg(raw, '\\n') within group (order by {position})").alias("raw"),
+            F.expr(f"listagg(raw || line_end, '') within group (order by {position})")
+            .alias("raw"),
             F.first("file_date").alias("file_date"),
         )
         .select(
             order.file,
             F.col("_record.block_start").alias("block_start"),
             F.col("_record.seq").alias("seq"),
-            "raw", "file_date",
+            F.regexp_replace("raw", r"(?:\r\n|\r|\n)\z", "").alias("raw"), "file_date",
         )
     )
 
@@ -186,16 +195,35 @@ def csv_to_lines(records: DataFrame, source: str = "path") -> DataFrame:
     )
 
 
+def lines_with_ends(lines: DataFrame) -> DataFrame:
+    """Lines cut at line feeds, cut at carriage returns too; ``line_end`` tells what followed each.
+
+    They are numbered anew in the task that reads them, so numbers still rise along the file.
+    """
+    returned = F.endswith("raw", F.lit("\r"))
+    pieces = F.split(F.regexp_replace("raw", r"\r\z", ""), "\r", -1)
+    cut = lines.withColumn("_last_end", F.when(returned, "\r\n").otherwise("\n")).select(
+        "*", F.posexplode(pieces).alias("_at", "_piece"), F.size(pieces).alias("_pieces")
+    )
+    end = F.when(F.col("_at") + 1 < F.col("_pieces"), "\r").otherwise(F.col("_last_end"))
+    return cut.select(
+        "path", "block_start", F.monotonically_increasing_id().alias("seq"),
+        F.col("_piece").alias("raw"), "file_date", end.alias("line_end"),
+    )
+
+
 def read_csv_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8",
                    quoted_newlines: bool | None = None) -> DataFrame:
     """CSV files as raw lines.
 
-    ``quoted_newlines=None`` looks whether any line ends inside an open quote; files without
-    one (the normal case) need no gluing.  The lines are staged once, because records,
-    headers and that check must all see the same line numbers.
+    ``quoted_newlines=None`` looks whether any line ends inside an open quote, and stops at the
+    first; files without one (the normal case) need no gluing.  The lines are staged once,
+    because records and headers must see the same line numbers.
     """
-    lines = stage(read_text(spark, paths, encoding), "csv")
     if quoted_newlines is None:
-        quoted_newlines = not lines.where(opens_quote(F.col("raw"))).isEmpty()
-    records = join_open_quotes(lines) if quoted_newlines else lines
-    return csv_to_lines(records)
+        seen = read_text(spark, paths, encoding)
+        quoted_newlines = not seen.where(opens_quote(F.col("raw"))).isEmpty()
+    if not quoted_newlines:
+        return csv_to_lines(stage(read_text(spark, paths, encoding), "csv"))
+    exact = lines_with_ends(read_text(spark, paths, encoding, line_feed_only=True))
+    return csv_to_lines(join_open_quotes(stage(exact, "csv")))

@@ -92,9 +92,12 @@ def _inside(fs, folder) -> list:
     return found
 
 
-def read_text(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8") -> DataFrame:
+def read_text(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8",
+              line_feed_only: bool = False) -> DataFrame:
     """Lines of text files; ``.gz`` files are unpacked by the scan.
 
+    A line ends at ``\\n``, ``\\r`` or both; with ``line_feed_only`` at ``\\n``, and ``\\r`` is kept.
+
     ``seq`` is taken on the scan itself: one task reads a block from front to back, so the
     id rises with the line, and ``block_start`` orders the blocks of a file.
     """
@@ -105,7 +108,8 @@ def read_text(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8"
             for exact, members in _by_byte_order(spark, paths, charset).items()
         ]
         return reduce(DataFrame.unionByName, parts)
-    return _scan(spark.read, paths, charset)
+    reader = spark.read.option("lineSep", "\n") if line_feed_only else spark.read
+    return _scan(reader, paths, charset)
 
 
 def _scan(reader: DataFrameReader, paths: Sequence[str], charset: str) -> DataFrame:
