@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from timeloom.operators.order import flag_disorder, with_segments
 from timeloom.operators.records import detect_formats, parse_timestamps
-from timeloom.plans.align import align
+from timeloom.functions.formats import FormatRegistry
+from timeloom.plans.align import align, detect_file_formats
 from timeloom.sources import packets, synthetic
 from timeloom.sources.csv_records import leaves_quote_open, opens_quote, read_csv_lines
-from timeloom.sources.files import expand_paths, read_logs, read_text, register_reader
+from timeloom.sources.files import expand_paths, file_heads, read_logs, read_text, register_reader
 
 from logs import JSON_ROWS, TEN
 
@@ -342,6 +343,29 @@ def test_late_first_timestamp_is_found_in_any_block(spark, write, small_splits):
                          (datetime(2024, 1, 1, 10, 0, 1), 1, "two")}
 
 
+def test_detection_reads_the_heads_of_files(spark, write, tmp_path):
+    """The same formats as a scan finds; only files that the heads do not settle are scanned."""
+    late = ["no time", *TEN]
+    paths = [write("first.log", TEN), write("late.log", late), write("empty.log", ""),
+             write("long.log", ["x" * 70_000, *TEN]), write("blank.log", ["", *TEN]),
+             write("mark.log", "\ufeff" + TEN[0] + "\r\nmore"), write("none.log", ["a", "b"]),
+             write("x.csv", ["time,a", TEN[0] + ",1"])]
+    packed = tmp_path / "packed.log.gz"
+    packed.write_bytes(gzip.compress("\n".join(TEN).encode()))
+    files = expand_paths(spark, [*paths, str(packed)])
+    heads, left = file_heads(spark, files)
+    assert [f.name for f in left] == [paths[3], paths[7]]
+    assert {r.file for r in heads.collect()} == {f.name for f in files} - {
+        paths[2], paths[3], paths[7]}
+    whole, _ = read_logs(spark, [f.name for f in files])
+    for scan in ("first_line", "first_match"):
+        got = detect_file_formats(spark, files, "utf-8", FormatRegistry(), scan)
+        assert sorted(map(str, got.collect())) == sorted(
+            map(str, detect_formats(whole, scan=scan).collect()))
+    with pytest.raises(ValueError, match="unknown scan"):
+        detect_file_formats(spark, files, "utf-8", FormatRegistry(), "other")
+
+
 def test_detection_without_a_block_zero(spark):
     lines = spark.createDataFrame([("f", 7, 1, "2024-01-01 10:00:00 a"), ("f", 9, 0, "x")],
                                   "file string, block_start long, seq long, raw string")

@@ -22,7 +22,7 @@ from timeloom.operators.records import (
     parse_timestamps,
 )
 from timeloom.plans.session import collect_small, stage
-from timeloom.sources.files import read_logs
+from timeloom.sources.files import LogFile, expand_paths, file_heads, lines_of
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,27 @@ class Alignment:
         return file_stats(self.entries, self.files)
 
 
+def detect_file_formats(spark: SparkSession, files: Sequence[LogFile], encoding: str,
+                        registry: FormatRegistry, scan: str = "first_line") -> DataFrame:
+    """``(file, fmt)`` as :func:`detect_formats` gives it, from the heads of the files where they do.
+
+    Only the other files are scanned: for ``first_line`` those whose first line the head does not
+    hold, for ``first_match`` also those whose first line has no known timestamp.
+    """
+    if scan not in ("first_line", "first_match"):
+        raise ValueError(f"unknown scan {scan!r}")
+    heads, left = file_heads(spark, files, encoding)
+    formats = detect_formats(heads, registry)
+    if scan == "first_match":
+        formats = formats.where(F.col("fmt").isNotNull())
+        done = {r.file for r in formats.collect()}  # one row per head
+        left = [f for f in files if f.name not in done]
+    if left:
+        lines = lines_of(spark, left, encoding)
+        formats = formats.unionByName(detect_formats(lines, registry, scan))
+    return formats
+
+
 def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
           timestamp_formats: Iterable[str] = (), start: str | datetime | None = None,
           end: str | datetime | None = None, autoclip_to_first: bool = False,
@@ -74,8 +95,9 @@ def align(spark: SparkSession, paths: Iterable[str], *, encoding: str = "utf-8",
     registry = registry or FormatRegistry()
     for template in timestamp_formats:
         registry.add_template(template)
-    raw, files = read_logs(spark, paths, encoding)
-    formats = detect_formats(raw, registry, detect)
+    found = expand_paths(spark, paths)
+    raw, files = lines_of(spark, found, encoding), [f.name for f in found]
+    formats = detect_file_formats(spark, found, encoding, registry, detect)
     known = collect_small(formats)
     if known is not None:
         formats = {r.file: r.fmt for r in known}

@@ -519,6 +519,17 @@ def q_align_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_by_line(merged.long())
 
 
+def q_detect_late_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that begin with a line without a time; the format is found further down."""
+    folder = fresh_path(spark, "late")
+    raw = _in_parts(rendered_events(spark, sf_dir, "iso_space_comma"))
+    raw.select(F.col("file").alias("kind"),
+               F.concat(F.lit("-- event\n"), F.col("raw")).alias("value")
+               ).write.partitionBy("kind").text(folder)
+    rows = _line_by_line(align(spark, [folder], detect="first_match").long())
+    return rows.where(F.trim("log") != "-- event")
+
+
 def q_align_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text, gzip, CSV and JSON lines in one folder, each read by its suffix."""
     folder = fresh_path(spark, "mixed")
@@ -888,6 +899,7 @@ def queries() -> dict[str, Query]:
         "align_long": q_align_long,
         "align_stats": q_align_stats,
         "align_clip": q_align_clip,
+        "detect_late_line": q_detect_late_line,
         "align_mixed_suffixes": q_align_mixed,
         "text_gzip_lines": q_text_gzip,
         "csv_lines": q_csv,

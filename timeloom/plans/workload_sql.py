@@ -290,6 +290,8 @@ def oracle_sql() -> dict[str, str]:
         "align_clip": f"WITH {EVENTS} SELECT {DISPLAY} AS timestamp, file AS kind, body AS log "
                       f"FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:30:00' "
                       "AND TIMESTAMP '2024-01-20 12:00:00.5'",
+        "detect_late_line": f"WITH {EVENTS} SELECT {DISPLAY} AS timestamp, file AS kind, "
+                            "body AS log FROM e",
         "align_mixed_suffixes": f"""WITH {EVENTS} SELECT {DISPLAY} AS timestamp, file AS kind,
             CASE file WHEN 'purchase' THEN 'entry=' WHEN 'signup' THEN 'entry: ' ELSE '' END
               || body AS log FROM e""",

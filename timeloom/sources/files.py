@@ -24,6 +24,10 @@ _PYTHON_TO_JVM = {"ascii": "us-ascii", "iso8859-1": "iso-8859-1", "utf-16-le": "
 # An address without a host is written with one slash or with three.
 _NO_HOST = re.compile("^([A-Za-z][A-Za-z0-9+.-]*):///")
 
+# The first line of a file is looked for in this many bytes, and in this many files one by one.
+HEAD_BYTES = 1 << 16
+MAX_HEADS = 10_000
+
 Reader = Callable[[SparkSession, Sequence[str], str], DataFrame]
 
 _readers: dict[str, Reader] = {}
@@ -172,6 +176,12 @@ def read_logs(spark: SparkSession, paths: Iterable[str],
     (the full path where a folder or glob stands for several files).
     """
     files = expand_paths(spark, paths)
+    return lines_of(spark, files, encoding), [f.name for f in files]
+
+
+def lines_of(spark: SparkSession, files: Sequence[LogFile],
+             encoding: str = "utf-8") -> DataFrame:
+    """Raw lines of files that :func:`expand_paths` found."""
     groups: dict[str, tuple[Reader, dict[str, None]]] = {}
     for file in files:
         suffix, reader = _suffix_reader(file.path)
@@ -188,5 +198,42 @@ def read_logs(spark: SparkSession, paths: Iterable[str],
     named = lines.withColumn("path", address).join(names, "path", "left")
     # Losing lines silently would be worse than failing.
     unknown = F.raise_error(F.concat(F.lit("no name for file "), F.col("path"))).cast("string")
-    named = named.withColumn("file", F.coalesce("file", unknown)).drop("path")
-    return named, [f.name for f in files]
+    return named.withColumn("file", F.coalesce("file", unknown)).drop("path")
+
+
+def file_heads(spark: SparkSession, files: Sequence[LogFile], encoding: str = "utf-8"
+               ) -> tuple[DataFrame, list[LogFile]]:
+    """``(file, block_start, seq, raw)`` with the first line of text files, and the files left over.
+
+    At most ``HEAD_BYTES`` of a file are read, however large it is.  Left over are files whose
+    first line is longer, those that are not plain or gzip text, and those beyond ``MAX_HEADS``:
+    they take a scan.  An empty file has no row.
+    """
+    charset = _charset(encoding)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    codecs_of = hadoop.io.compress.CompressionCodecFactory(conf)
+    heads, left = [], list(files[MAX_HEADS:])
+    for file in files[:MAX_HEADS]:
+        if charset in _LINE_FEEDS or _suffix_reader(file.path)[1] is not read_text:
+            left.append(file)
+            continue
+        path = hadoop.fs.Path(file.path)
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs_of.getCodec(path)
+            text = hadoop.io.Text()
+            reader = hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream)
+            taken = reader.readLine(text, HEAD_BYTES, HEAD_BYTES)
+        finally:
+            stream.close()
+        if taken >= HEAD_BYTES:
+            left.append(file)
+        elif taken:
+            heads.append((file.name, bytes(text.copyBytes()).removeprefix(codecs.BOM_UTF8)))
+    raw = F.col("raw").cast("string") if charset == "utf-8" else _decode_column(
+        F.col("raw"), charset)
+    table = spark.createDataFrame(heads, "file string, raw binary")
+    zero = F.lit(0).cast("bigint")
+    return table.select("file", zero.alias("block_start"), zero.alias("seq"),
+                        raw.alias("raw")), left
