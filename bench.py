@@ -23,7 +23,7 @@ HEADLINE = [
     "ts_fmt_iso_space_comma", "ts_fmt_iso_t_dot_zone", "ts_fmt_access_log", "ts_fmt_apache_error",
     "clip_multiline", "autoclip", "file_stats", "search", "goto_ts_fwd", "asof_probe_table",
     "text_gzip_lines", "csv_lines", "csv_quoted_lines", "jsonl_lines", "packet_format",
-    "markdown_rows", "csv_sink",
+    "markdown_rows", "csv_sink", "align_clip",
 ]
 
 
