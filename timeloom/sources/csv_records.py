@@ -22,7 +22,7 @@ from timeloom.operators.order import (
     forward_fill_all,
     with_segments,
 )
-from timeloom.plans.session import small_side, stage
+from timeloom.plans.session import release, small_side, stage
 from timeloom.sources.files import read_text
 
 # Possessive quantifiers: long cells do not grow the regex stack.
@@ -226,4 +226,7 @@ def read_csv_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "u
     if not quoted_newlines:
         return csv_to_lines(stage(read_text(spark, paths, encoding), "csv"))
     exact = lines_with_ends(read_text(spark, paths, encoding, line_feed_only=True))
-    return csv_to_lines(join_open_quotes(stage(exact, "csv")))
+    lines = stage(exact, "csv")
+    records = join_open_quotes(lines)
+    release(lines)  # the lines with their states are staged by now, and nothing else is read
+    return csv_to_lines(records)
