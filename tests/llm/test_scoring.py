@@ -234,18 +234,39 @@ def test_solved_mix_is_the_least_squares_optimum(seed):
     t /= t.sum()
     low, high = np.where(rng.random(500) < 0.2 * seed, 1.0, 0.0), 1.0 if seed % 2 else 4.0
     goal = rng.dirichlet([1, 1, 1, 1])
-    rate = lambda m: np.clip(1 + p @ m, low, high)
-
-    def evaluate(m):
-        y, r = 1 + p @ m, rate(m)
-        free = np.where((y > low) & (y < high), t, 0)
-        return (t * r * (y - r / 2)).sum() - goal @ m, (t * r) @ p - goal, (p * free[:, None]).T @ p
-
-    m, left = mixing.solve(evaluate, 4, 1e-6, 100, 1e-6)
-    assert left <= 1e-6
-    # First order condition of the least squares, one rate at a time.
-    slope = p @ ((t * rate(m)) @ p - goal) + 1e-6 * (rate(m) - 1)
-    assert (slope[rate(m) > low + 1e-9] <= 1e-5).all() and (slope[rate(m) < high - 1e-9] >= -1e-5).all()
+    rate = previous = np.clip(np.ones(500), low, high)
+
+    def step(pull, momentum):
+        nonlocal rate, previous
+        y, slope = rate + momentum * (rate - previous), p @ pull
+        previous, rate = rate, np.clip(y - slope, low, high)
+        return (t * rate) @ p, float((t * slope * (np.where(slope > 0, low, high) - y)).sum())
+
+    share = t @ p
+    over, left = mixing.solve(step, share, (t * rate) @ p, goal, 5000, 1e-9, 1e-7)
+    assert np.abs(over).max() <= 1e-9 or left <= 1e-7
+    assert over == pytest.approx((t * rate) @ p - goal)
+    assert (rate >= low).all() and (rate <= high).all()
+    # Not worse than many plain steps.
+    value = lambda r: ((((t * r) @ p - goal) ** 2) / share).sum() / 2
+    plain = np.clip(np.ones(500), low, high)
+    for _ in range(20000):
+        plain = np.clip(plain - p @ (((t * plain) @ p - goal) / share), low, high)
+    assert value(rate) <= value(plain) + 1e-7
+
+
+def test_mix_beyond_the_written_steps_and_out_of_reach(spark):
+    rng = random.Random(28)
+    texts = [(i, (" the cat of a dog" if i % 4 else " the a### b&&& of | ") * rng.randrange(3, 9)) for i in range(300)]
+    labelled = spark.createDataFrame([(i, "en" if i % 4 else "poor") for i in range(150)], "doc_id long, domain string")
+    mix = mixing.soft_mix(documents(spark, texts), labelled, {"en": 0.1, "poor": 0.9}, low=0.5, high=1.5, rounds=40,
+                          tolerance=0.0, gap=0.0).collect()
+    p, t = np.array([r.posteriors for r in mix]), np.array([r.tokens for r in mix], float) / sum(r.tokens for r in mix)
+    plain = np.ones(len(mix))
+    for _ in range(5000):
+        plain = np.clip(plain - p @ (((t * plain) @ p - [0.1, 0.9]) / (t @ p)), 0.5, 1.5)
+    rates = np.array([r.rate for r in mix])
+    assert (t * rates) @ p == pytest.approx((t * plain) @ p, abs=1e-4)
 
 
 def test_trimming_keeps_good_documents(spark):

@@ -3,26 +3,28 @@
 A classifier fitted on a labelled table gives every document a posterior over domains: a Gaussian naive
 Bayes model of a few rates (function words, letters, marks), so fitting is one aggregation and scoring an
 expression.  Every document then gets a nonnegative rate, the number of times it is used, such that the expected
-tokens of every domain meet its target: least squares
+tokens of every domain meet its target: least squares, every domain in units of the share s_k it has unmixed,
 
-    1/2 * sum_k ((sum_i t_i p_ik r_i - b_k) / T)**2  +  ridge/2 * sum_i (t_i / T) (r_i - 1)**2
+    1/2 * sum_k ((sum_i t_i p_ik r_i) / T - b_k)**2 / s_k    over low <= r <= high,
 
-over low <= r <= high.  At the optimum r_i = min(max(1 + sum_k p_ik m_k, low), high) with one multiplier m_k a
-domain, where the residual of the domain is -ridge * m_k.  So only K numbers are unknown: damped Newton steps on the
-convex dual, whose gradient and curvature are one aggregation over a narrow table each, until what is left of every
-domain's equation is below a tolerance.  A rate is one expression of the posteriors and the multipliers.
+by projected gradient.  A step moves every rate by its posteriors' share of what the domains lack and puts it
+back between its bounds; scaled by s_k and by tokens the gradient's Lipschitz constant is one (the scaled
+matrix has rows that sum to one), so the step has length one and needs no search.  Momentum speeds the
+steps up and is dropped when they turn.  A step is one aggregation to K + 1 numbers over a narrow table; rates are
+written every few steps, so plans stay short.
 """
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.llm.common import WORD_BREAK, if_small
-from timeloom.plans.session import stage
+from timeloom.plans.session import release, stage
 
 #: Strings whose rates tell domains apart: short words of four languages, letters, marks.
 NEEDLES = (" the ", " of ", " and ", " de ", " la ", " le ", " les ", " et ", " que ", " el ", " un ",
@@ -30,8 +32,12 @@ NEEDLES = (" the ", " of ", " and ", " de ", " la ", " le ", " les ", " et ", "
 #: Smallest standard deviation of a feature.
 FLOOR = 0.3
 OTHER = "other"
-#: What may be left of a domain's equation, as a share of all tokens.
+#: What a domain may lack of its target, as a share of all tokens.
 TOLERANCE = 1e-6
+#: What further steps could still gain of the least squares where targets are out of reach.
+GAP = 1e-6
+#: Steps between two writes of the rates.
+STEPS = 8
 
 
 def _rate(needle: str) -> Column:
@@ -86,100 +92,97 @@ def _posteriors(model: list[dict]) -> Column:
     return F.array(*logs)
 
 
-def solve(evaluate, size: int, ridge: float, rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
-    """Multipliers at which gradient + ridge * m = 0, and the largest part of that equation which is left.
+def solve(step: Callable[[np.ndarray, float], tuple[np.ndarray, float]], share: np.ndarray, start: np.ndarray,
+          goal: np.ndarray, rounds: int, tolerance: float, gap: float) -> tuple[np.ndarray, float]:
+    """Take steps until targets are met or no better can be had; what each domain has too much, and the gap.
 
-    ``evaluate(m)`` gives value, gradient and curvature of the dual without the ridge, which is convex; it is
-    called at most ``rounds`` times.  A Newton step is shortened until the dual falls enough.  The ridge falls by
-    tenths to its value, as multipliers of targets out of reach grow with its inverse.
+    ``share`` is every domain's share of the tokens at rate 1, ``start`` at the first rates (1 within the bounds).
+    ``step(pull, momentum)`` goes from y = r + momentum * (r - previous r) against the gradient ``posteriors . pull``,
+    bounds the rates, and returns the new shares with the least value over all bounded rates of the gradient times
+    their distance from y, which bounds the optimum from below.
     """
-
-    m, used, weight, left = np.zeros(size), 0, 1.0, np.inf
-    while weight > ridge or left > tolerance:
-        weight = max(0.1 * weight, ridge)
-
-        def at(m: np.ndarray, weight=weight) -> tuple[float, np.ndarray, np.ndarray]:
-            value, gradient, curvature = evaluate(m)
-            return value + weight / 2 * float(m @ m), gradient + weight * m, curvature + weight * np.eye(size)
-
-        value, gradient, curvature = at(m)
-        used += 1
-        step, length = -np.linalg.solve(curvature, gradient), 1.0
-        while np.abs(gradient).max() > (tolerance if weight == ridge else 1e-2) and used < rounds:
-            slope = float(gradient @ step)
-            trial = m + length * step
-            now = at(trial)
-            used += 1
-            rise = float(now[1] @ step)
-            # Close to the optimum values differ by less than their sums' last digits; slopes still tell.
-            if now[0] <= value + 1e-4 * length * slope or abs(rise) <= 1e-3 * abs(slope):
-                m, (value, gradient, curvature) = trial, now
-                step, length = -np.linalg.solve(curvature, gradient), 1.0
-            else:
-                # The slope along the step only grows: its zero between the ends, but not too near to either.
-                length *= min(max(slope / (slope - rise), 0.02), 0.5)
-        left = float(np.abs(gradient + (ridge - weight) * m).max())
-        if used >= rounds:
+    scale = np.where(share > 0, 1 / np.where(share > 0, share, 1), 0.0)
+    over = before = start - goal
+    pace, best, left = 1.0, -np.inf, np.inf
+    for _ in range(rounds):
+        if np.abs(over).max() <= tolerance or left <= gap:
             break
-    return m, left
-
-
-def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ridge: float = 1e-6,
-             rounds: int = 200, low: Column | float = 0.0, high: float = 8.0,
-             tolerance: float = TOLERANCE) -> DataFrame:
+        following = (1 + np.sqrt(1 + 4 * pace ** 2)) / 2
+        momentum = (pace - 1) / following
+        at = over + momentum * (over - before)  # shares are linear in the rates
+        pull = at * scale
+        shares, least = step(pull, momentum)
+        best = max(best, float(at @ pull) / 2 + least)
+        now = shares - goal
+        pace = 1.0 if pull @ (now - over) > 0 else following
+        before, over = over, now
+        left = float(over * scale @ over) / 2 - best
+    return over, left
+
+
+def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds: int = 200,
+             low: Column | float = 0.0, high: float = 8.0, tolerance: float = TOLERANCE,
+             gap: float = GAP) -> DataFrame:
     """doc_id, key, tokens, posteriors (in the order of ``targets``), rate, copies.
 
     ``labelled`` has doc_id and domain; ``targets`` gives each domain's share of all tokens, scaled to sum 1.
-    Targets that the bounds allow are met up to ``tolerance`` and ``ridge`` times a multiplier; others as near as
-    least squares come.  ``rounds`` bounds the aggregations; a warning tells when they end before the tolerance.
+    Targets that the bounds allow are met up to ``tolerance``; for others the least squares come within ``gap`` of
+    their optimum.  A domain that no document belongs to is left out of account.  ``rounds`` bounds the steps; a
+    warning tells when they end before that.
     ``low`` may be an expression over ``posteriors``.  ``copies`` rounds the rate up or down by a hash of
     the document, so that its expectation is the rate.  A missing text is empty, has no tokens and rate 1;
     rows are taken one by one, so repeated rows get the same rate; further columns are ignored.  Without
     labelled rows posteriors are uniform and all rates come out alike.
     """
     domains = list(targets)
-    weight = sum(targets.values())
+    size, weight = len(domains), sum(targets.values())
     measured = stage(features(docs), "mix_features")
     model = _model(measured, labelled, domains)
     scored = measured.select("doc_id", "key", "tokens", _posteriors(model).alias("logs"))
     scored = scored.select("doc_id", "key", "tokens", F.transform(
         "logs", lambda v: F.exp(v - F.array_max("logs"))).alias("odds"))
     total = F.aggregate("odds", F.lit(0.0), lambda a, v: a + v)
-    scored = stage(scored.select("doc_id", "key", "tokens", total.alias("total"), "odds").select(
-        "doc_id", "key", "tokens", F.transform("odds", lambda v: v / F.col("total")).alias("posteriors")),
-        "mix_posteriors")
-    tokens = scored.agg(F.sum("tokens")).first()[0] or 0
-    goal = np.array([targets[d] / weight for d in domains])
+    scored = scored.select("doc_id", "key", "tokens", total.alias("total"), "odds").select(
+        "doc_id", "key", "tokens", F.transform("odds", lambda v: v / F.col("total")).alias("posteriors"))
     low_column = low if isinstance(low, Column) else F.lit(float(low))
-    rows = scored.withColumn("low", low_column.cast("double"))
-    size = len(domains)
-    pairs = [(k, j) for k in range(size) for j in range(k, size)]
-
-    def moved(m: np.ndarray) -> Column:
-        return F.expr("1D + " + " + ".join(f"get(posteriors, {k}) * ({float(v)!r}D)" for k, v in enumerate(m)))
-
-    def bounded(rate: Column) -> Column:
-        return F.least(F.greatest(rate, F.col("low")), F.lit(float(high)))
-
-    def evaluate(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        at = rows.select("tokens", "posteriors", "low", moved(m).alias("y")).withColumn("r", bounded(F.col("y")))
-        free = "CASE WHEN y > low AND y < " + f"{float(high)!r}D THEN tokens ELSE 0 END"
-        sums = at.withColumn("free", F.expr(free)).agg(
-            F.expr("sum(tokens * r * (y - r / 2))"),
-            *[F.expr(f"sum(tokens * get(posteriors, {k}) * r)") for k in range(size)],
-            *[F.expr(f"sum(free * get(posteriors, {k}) * get(posteriors, {j}))") for k, j in pairs]).first()
-        value, *sums = (float(s) / tokens for s in sums)
-        curvature = np.zeros((size, size))
-        for (k, j), v in zip(pairs, sums[size:], strict=True):
-            curvature[k, j] = curvature[j, k] = v
-        return value - float(goal @ m), np.array(sums[:size]) - goal, curvature
-
-    m = np.zeros(size)
+    bounded = F.least(F.greatest(F.lit(1.0), F.col("low")), F.lit(float(high)))
+    rows = stage(scored.withColumn("low", low_column.cast("double")).withColumn("rate", bounded)
+                 .withColumn("previous", F.col("rate")), "mix_posteriors")
+    release(measured)
+
+    def weighed(of: str) -> list[Column]:
+        return [F.expr(f"sum(tokens * ({of}) * get(posteriors, {k}))") for k in range(size)]
+
+    first = rows.agg(F.sum("tokens"), *weighed("1D"), *weighed("rate")).first()
+    tokens, done = first[0] or 0, 0
+
+    def step(pull: np.ndarray, momentum: float) -> tuple[np.ndarray, float]:
+        nonlocal rows, done
+        if done and done % STEPS == 0:
+            written = stage(rows, "mix_rates")
+            release(kept.pop())
+            kept.append(written)
+            rows = written
+        done += 1
+        slope = " + ".join(f"get(posteriors, {k}) * ({float(v)!r}D)" for k, v in enumerate(pull))
+        top = f"{float(high)!r}D"
+        rows = rows.withColumn("y", F.expr(f"rate + ({float(momentum)!r}D) * (rate - previous)")).withColumn(
+            "slope", F.expr(slope)).withColumn("previous", F.col("rate")).withColumn(
+            "rate", F.expr(f"least(greatest(y - slope, low), {top})"))
+        reach = F.expr(f"sum(tokens * slope * ((CASE WHEN slope > 0 THEN low ELSE {top} END) - y))")
+        *sums, least = (float(v) / tokens for v in rows.agg(*weighed("rate"), reach).first())
+        rows = rows.drop("y", "slope")
+        return np.array(sums), least
+
     if tokens:
-        m, left = solve(evaluate, size, ridge, rounds, tolerance)
-        if left > tolerance:
-            logging.getLogger(__name__).warning("mix: %.1e of the tokens left after %d rounds", left, rounds)
-    out = rows.withColumn("rate", F.when(F.col("tokens") > 0, bounded(moved(m))).otherwise(1.0))
+        kept = [rows]
+        share, start = np.array(first[1:], dtype=float).reshape(2, size) / tokens
+        goal = np.array([targets[d] / weight for d in domains])
+        over, left = solve(step, share, start, goal, rounds, tolerance, gap)
+        if np.abs(over).max() > tolerance and left > gap:
+            logging.getLogger(__name__).warning(
+                "mix: %.1e of the tokens amiss, gap %.1e after %d steps", np.abs(over).max(), left, done)
+    out = rows.withColumn("rate", F.when(F.col("tokens") > 0, F.col("rate")).otherwise(1.0))
     dice = F.pmod(F.xxhash64("doc_id", "key", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
     return out.select("doc_id", "key", "tokens", "posteriors", "rate",
                       F.floor(F.col("rate") + dice).cast("int").alias("copies"))
