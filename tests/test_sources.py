@@ -14,7 +14,7 @@ from timeloom.operators.order import flag_disorder, with_segments
 from timeloom.operators.records import detect_formats, parse_timestamps
 from timeloom.functions.formats import FormatRegistry
 from timeloom.plans.align import align, detect_file_formats
-from timeloom.sources import packets, synthetic
+from timeloom.sources import csv_records, packets, synthetic
 from timeloom.sources.csv_records import leaves_quote_open, opens_quote, read_csv_lines
 from timeloom.sources.files import expand_paths, file_heads, read_logs, read_text, register_reader
 
@@ -219,6 +219,25 @@ def test_csv_line_ends_inside_cells_stay(spark, write, small_splits, record_end)
     assert raw_lines(read_csv_lines(spark, [path])) == python_csv(out.getvalue())
 
 
+@pytest.mark.parametrize("closes", [True, False])
+def test_csv_records_over_segments(spark, write, monkeypatch, closes):
+    """Segments of two lines: records of one line, of some segments, and a last one left open."""
+    monkeypatch.setattr(csv_records, "with_segments", lambda lines: with_segments(lines, bits=1))
+    rng = random.Random(5)
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(["time", "one", "two"])
+    for i in range(60):
+        ends = rng.choices(["\r\n", "\r", "\n", "", '"'], k=rng.choice([0, 1, 12]))
+        writer.writerow([f"t{i}", "x" + "y".join(ends), i])
+    text = out.getvalue()
+    want = python_csv(text)
+    if not closes:
+        text += 'u1,"open\nu2,\n\nu3,b,c\n'
+        want += ['>>> csv error: one=unexpected end of data: u1,"open two=<<<', "u2 one=", "u3 one=b two=c"]
+    assert raw_lines(read_csv_lines(spark, [write("a.csv", text)])) == want
+
+
 def test_csv_hot_file(spark, write, small_splits):
     """One long quoted cell over most of the file still comes out whole, whatever its length."""
     cell = "\n".join(f"row {i}, part" for i in range(12_000))

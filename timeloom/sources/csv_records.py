@@ -19,7 +19,6 @@ from timeloom.operators.order import (
     TOTAL,
     LineOrder,
     carry_segments,
-    forward_fill_all,
     with_segments,
 )
 from timeloom.plans.session import release, small_side, stage
@@ -73,35 +72,31 @@ def render_record(cells: Column, headers: Column) -> Column:
     return F.concat(cells[0], F.lit(" "), F.array_join(pairs, " "))
 
 
-def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
-    """Glue the physical lines of each record; ``seq`` becomes that of its first line.
-
-    Each line closes, opens, keeps or swaps the quote state.  With ``swaps`` counting the
-    swaps so far, the state is the last closing or opening seen through the swaps since then.
-    The same holds for whole segments, so their few rows carry the state from one to the next.
+def with_quote_marks(lines: DataFrame) -> DataFrame:
+    """Add what each line does to the quote state: ``_closed`` and ``_open`` tell whether a quoted
+    cell is open behind it (1) or not (0) when the line starts outside or inside of one."""
+    quoted = F.contains("raw", F.lit('"'))
+    return lines.withColumn("_closed", (quoted & opens_quote(F.col("raw"))).cast("int")).withColumn(
+        "_open", (~quoted | leaves_quote_open(F.col("raw"))).cast("int")
+    )
 
-    ``line_end``, where there is such a column, is what follows a line in the file (else ``\\n``).
 
-    A cell may be of any length.  A quote still open at the end of its file was never meant to
-    open a cell: its record becomes an error marker, and the lines after it are records of their
-    own.
-    """
-    lines = with_segments(lines)
-    if "line_end" not in lines.columns:
-        lines = lines.withColumn("line_end", F.lit("\n"))
+def _chained(lines: DataFrame, order: LineOrder) -> DataFrame:
+    """Add ``_swaps`` and ``_set``, the quote state inside a segment whatever it starts with."""
     here = order.up_to_here()
-    changes = lines.withColumn("_closed", opens_quote(F.col("raw")).cast("int")).withColumn(
-        "_open", leaves_quote_open(F.col("raw")).cast("int")
-    )
     swap = F.when((F.col("_closed") == 1) & (F.col("_open") == 0), 1).otherwise(0)
-    chained = changes.withColumn(
+    return lines.withColumn(
         "_swaps", F.pmod(F.sum(swap).over(here), F.lit(2)).cast("int")
     ).withColumn(
         "_set", F.when(F.col("_closed") == F.col("_open"),
                        F.col("_closed").bitwiseXOR(F.col("_swaps")))
     ).withColumn("_set", F.last("_set", ignorenulls=True).over(here))
 
-    ends = chained.groupBy(*order.keys).agg(
+
+def _entry_states(lines: DataFrame, order: LineOrder) -> DataFrame:
+    """The quote state with which every segment starts, ``_entry``; no text is read."""
+    narrow = lines.select(*order.keys, *order.by, "_closed", "_open")
+    ends = _chained(narrow, order).groupBy(*order.keys).agg(
         F.max_by("_set", order.place()).alias("_set"),
         F.max_by("_swaps", order.place()).alias("_swaps"),
     )
@@ -109,55 +104,94 @@ def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
     swapped = carry_segments(ends, order, {"_before": ("_swaps", TOTAL)}).withColumn(
         "_before", F.pmod(F.coalesce("_before", F.lit(0)), F.lit(2)).cast("int")
     ).withColumn("_seen", F.col("_set").bitwiseXOR(F.col("_before")))
-    entry = carry_segments(swapped, order, {"_last": ("_seen", LATEST)}).select(
+    return carry_segments(swapped, order, {"_last": ("_seen", LATEST)}).select(
         *order.keys,
         F.coalesce("_last", F.lit(0)).bitwiseXOR(F.col("_before")).alias("_entry"),
     )
-    stated = chained.join(entry, order.keys, "left").withColumn(
+
+
+def _without_end(text: str, end: str) -> Column:
+    """A text without the line end it closes with."""
+    return F.expr(f"left({text}, char_length({text}) - char_length({end}))")
+
+
+def join_open_quotes(lines: DataFrame, order: LineOrder = _ORDER) -> DataFrame:
+    """Glue the physical lines of each record; ``seq`` becomes that of its first line.
+
+    ``lines`` are staged, with segments, the marks of :func:`with_quote_marks`, and ``line_end``,
+    what follows each line in the file.
+
+    Each line closes, opens, keeps or swaps the quote state.  With ``swaps`` counting the
+    swaps so far, the state is the last closing or opening seen through the swaps since then.
+    The same holds for whole segments, so their few rows carry the state from one to the next.
+    A first pass over the marks tells the state with which each segment starts.  A second one
+    shuffles the text by segment, once, and glues the lines of a record that lie in one segment.
+    Only pieces that touch a bound of their segment, two at most in each, meet others after that.
+
+    A cell may be of any length.  A quote still open at the end of its file was never meant to
+    open a cell: its record becomes an error marker, and the lines after it are records of their
+    own.
+    """
+    position = ", ".join(order.position)
+    by = ", ".join(order.by)
+    stated = _chained(lines, order).join(_entry_states(lines, order), order.keys, "left").withColumn(
         "_after", F.coalesce("_set", "_entry").bitwiseXOR(F.col("_swaps"))
     )
     before = F.coalesce(F.lag("_after").over(order.inside()), F.col("_entry"))
-    here_is = F.struct("block_start", "seq")
-    stated = (
-        stated.withColumn("_before", before)
-        .withColumn("_first", F.when(F.col("_before") == 0, here_is))
-        .drop("_closed", "_open", "_swaps", "_set", "_entry", "_before")
-    )
-    # Kept once: what follows passes over these columns several times.
-    stated = stage(stated, "csv-state")
-    placed = forward_fill_all(stated, {"_first": "_record"}, order)
-    unclosed, _ = small_side(_unclosed_records(stated, order))
-    lone = placed.join(unclosed, order.file, "left")
-    given_up = F.coalesce(F.col("_record") == F.col("_bad"), F.lit(False))
-    message = F.concat(F.lit(_ERROR_TEXT), F.replace("raw", F.lit('"'), F.lit('""')))
+    numbered = stated.withColumn("_starts", (before == 0).cast("int")).withColumn(
+        "_piece", F.sum("_starts").over(order.up_to_here())
+    )
+    place = F.struct("block_start", "seq")
+    pieces = stage(
+        numbered.groupBy(*order.keys, "_piece").agg(
+            F.expr(f"listagg(raw || line_end, '') within group (order by {by})").alias("raw"),
+            F.max_by("line_end", order.place()).alias("_end"),
+            F.max_by("_after", order.place()).alias("_after"),
+            F.min("seq").alias("seq"), F.first("file_date").alias("file_date"),
+        ).withColumn("raw", _without_end("raw", "_end"))
+        # Piece 0 goes on with a record of an earlier segment.
+        .withColumn("_first", F.when(F.col("_piece") > 0, place)),
+        "csv-pieces",
+    )
+    whole = pieces.where("_piece > 0 AND _after = 0")
+    starts = pieces.groupBy(*order.keys).agg(F.max("_first").alias("_start"))
+    carried = carry_segments(starts, order, {"_carried": ("_start", LATEST)}).drop("_start")
+    unclosed, _ = small_side(_unclosed_records(pieces, order))
+    parts = (
+        pieces.where("_piece = 0 OR _after = 1").join(carried, order.keys)
+        .withColumn("_record", F.coalesce("_first", "_carried"))
+        .join(unclosed, order.file, "left")
+        .withColumn("_given_up", F.coalesce(F.col("_record") == F.col("_bad"), F.lit(False)))
+    )
+    glued = parts.where(~F.col("_given_up")).groupBy(order.file, "_record").agg(
+        F.expr(f"listagg(raw || _end, '') within group (order by {position})").alias("raw"),
+        F.max_by("_end", F.struct(*order.position)).alias("_end"),
+        F.first("file_date").alias("file_date"),
+    ).select(
+        order.file, F.col("_record.block_start").alias("block_start"),
+        F.col("_record.seq").alias("seq"), _without_end("raw", "_end").alias("raw"), "file_date",
+    )
+    # Lines hold no line ends, and their numbers rise by one inside a segment.
+    lone = parts.where("_given_up").select(
+        order.file, "block_start", "seq", "_piece", "file_date",
+        F.posexplode(F.split("raw", r"\r\n|\r|\n", -1)).alias("_at", "_line"),
+    )
+    message = F.concat(F.lit(_ERROR_TEXT), F.replace("_line", F.lit('"'), F.lit('""')))
     marker = F.concat(F.lit(_ERROR_CELLS[0] + ',"'), message, F.lit('",' + _ERROR_CELLS[1]))
-    lone = lone.withColumn("_given_up", given_up).withColumn(
-        "raw", F.when(F.col("_given_up") & F.col("_first").isNotNull(), marker)
-        .otherwise(F.col("raw"))
-    ).withColumn("_record", F.when(F.col("_given_up"), here_is).otherwise(F.col("_record")))
-    position = ", ".join(order.position)
-    return (
-        lone.groupBy(order.file, "_record")
-        .agg(
-            F.expr(f"listagg(raw || line_end, '') within group (order by {position})")
-            .alias("raw"),
-            F.first("file_date").alias("file_date"),
-        )
-        .select(
-            order.file,
-            F.col("_record.block_start").alias("block_start"),
-            F.col("_record.seq").alias("seq"),
-            F.regexp_replace("raw", r"(?:\r\n|\r|\n)\z", "").alias("raw"), "file_date",
-        )
-    )
-
-
-def _unclosed_records(lines: DataFrame, order: LineOrder) -> DataFrame:
+    alone = lone.select(
+        order.file, "block_start", (F.col("seq") + F.col("_at")).alias("seq"),
+        F.when((F.col("_at") == 0) & (F.col("_piece") > 0), marker).otherwise(F.col("_line"))
+        .alias("raw"), "file_date",
+    )
+    return whole.select(*alone.columns).union(glued.select(*alone.columns)).union(alone)
+
+
+def _unclosed_records(pieces: DataFrame, order: LineOrder) -> DataFrame:
     """``(file, _bad)``: the last record of each file that ends inside a quoted cell.
 
     First per segment, then per file: map-side combined, one narrow row per segment.
     """
-    ends = lines.groupBy(*order.keys).agg(
+    ends = pieces.groupBy(*order.keys).agg(
         F.max_by("_after", order.place()).alias("_after"),
         F.max(F.col("_first.seq")).alias("_seq"),
     )
@@ -226,7 +260,7 @@ def read_csv_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "u
     if not quoted_newlines:
         return csv_to_lines(stage(read_text(spark, paths, encoding), "csv"))
     exact = lines_with_ends(read_text(spark, paths, encoding, line_feed_only=True))
-    lines = stage(exact, "csv")
+    lines = stage(with_quote_marks(with_segments(exact)), "csv")
     records = join_open_quotes(lines)
-    release(lines)  # the lines with their states are staged by now, and nothing else is read
+    release(lines)  # the pieces of records are staged by now, and nothing else is read
     return csv_to_lines(records)
