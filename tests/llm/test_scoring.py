@@ -356,12 +356,13 @@ def by_hand(text):
             if w[i:i + len(phrase)] == phrase:
                 places.add(i)
                 base.add(label)
-    for line in low.split("\n"):
-        have = set(cut(line))
-        for label, template in licenses.TEMPLATES:
-            t = set(template.split())
-            if len(t & have) >= 0.8 * len(t) - 1e-9:
-                more.add(label)
+    for template in licenses.TEMPLATES:
+        n, t = len(template.notice.split()), set(template.notice.split())
+        for i in range(len(w)):
+            have = set(w[i:i + n])
+            if (w[i] in t and len(t & have) >= 0.8 * len(t) - 1e-9 and set(template.telling.split()) <= have
+                    and not set(template.foreign.split()) & have):
+                more.add(template.label)
                 share = max(share, len(t & have) / len(t))
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
             ",".join(sorted(base | more)), 1.0 if places else share)
@@ -369,10 +370,11 @@ def by_hand(text):
 
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(11)
-    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["zebra", "Ünit", "x1"]
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in (t.notice + " sa nd").split()}) + ["zebra", "Ünit", "x1"]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
-    for _, t in licenses.TEMPLATES:
+    for _, t, *_ in licenses.TEMPLATES:
         w = t.split()
+        texts += ["\n".join(w), "zebra " * rng.randrange(480, 540) + t + " zebra" * 600, t.replace(" license", " sa license")]
         texts += [t.upper() + ".", " ".join(w[:-1]), " ".join(rng.sample(w, len(w) - len(w) // 4)), t + "\n" + t]
     texts += [None, "", "MIT License mit-license, MIT\nLicense", "apache_license2 Apache (License)", "mit licenſe",
               "mıt license", "mit Kicense", "general public license " * 3000, " --- "]
@@ -381,6 +383,22 @@ def test_licenses_equal_brute_force(spark):
     assert Counter(tuple(r) for r in rows) == want
 
 
+def test_licenses_are_told_apart(spark):
+    cases = {
+        "released under the bsd license": "bsd",
+        "released under the apache license": "apache",
+        "licensed under the gnu general public license version 3": "gpl",
+        "licensed under the gnu lesser general public license version 3": "gpl,lgpl",  # gpl by its phrase
+        "licensed under the apache license, version 2.0": "apache",
+        "licensed under cc by nc 4.0": "cc-by-nc",
+        "licensed under CC BY 4.0": "cc-by",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\n"
+        "associated documentation files": "mit",
+    }
+    rows = licenses.scan(documents(spark, [*enumerate(cases)])).collect()
+    assert [r.labels for r in sorted(rows)] == list(cases.values())
+
+
 def test_licenses_of_nothing(spark):
     assert licenses.scan(documents(spark, [])).collect() == []
     assert licenses.scan(documents(spark, [(1, "mit license")]), templates=[]).collect()[0].labels == "mit"

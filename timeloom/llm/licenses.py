@@ -1,18 +1,22 @@
 """License notices by an exact set-similarity join; DataFrame functions only.
 
-A text block (a line) matches a template when it holds at least ``threshold`` of the template's distinct
-words.  Words are ordered by how many documents of the table have them, rare ones first.  A matching block
-must share a word with the template's prefix, the |T| - need + 1 rarest words (prefix filter), have at least
-``need`` words (length filter), and from the first shared word on both must have enough words left (positional
-filter).  Only blocks that pass are compared whole.  All bounds are necessary conditions, so no match is lost.
-
-The vocabulary of the templates is small, so the prefix filter runs inside the scan; what passes is
-joined with the templates on the shared prefix word.
+A block is as many consecutive words as a notice has (fewer at the end of a text), from a word of the notice on,
+whatever lines it runs over.  It matches a template when it holds at least ``threshold`` of the template's
+distinct words, all its telling words, and none of its foreign words, which tell of a sister license.
+Words are ordered by how many documents of the table have them, rare ones first.  A matching block must share a
+word with the template's prefix, the |T| - need + 1 rarest words (prefix filter), have at least ``need``
+words of templates (length filter), and have that many from the first shared word on (positional filter).
+Only blocks that pass are compared whole.  All bounds are necessary conditions, so no match is lost.
+
+The prefix filter runs inside the scan: texts without such a word are not looked at again, others are cut
+into overlapping chunks, and chunks without one are dropped.  A word of a prefix then meets the templates that
+have it in theirs, with the words around it, so no row grows with its text after the scan.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +31,38 @@ PHRASES = {
     "apache": ["apache", "license"],
     "gpl": ["general", "public", "license"],
 }
-#: Label and words of a notice of one line.
+#: Words of a chunk, besides those that blocks may need of its neighbours.
+CHUNK = 512
+
+
+class Template(NamedTuple):
+    """A notice: its label, its words, the words that tell it from others, and words that tell of another."""
+
+    label: str
+    notice: str
+    telling: str
+    foreign: str = ""
+
+
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license version 3"),
-    ("agpl", "licensed under the gnu affero general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "subject to the terms of the mozilla public license version 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc0", "dedicated to the public domain under cc0 1 0"),
+    Template("mit", "released under the mit license", "mit"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
+             "permission granted"),
+    Template("apache", "licensed under the apache license version 2 0", "apache"),
+    Template("gpl", "licensed under the gnu general public license version 3", "general public",
+             "lesser affero library"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+                    "general public license", "general public", "lesser affero library"),
+    Template("lgpl", "licensed under the gnu lesser general public license version 3", "lesser", "affero"),
+    Template("agpl", "licensed under the gnu affero general public license version 3", "affero", "lesser"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
+             "redistribution permitted"),
+    Template("bsd", "released under the bsd license", "bsd"),
+    Template("mpl", "subject to the terms of the mozilla public license version 2 0", "mozilla"),
+    Template("cc-by", "licensed under cc by 4 0", "cc by", "sa nc nd"),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa", "nc nd"),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", "sa nd"),
+    Template("cc0", "dedicated to the public domain under cc0 1 0", "cc0"),
 ]
 
 
@@ -96,23 +118,22 @@ def _labels_at(found: str, places: str) -> Column:
     return F.array_compact(F.array(*[F.when(has(p), F.lit(label)) for label, p in PHRASES.items()]))
 
 
-def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = 0.8, templates: list[Template] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
-    Base figures are places of the phrases; ``labels`` adds those of templates that a line holds by at least
-    ``threshold``; ``score`` is the largest share of a template that a line holds, 1 with a phrase, 0 with
+    Base figures are places of the phrases; ``labels`` adds those of templates that a block matches;
+    ``score`` is the largest share of a template's words that a matching block holds, 1 with a phrase, 0 with
     neither.  A missing or empty text has no words and no labels; rows are taken one by one, so repeated
     rows and missing ids come back as they are; further columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, t in sets for w in t})
-    rank = {w: i for i, w in enumerate(word_order(docs, vocabulary))}
-    ranked = [(label, sorted(rank[w] for w in t)) for label, t in sets]
+    vocabulary = sorted({w for t in templates for part in t[1:] for w in part.split()})
+    by_rank = word_order(docs, vocabulary)
+    rank = {w: i for i, w in enumerate(by_rank)}
+    ranked = [(t.label, sorted({rank[w] for w in t.notice.split()})) for t in templates]
     prefixes = [t[:len(t) - _need(len(t), threshold) + 1] for _, t in ranked]
-    by_rank = sorted(rank, key=rank.get)
     prefix_words = _text_array([by_rank[r] for r in sorted({r for p in prefixes for r in p})])
-    least = min((_need(len(t), threshold) for _, t in ranked), default=1)
+    reach = max((len(t.notice.split()) for t in templates), default=1) - 1
 
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"),
@@ -121,29 +142,39 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     phrased = F.arrays_overlap("rough", _text_array(sorted({p[-1] for p in PHRASES.values()})))
     likely = F.arrays_overlap("rough", prefix_words)
     exact = F.transform(words(F.col("text")), lowered)
-    lines = F.transform(F.split("text", "\n"), lambda line: F.array_intersect(
-        F.transform(words(line), lowered), _text_array(vocabulary)))
-    # Length and prefix filter, block by block.
-    blocks = F.filter(lines, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefix_words))
     order = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))]) if rank else None
-    none = F.array().cast("array<array<int>>")
-    as_ranks = none if order is None else F.transform(
-        blocks, lambda b: F.sort_array(F.transform(b, lambda w: order[w])))
+    none = F.array().cast("array<struct<lead:int,ranks:array<int>>>")
+
+    def chunks(found: str) -> Column:
+        cuts = F.sequence(F.lit(0), F.size(found) - 1, F.lit(CHUNK))
+        cut = F.transform(cuts, lambda at: F.struct(
+            F.least(at, F.lit(reach)).alias("lead"),
+            F.slice(found, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)) + CHUNK + reach).alias("w")))
+        near = F.filter(cut, lambda c: F.arrays_overlap(c["w"], prefix_words))
+        return F.transform(near, lambda c: F.struct(
+            c["lead"].alias("lead"), F.transform(c["w"], lambda w: order[w]).alias("ranks")))
+
     made = base.select(
-        "doc_id", F.size("rough").cast("long").alias("n_words"),
-        F.when(phrased, exact).otherwise(F.array().cast("array<string>")).alias("found"),
-        F.when(likely, as_ranks).otherwise(none).alias("blocks"),
-    ).withColumn("places", F.coalesce(_places("found"), F.array().cast("array<int>")))
+        "doc_id", F.size("rough").cast("long").alias("n_words"), phrased.alias("phrased"), likely.alias("likely"),
+        F.when(phrased | likely, exact).otherwise(F.array().cast("array<string>")).alias("found"),
+    ).withColumn("places", F.coalesce(F.when(F.col("phrased"), _places("found")), F.array().cast("array<int>")))
     facts = stage(made.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"),
         F.array_max("places").cast("long").alias("last_word"),
         F.when(F.size("places") > 0, _labels_at("found", "places")).otherwise(
-            F.array().cast("array<string>")).alias("base"), "blocks"), "license_facts")
-
-    matches = stage(_join(facts, ranked, prefixes, threshold), "license_matches")
-    out = facts.drop("blocks").join(if_small(matches), "row", "left")
+            F.array().cast("array<string>")).alias("base"),
+        none.alias("chunks") if order is None else F.when(
+            F.col("likely") & (F.size("found") > 0), chunks("found")).otherwise(none).alias("chunks")),
+        "license_facts")
+
+    side = [(i, label, t, _need(len(t), threshold), len(template.notice.split()),
+             [rank[w] for w in template.telling.split()], [rank[w] for w in template.foreign.split()], word)
+            for i, ((label, t), prefix, template) in enumerate(zip(ranked, prefixes, templates, strict=True))
+            for word in prefix]
+    matches = stage(_join(facts, side, reach), "license_matches")
+    out = facts.drop("chunks").join(if_small(matches), "row", "left")
     every = F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))
     joined = lambda c: F.concat_ws(",", F.sort_array(F.array_distinct(c)))
     return out.select(
@@ -152,23 +183,30 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"))
 
 
-def _join(facts: DataFrame, ranked: list, prefixes: list, threshold: float) -> DataFrame:
+def _join(facts: DataFrame, side: list[tuple], reach: int) -> DataFrame:
     """row, more (labels), share: documents with a block that matches a template."""
-    spark = facts.sparkSession
-    rows = [(i, label, t, len(t), _need(len(t), threshold), word, at)
-            for i, ((label, t), prefix) in enumerate(zip(ranked, prefixes, strict=True))
-            for at, word in enumerate(prefix)]
-    side = spark.createDataFrame(rows, "template int, label string, t array<int>, size int, need int, "
-                                       "word int, t_at int")
-    blocks = facts.select("row", F.explode("blocks").alias("b")).distinct()
-    posted = blocks.select("row", "b", F.posexplode("b").alias("b_at", "word"))
+    templates = facts.sparkSession.createDataFrame(
+        side, "template int, label string, t array<int>, need int, n int, telling array<int>, foreign array<int>, word int")
+    chunks = facts.select("row", F.explode("chunks").alias("c")).select("row", "c.lead", "c.ranks")
+    prefix = sorted({r[-1] for r in side})
+    posted = chunks.select("row", "lead", "ranks", F.posexplode("ranks").alias("at", "word")).where(
+        F.col("word").isin(prefix) & (F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + CHUNK))
+    mid = F.least("at", F.lit(reach))
+    around = posted.select("row", "word", mid.alias("mid"), F.slice(
+        "ranks", F.greatest(F.col("at") - reach, F.lit(0)) + 1, mid + reach + 1).alias("near"))
     # One row per template and prefix word: as many as the templates given by the caller have.
-    pairs = posted.join(F.broadcast(side), "word").where(F.size("b") >= F.col("need"))
-    first = pairs.groupBy("row", "b", "template").agg(
-        F.min("b_at").alias("b_at"), F.min("t_at").alias("t_at"), F.first("t").alias("t"),
-        F.first("need").alias("need"), F.first("label").alias("label"), F.first("size").alias("size"))
-    left = F.least(F.size("b") - F.col("b_at"), F.col("size") - F.col("t_at"))
-    both = F.size(F.array_intersect("b", "t"))
-    hits = first.where(left >= F.col("need")).withColumn("both", both).where("both >= need")
+    pairs = around.join(F.broadcast(templates), "word")
+    starts = F.filter(F.sequence(F.greatest(F.col("mid") - F.col("n") + 1, F.lit(0)), "mid"),
+                      lambda s: F.coalesce(F.array_contains("t", F.get("near", s)), F.lit(False)))
+    blocks = F.transform(starts, lambda s: F.array_distinct(F.array_compact(F.slice("near", s + 1, F.col("n")))))
+
+    def passes(b: Column) -> Column:
+        later = F.filter(b, lambda r: r >= F.col("word"))
+        telling = (F.size(F.array_except("telling", b)) == 0) & ~F.arrays_overlap(b, "foreign")
+        return (F.size(b) >= F.col("need")) & (F.size(later) >= F.col("need")) & telling
+
+    left = pairs.select("row", "label", "t", "need", F.filter(blocks, passes).alias("left")).where(F.size("left") > 0)
+    most = F.array_max(F.transform("left", lambda b: F.size(F.array_intersect(b, "t"))))
+    hits = left.select("row", "label", "need", F.size("t").alias("size"), most.alias("both")).where("both >= need")
     return hits.groupBy("row").agg(F.collect_set("label").alias("more"),
                                    F.max(F.col("both") / F.col("size")).alias("share"))

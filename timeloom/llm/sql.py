@@ -115,15 +115,18 @@ def _values(rows: list[str]) -> str:
 
 
 def _licenses(threshold: str = "0.8") -> str:
-    lists = [(label, sorted(set(text.split()))) for label, text in TEMPLATES]
-    templates = _values([f"({i}, '{label}', {t!r})" for i, (label, t) in enumerate(lists)])
+    def some(text: str) -> str:
+        return f"{sorted(set(text.split()))!r}::VARCHAR[]"
+
+    templates = _values([f"('{t.label}', {some(t.notice)}, {len(t.notice.split())}, {some(t.telling)}, {some(t.foreign)})"
+                         for t in TEMPLATES])
     phrases = _values([f"('{label}', {words!r}, {len(words)})" for label, words in PHRASES.items()])
     cut = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
     split = "list_filter(regexp_split_to_array({0}, '" + cut + "'), lambda x: x <> '')"
     return f"""
 WITH low AS (SELECT doc_id, {LOWER} AS t FROM documents),
 words AS (SELECT doc_id, t, {split.format('t')} AS w FROM low),
-templates(template, label, tokens) AS (VALUES {templates}),
+templates(label, tokens, n, telling, foreigns) AS (VALUES {templates}),
 phrases(label, p, n) AS (VALUES {phrases}),
 places AS (
   SELECT doc_id, label, i - 1 AS place FROM words, phrases, unnest(range(1, len(w) + 1)) AS u(i)
@@ -131,13 +134,15 @@ places AS (
 ), base AS (
   SELECT doc_id, count(DISTINCT place) AS n_base, min(place) AS first_word, max(place) AS last_word,
     list(DISTINCT label) AS labels FROM places GROUP BY doc_id
-), lines AS (
-  SELECT DISTINCT doc_id, {split.format('line')} AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)
+), blocks AS (
+  SELECT doc_id, label, tokens, telling, foreigns, ceil({threshold} * len(tokens) - 1e-9) AS need,
+    list_distinct(w[i:i + n - 1]) AS b
+  FROM words JOIN templates ON list_has_all(w, telling), unnest(range(1, len(w) + 1)) AS u(i)
+  WHERE list_contains(tokens, w[i])
 ), matches AS (
-  SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / len(tokens) AS share,
-    len(list_intersect(list_distinct(b), tokens)) AS shared, ceil({threshold} * len(tokens) - 1e-9) AS need
-  FROM lines, templates WHERE list_has_any(b, ['license', 'licensed', 'permission', 'redistribution', 'cc0', 'mozilla',
-    'domain', 'public', 'cc', 'released', 'granted', 'source', 'subject'])
+  SELECT doc_id, label, len(list_intersect(b, tokens)) / len(tokens) AS share,
+    len(list_intersect(b, tokens)) AS shared, need
+  FROM blocks WHERE list_has_all(b, telling) AND NOT list_has_any(b, foreigns)
 ), more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM matches WHERE shared >= need GROUP BY doc_id
 )
