@@ -57,6 +57,10 @@ def shape(percent: int) -> tuple[int, int]:
     return 1, math.ceil(math.log(MISS / 2) / math.log(apart))
 
 
+#: Words whose hashes a worker remembers.
+MOST_WORDS = 100_000
+
+
 @lru_cache
 def _hashing(t: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Factors and masks of the minhashes, and masks of the tables."""
@@ -94,7 +98,7 @@ def table_keys(shingles: np.ndarray, t: int = LONGEST_TUPLE, size: int = COLLECT
 
 
 def _word_hash() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
+    return Memo(xxhash.xxh64_intdigest, most=MOST_WORDS)
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
