@@ -6,11 +6,12 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from timeloom.operators.records import parse_timestamps
 from timeloom.streaming.assemble import assemble_stream, pieces, read_log_stream, run_to_end
-from timeloom.streaming.timeline import merge_stream, merge_with_late
+from timeloom.streaming.timeline import CHUNK, CHUNK_CHARS, MergeProcessor, merge_stream, merge_with_late
 
 from logs import MULTILINE, TRACEBACK
 
@@ -200,6 +201,65 @@ def test_late_entries_are_rows_of_their_own(spark, tmp_path):
         merge_with_late(stream, ["late"])
 
 
+class CountedState:
+    """State of one key that counts the messages it would take."""
+
+    def __init__(self):
+        self.value, self.items, self.timers, self.calls = None, [], [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.items)
+
+    def appendValue(self, item):
+        self.calls += 1
+        self.items.append(item)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.items)
+
+    def clear(self):
+        self.calls += 1
+        self.items = []
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_entries_of_a_window_are_held_in_chunks():
+    held, processor = CountedState(), MergeProcessor(["a", "b"])
+    processor.init(held)
+    n = 2 * CHUNK + 5
+    rows = [Row(us=i % 7, seq=i, number=i % 2, body=str(i)) for i in range(n)]
+    key, early = (0, 3_600_000_000), Clock(0)
+    assert list(processor.handleInputRows(key, iter(rows[5:]), early)) == []
+    assert list(processor.handleInputRows(key, iter(rows[:5]), early)) == []
+    # Chunks, a look whether there are any, and one timer.
+    assert held.calls == 2 + 1 + 2 + 1 and len(held.timers) == 1
+    (row,) = processor.handleExpiredTimer(key, Clock(3_600_000), None)
+    order = sorted(range(n), key=lambda i: (i % 7, i))
+    assert (row.late, row.ts) == (False, datetime(1970, 1, 1))
+    assert row.a == "\n".join(str(i) for i in order if i % 2 == 0)
+    assert row.b == "\n".join(str(i) for i in order if i % 2)
+    # Long texts fill a chunk on their own.
+    long = [Row(us=0, seq=i, number=0, body="x" * CHUNK_CHARS) for i in range(3)]
+    assert list(processor.handleInputRows(key, iter(long), early)) == []
+    assert len(held.items) == 3
+
+
 def test_merge_keeps_hours_that_the_zone_skips(spark, tmp_path, zone):
     zone("America/Chicago")
     gap = datetime(2024, 3, 10, 2, 30)

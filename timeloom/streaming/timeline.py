@@ -11,6 +11,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from timeloom.streaming.assemble import EPOCH, STORE, micros, wall_clock
 
+#: Entries that go into the state as one value, and characters of text after which a value is full.
+CHUNK, CHUNK_CHARS = 4096, 1 << 20
+
+
 def merge_stream(entries: DataFrame, files: Sequence[str], delay: str = "1 minute",
                  window: timedelta | None = None, slices: int = 1) -> DataFrame:
     """Wide rows ``(ts, part, <files>)`` per timestamp, or per tumbling ``window``.
@@ -55,37 +59,51 @@ def merge_stream(entries: DataFrame, files: Sequence[str], delay: str = "1 minut
 
 
 class MergeProcessor(StatefulProcessor):
-    """Holds the entries of one time until the watermark has passed it; later ones come out as late."""
+    """Holds the entries of one time until the watermark has passed it; later ones come out as late.
+
+    Each call to the state is a message to the JVM, so entries are put there in chunks.
+    """
 
     def __init__(self, files: Sequence[str]):
         self.files = list(files)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getListState("entries", "us bigint, seq bigint, file int, body string")
+        self.row = Row("late", "ts", *self.files)
+        # One value is a chunk of entries, column by column.
+        self.entries = handle.getListState(
+            "entries", "us array<bigint>, seq array<bigint>, file array<int>, body array<string>")
 
     def close(self) -> None:
         pass
 
     def _row(self, late: bool, us: int, found: list[tuple]) -> Row:
-        cells = {name: "" for name in self.files}
-        for number, name in enumerate(self.files):
-            cells[name] = "\n".join(body for _, _, file, body in found if file == number)
-        return Row("late", "ts", *self.files)(late, EPOCH + timedelta(microseconds=us), *cells.values())
+        cells: list[list[str]] = [[] for _ in self.files]
+        for _, _, file, body in found:
+            cells[file].append(body)
+        return self.row(late, EPOCH + timedelta(microseconds=us), *map("\n".join, cells))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         start, end = key
+        found = ((row.us, row.seq, row.number, row.body) for row in rows)
         if -(-end // 1000) <= timerValues.getCurrentWatermarkInMs():
-            for row in rows:
-                yield self._row(True, row.us, [(row.us, row.seq, row.number, row.body)])
+            for entry in found:
+                yield self._row(True, entry[0], [entry])
             return
         if not self.entries.exists():
             self.handle.registerTimer(-(-end // 1000))
-        for row in rows:
-            self.entries.appendValue((row.us, row.seq, row.number, row.body))
+        chunk, chars = [], 0
+        for entry in found:
+            chunk.append(entry)
+            chars += len(entry[3])
+            if len(chunk) >= CHUNK or chars >= CHUNK_CHARS:
+                self.entries.appendValue(tuple(map(list, zip(*chunk, strict=True))))
+                chunk, chars = [], 0
+        if chunk:
+            self.entries.appendValue(tuple(map(list, zip(*chunk, strict=True))))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        found = sorted(map(tuple, self.entries.get()))
+        found = sorted(entry for chunk in self.entries.get() for entry in zip(*chunk, strict=True))
         self.entries.clear()
         if found:
             yield self._row(False, key[0], found)
