@@ -10,7 +10,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from timeloom.operators.records import parse_timestamps
-from timeloom.streaming.assemble import assemble_stream, pieces, read_log_stream, run_to_end
+from timeloom.streaming.assemble import (
+    HELD, RecordProcessor, assemble_stream, pieces, read_log_stream, run_to_end,
+)
 from timeloom.streaming.timeline import CHUNK, CHUNK_CHARS, MergeProcessor, merge_stream, merge_with_late
 
 from logs import MULTILINE, TRACEBACK
@@ -202,18 +204,25 @@ def test_late_entries_are_rows_of_their_own(spark, tmp_path):
 
 
 class CountedState:
-    """State of one key that counts the messages it would take."""
+    """Handle, value and list of one key that counts the messages they would take."""
 
     def __init__(self):
-        self.value, self.items, self.timers, self.calls = None, [], [], 0
+        self.items, self.timers, self.calls = [], [], 0
 
     def getListState(self, *_):
         return self
 
+    def getValueState(self, *_):
+        return CountedValue(self)
+
     def registerTimer(self, at):
         self.calls += 1
         self.timers.append(at)
 
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
     def exists(self):
         self.calls += 1
         return bool(self.items)
@@ -231,6 +240,26 @@ class CountedState:
         self.items = []
 
 
+class CountedValue:
+    def __init__(self, held):
+        self.held, self.value = held, None
+
+    def get(self):
+        self.held.calls += 1
+        return self.value
+
+    def exists(self):
+        self.held.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.held.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+
 class Clock:
     def __init__(self, ms):
         self.ms = ms
@@ -238,6 +267,44 @@ class Clock:
     def getCurrentWatermarkInMs(self):
         return self.ms
 
+    getCurrentProcessingTimeInMs = getCurrentWatermarkInMs
+
+
+def edge(number, us, body, ends=False, arrived=0):
+    return Row(arrived=arrived, path="", block_start=0, seq=number, number=number, us=us, stamped=us is not None,
+               n_lines=0 if ends else body.count("\n") + 1, body=body, ends=ends)
+
+
+def test_a_source_takes_few_messages_a_batch():
+    held, processor = CountedState(), RecordProcessor(500)
+    processor.init(held)
+
+    def calls(*rows, at):
+        before = held.calls
+        found = list(processor.handleInputRows(("a", 0), iter(rows), Clock(at)))
+        return held.calls - before, [(r.ts, r.piece, r.n_lines, r.body) for r in found]
+
+    # Read, write and a timer; the old one goes.
+    assert calls(edge(0, None, "none"), edge(1, 1, "x"), edge(2, 2, "y\nz"), at=0) == (
+        3, [(None, 0, 1, "none"), (datetime(1970, 1, 1, 0, 0, 0, 1), 0, 1, "x")])
+    second = datetime(1970, 1, 1, 0, 0, 0, 2)
+    assert calls(edge(0, None, "more"), edge(1, 2, "same time"), at=100) == (4, [])
+    assert held.timers == [600]
+    before = held.calls
+    (row,) = processor.handleExpiredTimer(("a", 0), Clock(600), None)
+    assert (row.ts, row.piece, row.n_lines, row.body) == (second, 0, 4, "y\nz\nmore\nsame time")
+    assert held.calls - before == 2
+    held.timers.clear()
+    # Long lines go to the list, in order with what comes before and after.
+    long = "l" * (HELD + 1)
+    assert calls(edge(0, None, "next"), at=700)[1] == []
+    assert calls(edge(0, None, long), at=800)[1] == [] and len(held.items) == 1
+    assert calls(edge(0, None, "last"), at=900)[1] == [] and len(held.items) == 1
+    n, found = calls(edge(0, None, "", ends=True), at=1000)
+    assert found == [(second, 1, 3, f"next\n{long}\nlast")] and not held.items and not held.timers
+    # After an end mark a source begins anew.
+    assert calls(edge(0, None, "fresh"), edge(1, None, "", ends=True), at=1100)[1] == [(None, 0, 1, "fresh")]
+
 
 def test_entries_of_a_window_are_held_in_chunks():
     held, processor = CountedState(), MergeProcessor(["a", "b"])

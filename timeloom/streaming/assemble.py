@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ SLOTS = 16
 #: The state store that user-defined state needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EPOCH = datetime(1970, 1, 1)
+#: Characters of open lines that are kept beside the time of their record.
+HELD = 1 << 14
 ENTRY = "file string, ts timestamp_ntz, piece int, n_lines int, body string"
 _PLACE = ("arrived", "path", "block_start", "seq")
 _PIECE = ("file string, slot int, arrived bigint, path string, block_start bigint, seq bigint, number bigint, "
@@ -107,7 +110,7 @@ def pieces(lines: DataFrame) -> DataFrame:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
-    names, types = zip(*(field.split() for field in _PIECE.split(", ")), strict=True)
+    names, types = zip(*(column.split() for column in _PIECE.split(", ")), strict=True)
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
@@ -155,28 +158,43 @@ def _entry(file: str | None, us: int | None, piece: int, found: list) -> Row:
 
 
 class RecordProcessor(StatefulProcessor):
-    """Closes records; ``idle`` in milliseconds writes an open record that gets no more lines."""
+    """Closes records; ``idle`` in milliseconds writes an open record that gets no more lines.
+
+    Each call to the state is a message to the JVM, and most sources have few lines in a batch.  So the
+    state of a source is read and written once a batch: its last record with the lines that are still
+    open.  Only lines of more than ``HELD`` characters go to a list, which is not written anew when more come.
+    """
 
     def __init__(self, idle: int | None):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # Of the last record: its time, and how many pieces of it an idle timer has written.
-        self.record = handle.getValueState("record", "us bigint, written int")
+        # Of the last record: its time, how many pieces of it an idle timer has written, when the timer
+        # runs, whether the list has open lines, and the open lines after those.
+        self.record = handle.getValueState(
+            "record", "us bigint, written int, timer bigint, listed boolean, n_lines int, body string")
         self.open = handle.getListState("open", "n_lines int, body string")
-        self.timer = handle.getValueState("timer", "at bigint")
 
     def close(self) -> None:
         pass
 
-    def _write(self, key: tuple) -> Iterator[Row]:
-        found = [Row(n_lines=n, body=body) for n, body in self.open.get()]
+    def _write(self, file: str | None, last: _Last) -> Iterator[Row]:
+        found = [Row(n_lines=n, body=body) for n, body in self.open.get()] if last.listed else []
+        found += [Row(n_lines=n, body=body) for n, body in last.lines]
         if found:
-            us, written = self.record.get()
-            yield _entry(key[0], us, written, found)
+            yield _entry(file, last.us, last.written, found)
+            last.written += 1
+        if last.listed:
             self.open.clear()
-            self.record.update((us, written + 1))
+        last.listed, last.lines = False, []
+
+    def _keep(self, last: _Last) -> None:
+        n_lines, body = sum(n for n, _ in last.lines), "\n".join(body for _, body in last.lines)
+        if len(body) > HELD:
+            self.open.appendValue((n_lines, body))
+            last.listed, n_lines, body = True, 0, ""
+        self.record.update((last.us, last.written, last.timer, last.listed, n_lines, body))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[1]:
@@ -185,32 +203,54 @@ class RecordProcessor(StatefulProcessor):
             return
         # Edges: a few for each split.
         edges = sorted(rows, key=lambda r: (r.arrived, r.path, r.block_start, r.seq, r.number))
-        number = None
+        before = self.record.get()
+        last = _Last() if before is None else _Last.of(before)
+        number, known = None, before is not None
         for row in edges:
             follows = row.number == 0 or row.number - 1 == number
             number = row.number
-            known = self.record.get() if self.record.exists() else None
             if row.ends:
-                yield from self._write(key)
-                self.record.clear()
+                yield from self._write(key[0], last)
+                known = False
                 continue
-            again = known is not None and known[0] == row.us and follows
-            if known is None or (row.stamped and not again):
-                yield from self._write(key)
-                self.record.update((row.us, 0))
-            self.open.appendValue((row.n_lines, row.body))
+            again = known and last.us == row.us and follows
+            if not known or (row.stamped and not again):
+                yield from self._write(key[0], last)
+                last.us, last.written, known = row.us, 0, True
+            last.lines.append((row.n_lines, row.body))
         if self.idle is not None:
-            if self.timer.exists():
-                self.handle.deleteTimer(self.timer.get()[0])
-                self.timer.clear()
-            if self.open.exists():
-                at = timerValues.getCurrentProcessingTimeInMs() + self.idle
-                self.handle.registerTimer(at)
-                self.timer.update((at,))
+            if last.timer is not None:
+                self.handle.deleteTimer(last.timer)
+                last.timer = None
+            if last.listed or last.lines:
+                last.timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
+                self.handle.registerTimer(last.timer)
+        if known:
+            self._keep(last)
+        elif before is not None:
+            self.record.clear()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.timer.clear()
-        yield from self._write(key)
+        last = _Last.of(self.record.get())
+        last.timer = None
+        yield from self._write(key[0], last)
+        self._keep(last)
+
+
+@dataclass
+class _Last:
+    """The last record of a source; ``lines`` are open pieces (n_lines, body), ``listed`` tells of earlier ones."""
+
+    us: int | None = None
+    written: int = 0
+    timer: int | None = None
+    listed: bool = False
+    lines: list[tuple[int, str]] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, state: tuple) -> _Last:
+        us, written, timer, listed, n_lines, body = state
+        return cls(us, written, timer, listed, [(n_lines, body)] if n_lines else [])
 
 
 def assemble_stream(lines: DataFrame, idle: timedelta | None = None) -> DataFrame:
