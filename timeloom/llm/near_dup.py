@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import Memo, each_text, if_small, is_empty, mix64, odd_numbers
+from timeloom.llm.common import Memo, bound_batches, each_text, if_small, is_empty, mix64, odd_numbers
 from timeloom.llm.components import connected
 from timeloom.plans.session import release, stage
 
@@ -104,6 +104,7 @@ def _word_hash() -> Memo:
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, a 128-bit digest of the set, and its table keys."""
     t, size = shape(percent)
+    bound_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_hash()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import each_text, if_small, is_empty, mix64
+from timeloom.llm.common import bound_batches, each_text, if_small, is_empty, mix64, text_bytes
 from timeloom.plans.session import stage
 
 WINDOW, ANCHOR = 200, 64
@@ -365,6 +365,7 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     ``keyed`` gives a text.  Rows with equal id and text are one row here (with ``keep_first`` they are one
     document, else they repeat each other).  A missing text is empty; a missing id is the last in order.
     """
+    bound_batches(docs)
     made = _scan(docs)
     narrow = made.select("node", "doc_id", "key", "digest", "n_bytes").where(F.col("n_bytes") >= WINDOW)
     same = narrow.groupBy("digest").agg(
@@ -505,20 +506,23 @@ def drop_later_copies(docs: DataFrame) -> DataFrame:
     if is_empty(spans):
         return docs
 
-    @F.udf("string", useArrow=True)
-    def cut(text, found):
-        if text is None or not found:
-            return text
-        raw = text.encode()
-        runs = merge_spans([(s["start"], s["end"]) for s in found])
-        return without(raw, whole_characters(raw, runs)).decode()
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for i, spans in enumerate(found):
+            text = text_bytes(texts, i)
+            runs = merge_spans([(s["start"], s["end"]) for s in spans.as_py() or ()])
+            out.append(without(text, whole_characters(text, runs)))
+        return pa.array(out, pa.binary()).cast(pa.string())
 
     key = F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")))
     same = F.col("s.doc_id").eqNullSafe(F.col("d.doc_id").cast("long")) & (F.col("s.key") == key)
     small = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     side = if_small(spans.select("doc_id", "key", "spans")) if small <= 1_000_000 else spans
     joined = docs.alias("d").join(side.alias("s"), same, "left")
-    text = cut(F.col("d.text"), F.col("s.spans"))
+    # Only texts with something to cut go to Python; a row that is not hit has an empty result there.
+    hit = F.col("s.spans").isNotNull() & F.col("d.text").isNotNull()
+    text = F.when(hit, cut(F.when(hit, F.col("d.text")), F.col("s.spans"))).otherwise(F.col("d.text"))
     cut_name, hit_name = (f"_{uuid.uuid4().hex}" for _ in range(2))
     out = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], text.alias(cut_name),
                         F.col("s.spans").isNotNull().alias(hit_name))
