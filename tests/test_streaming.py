@@ -96,6 +96,17 @@ def test_idle_records_are_written_and_continue_as_pieces(spark, tmp_path):
         ("b", None, 1, 1, "still none"), ("c", BASE, 0, 1, "other")], key=str)
 
 
+def test_a_batch_that_a_run_broke_off_hides_no_later_files(spark, tmp_path):
+    idle = timedelta(minutes=5)
+    assemble(spark, tmp_path, [[("a", 0, 0, BASE, "x")]], idle)
+    # The last batch without input was planned but did not end.
+    planned = max(int(f.name) for f in (tmp_path / "checkpoint/offsets").iterdir() if f.name.isdigit())
+    for name in (f"{planned}", f".{planned}.crc"):
+        (tmp_path / "checkpoint/commits" / name).unlink(missing_ok=True)
+    out = assemble(spark, tmp_path, [[("a", 0, 1, None, "y")], end_of("a")], idle)
+    assert [tuple(r) for r in out.collect()] == [("a", BASE, 0, 2, "x\ny")]
+
+
 def test_equal_times_meet_across_batches(spark, tmp_path):
     def at(s):
         return BASE + timedelta(seconds=s)

@@ -274,7 +274,8 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, partition: str | N
     """Process what is there, add the rows to the folder ``path``, and read it.
 
     With ``timers`` the run ends with the first batch that had no input, since timers always ask for
-    another batch; what they have written by then is in the folder.
+    another batch; what they have written by then is in the folder.  The first batch of a run does not
+    count: it may be one that the end of the run before broke off, which knows nothing of newer files.
     """
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
     if partition is not None:
@@ -284,7 +285,7 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, partition: str | N
         writer.trigger(availableNow=True).start().awaitTermination()
     else:
         query = writer.trigger(processingTime="0 seconds").start()
-        while query.isActive and all(p["numInputRows"] for p in query.recentProgress):
+        while query.isActive and all(p["numInputRows"] for p in query.recentProgress[1:]):
             time.sleep(0.05)
         problem = query.exception()
         query.stop()
