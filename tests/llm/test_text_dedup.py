@@ -251,3 +251,10 @@ def test_near_duplicates_left_to_the_exact_join(spark, monkeypatch):
     for percent in (80, 90):
         found = near_dup.near_duplicates(documents(spark, texts), percent).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(texts, percent)
+
+
+def test_batches_of_whole_texts_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, 1 << 26)
+    near_dup.signatures(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 80)
+    assert spark.conf.get(name).removesuffix("b") == str(1 << 22)
