@@ -138,6 +138,23 @@ def test_components(spark):
     assert {r.node: r.component for r in found} == {x: root(x) for x in parent}
 
 
+def jobs_of(spark, group, run):
+    """What ``run`` returns, and how many jobs it takes."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_near_duplicates_find_components_once(spark):
+    # The driver holds the plans, stages and tasks of all rounds; 194 jobs when the last components were found again.
+    docs = documents(spark, corpus())
+    _, jobs = jobs_of(spark, "near_duplicates", lambda: near_dup.near_duplicates(docs, 85).collect())
+    assert jobs <= 180
+
+
 def covered(texts, window=repeats.WINDOW, keep_first=False):
     places = defaultdict(list)
     for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0])):

@@ -172,18 +172,18 @@ def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Enough edges (a, b) between ``nodes`` (node, n, keys) to give their components."""
+def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """node, component of the ``nodes`` (node, n, keys) that are linked with others; None if no two share a key."""
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = stage(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared_keys")
     shared_rows = stage(rows.join(if_small(shared), "key"), "buckets")
     weight = shared_rows.groupBy("node").agg(F.sum("members").alias("weight"))
     rows = stage(shared_rows.drop("members").join(weight, "node"), "buckets")
     release(shared, shared_rows)
-    edges = None
+    edges = components = None
     for _ in range(STAR_STEPS):
         if is_empty(rows):
-            return edges
+            return components
         best = F.max(F.struct("weight", -F.col("node"), "n")).alias("best")
         heads = rows.groupBy("key").agg(best).select(
             "key", (-F.col("best")["col2"]).alias("head"), F.col("best")["n"].alias("head_n"))
@@ -191,13 +191,14 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         pairs = others.where(_alike("n", "head_n", percent)).select(*_pairs("node", "head"))
         found = _check(pairs.distinct(), docs, percent)
         edges = found if edges is None else edges.union(found)
-        left = _undecided(others.drop("head", "head_n"), connected(edges))
+        components = connected(edges)
+        left = _undecided(others.drop("head", "head_n"), components)
         release(rows)
         rows = left
     if is_empty(rows):
-        return edges
+        return components
     pairs = _exact_pairs(rows.select("node", "n", "component").distinct(), docs, percent)
-    return edges.union(_check(pairs, docs, percent))
+    return connected(edges.union(_check(pairs, docs, percent)))
 
 
 def _exact_pairs(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -293,10 +294,10 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
         classes = sets.groupBy("digest").agg(
             F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
         classes = classes.withColumn("least_id", F.col("node"))
-    edges = links(classes.select("node", "n", "keys"), texts, percent)
+    components = linked(classes.select("node", "n", "keys"), texts, percent)
     known = classes.select("digest", "node", "least_id")
-    if edges is not None:
-        known = known.join(connected(edges), "node", "left").select(
+    if components is not None:
+        known = known.join(components, "node", "left").select(
             "digest", "least_id", F.coalesce("component", "node").alias("component"))
     else:
         known = known.withColumnRenamed("node", "component")
