@@ -180,7 +180,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     weight = shared_rows.groupBy("node").agg(F.sum("members").alias("weight"))
     rows = stage(shared_rows.drop("members").join(weight, "node"), "buckets")
     release(shared, shared_rows)
-    edges = components = None
+    components = None
     for _ in range(STAR_STEPS):
         if is_empty(rows):
             return components
@@ -190,15 +190,21 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
         others = rows.join(heads, "key").where("node != head")
         pairs = others.where(_alike("n", "head_n", percent)).select(*_pairs("node", "head"))
         found = _check(pairs.distinct(), docs, percent)
-        edges = found if edges is None else edges.union(found)
-        components = connected(edges)
+        components = _joined_by(components, found)
         left = _undecided(others.drop("head", "head_n"), components)
         release(rows)
         rows = left
     if is_empty(rows):
         return components
     pairs = _exact_pairs(rows.select("node", "n", "component").distinct(), docs, percent)
-    return connected(edges.union(_check(pairs, docs, percent)))
+    return _joined_by(components, _check(pairs, docs, percent))
+
+
+def _joined_by(components: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components with more edges; those found before stand for their edges."""
+    if components is not None:
+        edges = edges.union(components.select("node", "component"))
+    return connected(edges)
 
 
 def _exact_pairs(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
